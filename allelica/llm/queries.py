@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelica.functions.keys import table
-from allelica.llm import tokens
+from allelica.llm import leaks, tokens
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items that leaked into them and the extent of each passage."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_leaks)}
 SQL: dict[str, str] = {}
