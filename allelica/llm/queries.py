@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelica.functions.keys import table
-from allelica.llm import leaks, tokens
+from allelica.llm import abuse, leaks, tokens
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -22,5 +22,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_leaks)}
+#: Calibrated probability from which a document is to be excluded.
+EXCLUDE = 0.5
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for every document."""
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"), ["doc_id", "source"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("score") >= EXCLUDE).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, excluded documents and their rate per source."""
+    bad = F.coalesce(F.col("score") >= EXCLUDE, F.lit(False)).cast("int")
+    s = p8_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(bad).alias("n_excluded"), F.avg("score").alias("mean_score"))
+    return s.withColumn("rate", F.col("n_excluded") / F.col("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
