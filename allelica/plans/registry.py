@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelica.plans import problems
+from allelica.plans import haplotype_queries, ld_queries, problems
 
-MODULES = [problems]
+MODULES = [problems, haplotype_queries, ld_queries]
 
 
 def queries() -> dict:
