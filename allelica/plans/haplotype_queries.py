@@ -76,7 +76,7 @@ def hap_features_scaled(spark, d):
 
 
 def hap_grm(spark, d):
-    h = _haps(spark, d).where("block_id in ('block_1_1000_8000', 'block_2_233000_240000')")
+    h = _haps(spark, d)
     g = H.relationship(H.features(h, H.alleles(h, 0.02)))
     return g.select("sample_i", "sample_j", F.round("g", 6).alias("g"))
 
@@ -170,7 +170,7 @@ SQL = {
     "hap_topn_alleles": f"with {HAP_SQL}, k as (select * from frq where freq >= 0.01 and hap_rank <= 5) select block_id, hap, n, hap_rank::int as hap_rank, round(freq, 6) as freq, round(n::double / sum(n) over (partition by block_id), 6) as freq_kept from k",
     "hap_features": f"with {HAP_SQL}, {_FEAT} select sample_id, hap_id, dose from feat where dose is not null", "hap_presence": f"with {HAP_SQL}, {_FEAT} select sample_id, hap_id, least(dose, 1) as dose from feat where dose is not null",
     "hap_features_scaled": f"with {HAP_SQL}, {_FEAT}, s as (select *, avg(dose) over (partition by hap_id) m, stddev_samp(dose) over (partition by hap_id) sd from feat), z as (select hap_id, coalesce(case when sd > 0 then (dose - m) / sd end, 0) z from s) select hap_id, round(sum(z * z), 4) as ss, count(*) as n from z group by 1",
-    "hap_grm": f"with {HAP_SQL}, {_FEAT}, f2 as (select * from feat where block_id in ('block_1_1000_8000', 'block_2_233000_240000')), m as (select hap_id, avg(dose) mn from f2 group by 1 having min(dose) < max(dose)), z as (select sample_id, f2.hap_id, coalesce(dose, mn) - mn as z from f2 join m on f2.hap_id = m.hap_id), dn as (select 2 * sum(mn * (1 - mn)) dn from m) select a.sample_id as sample_i, b.sample_id as sample_j, round(sum(a.z * b.z) / any_value(dn), 6) as g from z a join z b on a.hap_id = b.hap_id and a.sample_id <= b.sample_id, dn group by 1, 2",
+    "hap_grm": f"with {HAP_SQL}, {_FEAT}, f2 as (select * from feat), m as (select hap_id, avg(dose) mn from f2 group by 1 having min(dose) < max(dose)), z as (select sample_id, f2.hap_id, coalesce(dose, mn) - mn as z from f2 join m on f2.hap_id = m.hap_id), dn as (select 2 * sum(mn * (1 - mn)) dn from m) select a.sample_id as sample_i, b.sample_id as sample_j, round(sum(a.z * b.z) / any_value(dn), 6) as g from z a join z b on a.hap_id = b.hap_id and a.sample_id <= b.sample_id, dn group by 1, 2",
     "hap_decode_iupac": f"with {HAP_SQL}, k as (select * from frq where freq >= 0.01), v as (select block_id, s.*, row_number() over (partition by block_id order by pos) i from snps s join blocks b on s.chr = b.chr and pos between start_bp and end_bp) select k.block_id, hap, hap_rank::int as hap_rank, string_agg({_IUPAC}, '' order by i) as nucleotide_sequence, string_agg(pos::varchar, ';' order by i) as snp_positions, string_agg(ref_allele || '/' || alt_allele, ';' order by i) as snp_alleles from k join v on k.block_id = v.block_id group by 1, 2, 3",
     "hap_collapse_other": f"with {HAP_SQL} select h.block_id, case when freq <= 0.05 then '<other>' else h.hap end as collapsed, count(*) as n from hap h left join frq f on h.block_id = f.block_id and h.hap = f.hap group by 1, 2",
     "hap_collapse_nearest": f"with {HAP_SQL}, m as (select r.block_id, r.hap, c.hap as c, row_number() over (partition by r.block_id, r.hap order by hamming(r.hap, c.hap), c.n desc, c.hap) k from frq r join frq c on r.block_id = c.block_id and r.freq <= 0.05 and c.freq > 0.05) select h.block_id, coalesce(m.c, h.hap) as collapsed, count(*) as n from hap h left join m on h.block_id = m.block_id and h.hap = m.hap and k = 1 group by 1, 2",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelica.plans import haplotype_queries, ld_queries, problems
+from allelica.plans import haplotype_queries, io_queries, ld_queries, problems, trait_queries
 
-MODULES = [problems, haplotype_queries, ld_queries]
+MODULES = [problems, haplotype_queries, ld_queries, trait_queries, io_queries]
 
 
 def queries() -> dict:
