@@ -8,8 +8,6 @@ aggregation by (block, haplotype).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -120,40 +118,44 @@ def scaled(features: DataFrame) -> DataFrame:
     return features.join(s, "hap_id").select("sample_id", "block_id", "hap_id", F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
-def relationship(features: DataFrame, phased: bool = False, bend: bool = False) -> DataFrame:
+def relationship(features: DataFrame, phased: bool = False, bend: bool = False, cells: int = 8_000_000) -> DataFrame:
     """VanRaden relationship of samples from allele doses: sample_i <= sample_j, g.
 
     Alleles that are missing in all or don't vary are dropped, missing doses take the mean; G = ZZ' / (2 sum p(1-p)),
-    Z = dose - s p, s = 2 if phased or any dose exceeds 1, otherwise 1. ``bend`` adds .001 to the diagonal. The
-    alleles' columns are spread over tasks and each task keeps one n x n sum, so nothing is paired in a shuffle.
+    Z = dose - s p, s = 2 if phased or any dose exceeds 1, otherwise 1. ``bend`` adds .001 to the diagonal. Samples are
+    cut into tiles and each pair of tiles is one matrix product in one task, whose size ``cells`` bounds; pairs of
+    samples are only ever made as output.
     """
     s = 2 if phased or features.where("dose > 1").limit(1).count() else 1
     stats = features.groupBy("hap_id").agg(F.avg("dose").alias("_m"), F.min("dose").alias("_lo"), F.max("dose").alias("_hi")).where("_lo < _hi")
     p = F.least(F.greatest(F.col("_m") / s, F.lit(1e-6)), F.lit(1 - 1e-6))
     stats = stats.select("hap_id", "_m", p.alias("_p"))
-    denom = 2 * (stats.agg(F.sum(F.col("_p") * (1 - F.col("_p")))).first()[0] or 1.0)
-    ids = [r[0] for r in features.select("sample_id").distinct().orderBy("sample_id").collect()]
-    at = {x: i for i, x in enumerate(ids)}
+    total = stats.agg(F.sum(F.col("_p") * (1 - F.col("_p"))), F.count(F.lit(1))).first()
+    denom, n_alleles = 2 * (total[0] or 1.0), max(1, total[1])
+    n = features.select(F.approx_count_distinct("sample_id")).first()[0]
+    tiles = max(1, -(-n * n_alleles // cells), -(-n // 1000))
     z = features.join(stats, "hap_id").select("hap_id", "sample_id", (F.coalesce(F.col("dose").cast("double"), F.col("_m")) - s * F.col("_p")).alias("z"))
-    cols = z.groupBy("hap_id").agg(F.collect_list("sample_id").alias("s"), F.collect_list("z").alias("z"))
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, seen = np.zeros((len(ids), len(ids))), False
-        for pdf in batches:
-            m = np.zeros((len(ids), len(pdf)))
-            for k, (ss, zz) in enumerate(zip(pdf["s"], pdf["z"])):
-                m[[at[x] for x in ss], k] = zz
-            g += m @ m.T
-            seen = seen or len(pdf) > 0
-        if seen:
-            for i in range(len(ids)):
-                yield pd.DataFrame({"i": i, "row": [g[i, i:].tolist()]})
-
-    parts = cols.mapInPandas(gram, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("o", "v")).groupBy("i", "o").agg(F.sum("v").alias("v"))
-    names = features.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], "k int, name string")
-    g = F.col("v") / F.lit(denom) + F.when((F.col("o") == 0) & F.lit(bend), 0.001).otherwise(0.0)
-    return cells.join(names.withColumnRenamed("name", "sample_i"), F.col("i") == F.col("k")).drop("k").join(names.withColumnRenamed("name", "sample_j"), F.col("i") + F.col("o") == F.col("k")).select("sample_i", "sample_j", g.alias("g"))
+    rows = z.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("hap_id", "z"))).alias("_v")).select("sample_id", F.col("_v.hap_id").alias("h"), F.col("_v.z").alias("z"))
+    rows = rows.withColumn("_t", F.pmod(F.xxhash64("sample_id"), F.lit(tiles)).cast("int"))
+    rows = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("sample_id", "h", "z", "_t", F.least("_t", "_u").alias("a"), F.greatest("_t", "_u").alias("b"))
+
+    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        order = {h: i for i, h in enumerate(sorted({h for hs in pdf["h"] for h in hs}))}
+        m = np.zeros((len(pdf), len(order)))
+        for i, (h, v) in enumerate(zip(pdf["h"], pdf["z"])):
+            m[i, v_at(order, h)] = v
+        name, tile = pdf["sample_id"].to_numpy(), pdf["_t"].to_numpy()
+        left, right = np.flatnonzero(tile == key[0]), np.flatnonzero(tile == key[1])
+        g = m[left] @ m[right].T / denom
+        x, y = np.repeat(name[left], len(right)), np.tile(name[right], len(left))
+        keep = x <= y if key[0] == key[1] else np.ones(len(x), bool)
+        lo, hi = np.where(x <= y, x, y)[keep], np.where(x <= y, y, x)[keep]
+        return pd.DataFrame({"sample_i": lo, "sample_j": hi, "g": g.ravel()[keep] + np.where(bend & (lo == hi), 0.001, 0.0)})
+
+    def v_at(order: dict, h) -> list[int]:
+        return [order[k] for k in h]
+
+    return rows.groupBy("a", "b").applyInPandas(lambda key, pdf: product(key, pdf), "sample_i string, sample_j string, g double")
 
 
 def iupac(het: Column, ref: Column, alt: Column) -> Column:

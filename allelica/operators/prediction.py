@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,14 +56,14 @@ def reml(y: np.ndarray, k: np.ndarray, x: np.ndarray | None = None) -> dict:
 def square(grm: DataFrame) -> tuple[np.ndarray, list[str]]:
     """Dense symmetric matrix and sample order of a relationship table (sample_i <= sample_j, g)."""
     t = grm.toArrow()
-    i, j, g = (np.asarray(t.column(c).to_pylist(), dtype=object) for c in ("sample_i", "sample_j", "g"))
-    ids = sorted(set(i.tolist()) | set(j.tolist()))
-    if len(ids) > SAMPLES_MAX:
-        raise ValueError(f"{len(ids)} samples; a mixed model takes {SAMPLES_MAX}")
-    at = {s: n for n, s in enumerate(ids)}
-    a, b = np.array([at[s] for s in i]), np.array([at[s] for s in j])
-    m = np.zeros((len(ids), len(ids)))
-    m[a, b] = m[b, a] = g.astype(float)
+    i, j = (t.column(c).combine_chunks().cast(pa.string()) for c in ("sample_i", "sample_j"))
+    names = pa.array(sorted(set(pc.unique(i).to_pylist()) | set(pc.unique(j).to_pylist())), pa.string())
+    if len(names) > SAMPLES_MAX:
+        raise ValueError(f"{len(names)} samples; a mixed model takes {SAMPLES_MAX}")
+    a, b = (np.asarray(pc.index_in(v, value_set=names), dtype="int64") for v in (i, j))
+    m = np.zeros((len(names), len(names)))
+    m[a, b] = m[b, a] = np.asarray(t.column("g"), dtype=float)
+    ids = names.to_pylist()
     return m, ids
 
 
