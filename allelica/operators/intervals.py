@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from allelica.functions.keys import require_columns
+from allelica.functions.keys import materialize, require_columns
 
 #: Level from which blocks are handled across tiles.
 TILE = 16
@@ -84,8 +84,10 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     merged = low.withColumn("level", top).select(*k, "tile", "run", "level", F.expr("shiftright(s, level)").alias("ix")).distinct()
     merged = merged.select(*k, "tile", "run", "level", F.expr("shiftleft(ix, level)").alias("s"), F.expr("shiftleft(ix + 1, level) - 1").alias("e"))
 
-    # runs inside a tile; those at its border and everything of tile size or more go on across tiles
+    # runs inside a tile; those at its border and everything of tile size or more go on across tiles. Both are read
+    # several times from here on and are far fewer than the blocks, so they are written once
     runs = merged.groupBy(*k, "tile", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    runs, high = materialize(runs, "runs"), materialize(high, "high")
     edge = F.expr(f"s = shiftleft(tile, {TILE}) or e = shiftleft(tile + 1, {TILE}) - 1")
     inner = runs.where(~edge).select(*k, "s", "e")
     across = runs.where(edge).select(*k, "s", "e").unionByName(high.select(*k, "s", "e"))
