@@ -65,6 +65,11 @@ def fit_tree(coded: DataFrame, fields: list[str], sizes: list[int], weight: str
     """Chow-Liu tree of coded fields (int, null where missing) from the pairwise counts of all rows."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
     pairs = [(i, j) for i in range(len(fields)) for j in range(i + 1, len(fields))]
+    if not pairs:
+        alone = np.full(sizes[0], SMOOTH)
+        for r in coded.where(F.col(fields[0]).isNotNull()).groupBy(fields[0]).agg(w.alias("n")).collect():
+            alone[r[0]] += float(r["n"])
+        return Tree(fields, sizes, [-1], [0], alone / alone.sum(), {})
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(fields[i]).cast("int").alias("a"), F.col(fields[j]).cast("int").alias("b")) for k, (i, j) in enumerate(pairs)])
     # equal rows are counted once before the pairs are spread
     seen = coded.groupBy(*fields).agg(w.alias("_w"))

@@ -39,10 +39,11 @@ def read_genotypes(spark: SparkSession, path: str, format: str | None = None, **
     return {"hapmap": read_hapmap, "vcf": read_vcf, "bed": read_bed, "numeric": read_numeric}[kind](spark, path, **options)
 
 
-def _lines(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame, list[str]]:
-    """Lines without the header, and the header's fields."""
+def _lines(spark: SparkSession, path: str, sep: str, mark: str = "") -> tuple[DataFrame, list[str]]:
+    """Lines without the header, and the header's fields. The header is the first line, or where a format marks it, the
+    first that starts with ``mark`` in any part of the file."""
     lines = spark.read.text(path)
-    first = lines.where(~F.startswith("value", F.lit("##")) & (F.trim("value") != "")).first()
+    first = lines.where(~F.startswith("value", F.lit("##")) & (F.trim("value") != "") & F.startswith("value", F.lit(mark))).first()
     if first is None:
         raise ValueError(f"no header in {path}")
     head = first["value"].rstrip("\r")
@@ -98,8 +99,8 @@ def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = N
 
 
 def _vcf(spark: SparkSession, path: str) -> DataFrame:
-    body, head = _lines(spark, path, "\t")
-    if len(head) < 10 or head[0] != "#CHROM":
+    body, head = _lines(spark, path, "\t", "#CHROM\t")
+    if len(head) < 10:
         raise ValueError(f"no VCF header with samples in {path}")
     d = body.where(F.size("f") == len(head)).select(*_base(_get(2), _get(0), _get(1), _get(3), _get(4)), _samples(head[9:], 9))
     return d.select("*", F.col("s.sample_id").alias("sample_id"), F.substring_index("s.v", ":", 1).alias("gt"))

@@ -46,7 +46,7 @@ def vcf_lines(geno: DataFrame, samples: list[str]) -> DataFrame:
 
 
 def write_vcf(geno: DataFrame, path: str, samples: list[str]) -> None:
-    """Compressed text parts, sorted; the header is in the first part's place only when there is one part (see readers)."""
+    """Compressed text parts, sorted; the header lines are a part of their own."""
     head = ["##fileformat=VCFv4.2", "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
     first = geno.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1)
     first.unionByName(vcf_lines(geno, samples)).write.mode("overwrite").option("compression", "gzip").text(path)
