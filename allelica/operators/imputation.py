@@ -212,7 +212,7 @@ def _mode_code(n: list[Column], levels: tuple[float, ...]) -> Column:
 GENOTYPE_FIELDS = {"dosage": 3, "same_sample": 18, "same_group": 18, "elsewhere": 33, "depth_bin": 5}
 
 
-def genotype_evidence(calls: DataFrame, samples: DataFrame, groups_max: int = 2_000_000) -> DataFrame:
+def genotype_evidence(calls: DataFrame, samples: DataFrame, groups_max: int = 500_000) -> DataFrame:
     """Coded evidence: one row (``call_id`` set, ``dosage`` null) for every call without genotype, and one row
     (``call_id`` null, ``weight``) for every combination of codes among the calls that have one.
 
