@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from allelica.functions.keys import require_columns
 
 #: Positions a seed looks at. The first has no gap: a passage of n words with at most n / 10 edits always holds seven
-#: words in a row. The others also hit across a substituted word.
-MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7, 8))
+#: words in a row, but for some short lengths. The next two also hit across a substituted word.
+MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7, 8), *(tuple(range(n)) for n in range(6, 0, -1)))
+#: Masks of items that are long enough; the shorter runs serve short items only, whose passages may hold no longer one.
+SPACED, LONGEST = (0, 1, 2), 9
 #: At least this share of an item's words must lie in a passage, and at most this share of the passage may be edited.
 LEAST, EDITS = 0.5, 0.1
 #: Share of the item that hits on nearby diagonals must cover before a candidate is aligned: with a tenth of a passage's
@@ -127,8 +129,10 @@ class Items:
         self.lengths = np.array([len(w) for w in self.words], "int64")
         seeds, item, at = [], [], []
         self.codes = [np.array([self.vocabulary[w] for w in ws], "uint64") for ws in self.words]
+        self.masks = set()
         for k, codes in enumerate(self.codes):
-            for m, mask in enumerate(MASKS):
+            for m in masks_of(len(codes)):
+                self.masks.add(m)
                 h = seed_hashes(codes, m)
                 seeds.append(h)
                 item.append(np.full(len(h), k, "int64"))
@@ -143,6 +147,16 @@ class Items:
         self.sieve[(self.hashes >> np.uint64(20)) & np.uint64(self.bits - 1)] = True
 
 
+def masks_of(length: int) -> list[int]:
+    """Masks for an item: the spaced ones, and a plain run as long as every passage of at least half of it must hold,
+    where that is shorter than seven."""
+    run = 7
+    for m in range(int(np.ceil(LEAST * length)), length + 1):
+        e = int(EDITS * m)
+        run = min(run, -(-(m - e) // (e + 1)))
+    return [*SPACED, *([MASKS.index(tuple(range(max(1, run))))] if run < 7 else [])]
+
+
 def seed_hashes(codes: np.ndarray, m: int) -> np.ndarray:
     """Hash of the masked words from each position on. Code 0 is a word that no item has: no seed over it can hit."""
     mask = MASKS[m]
@@ -182,7 +196,7 @@ def find_in(ws: list[str], items: Items) -> list[tuple[int, int, int]]:
 
 def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int, int]]:
     """(document's place in the list, item index, item words in the passage, edits)."""
-    gap = MASKS[-1][-1] + 1
+    gap = LONGEST
     sizes = np.array([len(ws) + gap for ws in docs], "int64")
     starts = np.cumsum(sizes) - sizes
     codes = np.zeros(int(sizes.sum()), "uint64")
@@ -190,7 +204,8 @@ def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int
     for ws, at in zip(docs, starts):
         codes[at : at + len(ws)] = np.fromiter(map(lookup, ws), "uint64", len(ws))
     pos, entry, span = [], [], []
-    for m, mask in enumerate(MASKS):
+    for m in sorted(items.masks):
+        mask = MASKS[m]
         h = seed_hashes(codes, m)
         near = np.flatnonzero(items.sieve[(h >> np.uint64(20)) & np.uint64(items.bits - 1)])
         lo, hi = np.searchsorted(items.hashes, h[near], "left"), np.searchsorted(items.hashes, h[near], "right")
@@ -268,8 +283,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
     item of which it holds a passage.
 
     Null and empty texts hold and are nothing; an item repeated under one id counts once, equal items under different
-    ids each; every document row counts by itself, repeated rows too. Items shorter than a seed are compared whole, as a
-    run of words. An empty table on either side gives no rows. Other columns aren't read.
+    ids each; every document row counts by itself, repeated rows too. Short items have shorter seeds, so that none
+    is left out. An empty table on either side gives no rows. Other columns aren't read.
     """
     require_columns(docs, "doc_id", "text")
     require_columns(items, "item_id", "text")

@@ -84,6 +84,14 @@ def test_leaks(spark):
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    it = spark.createDataFrame([(1, "alpha"), (2, "one two three four"), (3, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    part = [f"w{i}" for i in range(20)]
+    part[6], part[13] = "x", "y"
+    docs = spark.createDataFrame([(1, "the ALPHA."), (2, "say two three now"), (3, "one three two four"), (4, " ".join(part)), (5, " ".join(["w0", "x"] * 20))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, it).collect()) == [(1, 1), (2, 2), (4, 3)]
+
+
 def test_plain_spelling():
     assert abuse.plain("M157k3rl") == ("mistkerl", 1) and abuse.plain("fuuuuck") == ("fuck", 1) and abuse.plain("c*ck") == ("<mask>", 1)
     assert abuse.plain("Frеѕѕе") == ("fresse", 1) and abuse.plain("rs1234")[0] == "rs1234" and abuse.plain("1845") == ("9", 0) and abuse.plain("école") == ("ecole", 0)
