@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelica.functions.distributions import f_upper, p_f, p_t, t_two_sided
+from allelica.functions.keys import materialize
 from allelica.operators.prediction import reml, square
 from allelica.operators.relational import bh_adjust, range_join
 
@@ -136,7 +137,8 @@ def effective_tests(features: DataFrame, by: str = "block_id", cut: float = 0.99
 
 def adjusted(tests: DataFrame, meff: DataFrame, p: str = "p_wald", alpha: float = 0.05) -> DataFrame:
     """Adds p_fdr (over all tests), p_bonf (per trait), meff, p_simplem = p meff, p_simplem_sidak = 1 - (1 - p)^meff, significant."""
-    d = bh_adjust(tests, p, "p_fdr").withColumn("_n", F.count(p).over(W.partitionBy("trait")))
+    # ranking reads the tests several times
+    d = bh_adjust(materialize(tests, "tests"), p, "p_fdr").withColumn("_n", F.count(p).over(W.partitionBy("trait")))
     total = meff.agg(F.sum("meff").alias("meff"))
     d = d.join(F.broadcast(total))
     d = d.withColumn("p_bonf", F.least(F.lit(1.0), F.col(p) * F.col("_n"))).withColumn("p_simplem", F.least(F.lit(1.0), F.col(p) * F.col("meff"))).withColumn("p_simplem_sidak", 1 - F.pow(1 - F.col(p), F.col("meff")))
@@ -173,7 +175,7 @@ def diplotype_anova(dips: DataFrame, pheno: DataFrame, min_n: int = 3, pvalues:
     g = g.select("block_id", "trait", "n_diplotypes", f.alias("f_stat"), "df1", "df2")
     if not pvalues:
         return g
-    return bh_adjust(g.withColumn("p_omnibus", p_f(F.col("f_stat"), F.col("df1"), F.col("df2"))), "p_omnibus", "p_omnibus_fdr", ["trait"])
+    return bh_adjust(materialize(g.withColumn("p_omnibus", p_f(F.col("f_stat"), F.col("df1"), F.col("df2"))), "tests"), "p_omnibus", "p_omnibus_fdr", ["trait"])
 
 
 def _anova_groups(dips: DataFrame, pheno: DataFrame, min_n: int) -> DataFrame:
@@ -236,7 +238,7 @@ def block_epistasis(geno: DataFrame, blocks: DataFrame, pheno: DataFrame, maf: f
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EPISTASIS.split(", ")])
 
     out = d.groupBy("block_id", "trait").applyInPandas(run, EPISTASIS)
-    return bh_adjust(out, "p_wald", "p_fdr", ["block_id", "trait"])
+    return bh_adjust(materialize(out, "pairs"), "p_wald", "p_fdr", ["block_id", "trait"])
 
 
 def block_by_block(features: DataFrame, pheno: DataFrame, query: DataFrame) -> DataFrame:
@@ -269,7 +271,7 @@ def block_by_block(features: DataFrame, pheno: DataFrame, query: DataFrame) -> D
             yield pd.DataFrame(out, columns=["block_i", "allele_i", "block_j", "allele_j", "trait", "aa_effect", "se", "t_stat", "p_wald"])
 
     r = d.mapInPandas(run, "block_i string, allele_i string, block_j string, allele_j string, trait string, aa_effect double, se double, t_stat double, p_wald double")
-    r = bh_adjust(r, "p_wald", "p_fdr", ["trait"]).withColumn("_n", F.count("p_wald").over(W.partitionBy("trait")))
+    r = bh_adjust(materialize(r, "pairs"), "p_wald", "p_fdr", ["trait"]).withColumn("_n", F.count("p_wald").over(W.partitionBy("trait")))
     return r.withColumn("p_bonf", F.least(F.lit(1.0), F.col("p_wald") * F.col("_n"))).drop("_n")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from allelica.operators.ld import cross_r2, pair_r2
+from allelica.operators.relational import running_sum
 
 
 def sampled_pairs(variants: DataFrame, max_dist: int, n_pairs: int | None = None, seed: int = 42) -> DataFrame:
@@ -26,7 +27,7 @@ def sliding_pairs(variants: DataFrame, window: int = 50, stride: int | None = No
     from allelica.operators.ld import matrix, r2_matrix
 
     stride = max(window, stride or window)
-    r = variants.withColumn("_i", F.row_number().over(W.partitionBy("chr").orderBy("pos", "snp")) - 1)
+    r = running_sum(variants, "chr", "pos", ["pos", "snp"], F.lit(1), "_i").withColumn("_i", F.col("_i") - 1)
     r = r.withColumn("_w", F.floor(F.col("_i") / stride)).where(F.col("_i") % stride < window)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

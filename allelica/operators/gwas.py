@@ -94,6 +94,18 @@ def export_bed(regions: DataFrame, padding: int = 0, prefix: str = "chr", lead_o
     return regions.select(F.concat(F.lit(prefix), "chr").alias("chrom"), F.greatest(F.lit(0), s - 1 - padding).cast("int").alias("start"), (e + padding).cast("int").alias("end"), F.col("block_id").alias("name"), F.least(F.lit(1000), F.round(-F.log10("lead_p") * 10)).cast("int").alias("score"), F.lit(".").alias("strand"))
 
 
+def export_regions(regions: DataFrame, form: str = "bed", padding: int = 0, prefix: str = "chr") -> DataFrame:
+    """Regions as ``bed`` rows, as a ``csv`` table of 1-based bounds, or as ``biomart`` strings chr:start:end (1-based)."""
+    if form == "bed":
+        return export_bed(regions, padding, prefix)
+    s, e = F.greatest(F.lit(1), F.col("candidate_region_start") - padding), F.col("candidate_region_end") + padding
+    if form == "csv":
+        return regions.select("block_id", "chr", s.cast("int").alias("start"), e.cast("int").alias("end"), "lead_marker", "lead_p", "traits")
+    if form == "biomart":
+        return regions.select(F.concat_ws(":", "chr", s.cast("int").cast("string"), e.cast("int").cast("string")).alias("region"))
+    raise ValueError(f"unknown form: {form}")
+
+
 def _meta(e1: Column, s1: Column, e2: Column, s2: Column) -> tuple[Column, Column]:
     """(inverse-variance estimate, its standard error) of two effects."""
     w1, w2 = F.try_divide(F.lit(1.0), s1 * s1), F.try_divide(F.lit(1.0), s2 * s2)

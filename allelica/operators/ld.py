@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelica.operators.relational import ranked, running_sum
+
 TILE = 512
 
 
@@ -139,9 +141,7 @@ def boundary_scan(pairs: DataFrame, snps: DataFrame, half: int, threshold: float
     A strong pair (i, j) blocks the cuts max(i, j - half) .. min(j - 1, i + half - 1); blocked stretches are counted by a
     running sum of their ends.
     """
-    from pyspark.sql import Window as W
-
-    ranks = snps.select("chr", "pos", "snp").distinct().withColumn("rank", F.row_number().over(W.partitionBy("chr").orderBy("pos", "snp")))
+    ranks = ranked(snps)
     a = ranks.select(F.col("snp").alias("snp_i"), F.col("rank").alias("i"), F.col("chr").alias("_c"))
     b = ranks.select(F.col("snp").alias("snp_j"), F.col("rank").alias("j"), F.col("chr").alias("_d"))
     strong = pairs.where(F.col("r2") >= threshold).join(a, (F.col("chr") == F.col("_c")) & (pairs["snp_i"] == a["snp_i"])).join(b, (F.col("chr") == F.col("_d")) & (pairs["snp_j"] == b["snp_j"])).select("chr", "i", "j")
@@ -149,10 +149,10 @@ def boundary_scan(pairs: DataFrame, snps: DataFrame, half: int, threshold: float
     lo, hi = F.greatest("i", F.col("j") - half), F.least(F.col("j") - 1, F.col("i") + half - 1)
     ends = strong.where(lo <= hi).select("chr", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("v")), F.struct((hi + 1).alias("at"), F.lit(-1).alias("v")))).alias("e"))
     ends = ends.groupBy(F.col("chr").alias("_c"), F.col("e.at").alias("_at")).agg(F.sum("e.v").alias("_v"))
-    d = ranks.join(ends, F.expr("chr = _c and rank = _at"), "left")
-    w = W.partitionBy("chr").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    last = F.max("rank").over(W.partitionBy("chr"))
-    d = d.select("chr", "pos", "snp", "rank", F.coalesce(F.sum("_v").over(w), F.lit(0)).alias("_n"), last.alias("_last"))
+    d = ranks.join(ends, F.expr("chr = _c and rank = _at"), "left").drop("_c", "_at")
+    d = running_sum(d, "chr", "pos", ["pos", "snp"], F.coalesce("_v", F.lit(0)), "_n")
+    last = ranks.groupBy(F.col("chr").alias("_c")).agg(F.max("rank").alias("_last"))
+    d = d.join(last, F.expr("chr = _c")).drop("_c")
     return d.where("rank < _last").select("chr", "pos", "snp", "rank", (F.col("_n") == 0).cast("int").alias("valid"))
 
 

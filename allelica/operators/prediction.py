@@ -87,6 +87,14 @@ def gblup(grm: DataFrame, pheno: DataFrame, bend: float = 1e-3) -> DataFrame:
     return pheno.where("y is not null").groupBy("trait").applyInPandas(run, "trait string, sample_id string, gebv double, observed boolean")
 
 
+def training_sizes(grm: DataFrame, pheno: DataFrame) -> DataFrame:
+    """trait, n_train, n_predict: samples of the relationship with and without a phenotype."""
+    ids = grm.select(F.col("sample_i").alias("sample_id")).unionByName(grm.select(F.col("sample_j").alias("sample_id"))).distinct()
+    y = pheno.where("y is not null").select("trait", "sample_id").distinct()
+    n = ids.agg(F.count(F.lit(1)).alias("_n"))
+    return y.join(ids, "sample_id").groupBy("trait").agg(F.count(F.lit(1)).alias("n_train")).join(F.broadcast(n)).select("trait", "n_train", (F.col("_n") - F.col("n_train")).alias("n_predict"))
+
+
 def cross_validate(grm: DataFrame, pheno: DataFrame, k: int = 5, n_rep: int = 1, seed: int = 42, bend: float = 1e-3) -> DataFrame:
     """trait, rep, fold, n_train, n_test, pa (correlation of predicted and observed), rmse. Folds by hashed rank."""
     g, ids = square(grm)
@@ -210,6 +218,14 @@ def stacking(haps: DataFrame, effects: DataFrame, normalize: bool = True) -> Dat
     return t.select("id", "stacking_index", "n_blocks_scored", "mean_block_score", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("_t"), "id")).alias("rank"))
 
 
+def stacking_scores(haps: DataFrame, effects: DataFrame, block_ids: list[str]) -> DataFrame:
+    """id and one column score_<block> per named block: the wide form of the block scores behind ``stacking``."""
+    e = effects.select("block_id", F.col("allele").alias("hap"), "allele_effect")
+    d = haps.where(~F.contains("hap", F.lit("."))).join(e, ["block_id", "hap"], "left")
+    w = d.groupBy(F.col("sample_id").alias("id")).pivot("block_id", block_ids).agg(F.sum(F.coalesce("allele_effect", F.lit(0.0))))
+    return w.select("id", *[F.col(f"`{b}`").alias(f"score_{b}") for b in block_ids])
+
+
 def parent_inventory(haps: DataFrame, candidates: DataFrame, kept: DataFrame, effects: DataFrame | None = None) -> DataFrame:
     """id, block columns, allele, dosage, allele_freq, allele_effect, is_rare (freq < .10) for every candidate (``id``),
     block and common allele; dosage is null where the candidate's haplotype is incomplete."""

@@ -128,16 +128,48 @@ def bh_adjust(df: DataFrame, p: str, out: str, by: list[str] | None = None) -> D
     Ranks come from counts per distinct p-value and group, which is far fewer rows than tests; ties share the largest rank.
     """
     by = by or []
-    g = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*by).orderBy("_p")
-    g = g.withColumn("_rank", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
-    down = W.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumn("_q", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_rank")).over(down)))
-    g = g.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_p", F.col("_q").alias(out))
-    on = df[p] == g["_p"]
-    for i, c in enumerate(by):
-        on = on & df[c].eqNullSafe(g[f"_by{i}"])
-    return df.join(g, on, "left").drop("_p", *[f"_by{i}" for i in range(len(by))])
+    keys = [f"_by{i}" for i in range(len(by))]
+    g = df.where(F.col(p).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    # p-values are cut into ranges of equal ratio, so that no task ranks all of a group; ranges pass on a sum and a minimum
+    g = g.withColumn("_t", F.when(F.col("_p") > 0, F.floor(F.log2("_p") * 64)).otherwise(-(1 << 30)).cast("long"))
+    sums = g.groupBy(*keys, "_t").agg(F.sum("_c").alias("_s"))
+    wt = W.partitionBy(*keys).orderBy("_t")
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(wt.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_s").over(W.partitionBy(*keys))).drop("_s")
+    g = _null_safe_join(g, sums, [*keys, "_t"])
+    own = W.partitionBy(*keys, "_t").orderBy("_p")
+    g = g.withColumn("_v", F.col("_p") * F.col("_n") / (F.col("_off") + F.sum("_c").over(own.rowsBetween(W.unboundedPreceding, 0))))
+    mins = g.groupBy(*keys, "_t").agg(F.min("_v").alias("_m"))
+    mins = mins.withColumn("_after", F.min("_m").over(wt.rowsBetween(1, W.unboundedFollowing))).drop("_m")
+    g = _null_safe_join(g, mins, [*keys, "_t"])
+    g = g.withColumn("_q", F.least(F.lit(1.0), F.min("_v").over(own.rowsBetween(0, W.unboundedFollowing)), F.col("_after")))
+    g = g.select(*keys, F.col("_p").alias("_pp"), F.col("_q").alias(out))
+    on = F.col(p) == F.col("_pp")
+    for c, k in zip(by, keys):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return df.join(g, on, "left").drop("_pp", *keys)
+
+
+def _null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    b = b.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(b, F.expr(" and ".join(f"{k} <=> _r{k}" for k in keys))).drop(*[f"_r{k}" for k in keys])
+
+
+def running_sum(df: DataFrame, by: str, pos: str, order: list[str], value: Column, out: str, bits: int = 20) -> DataFrame:
+    """``out``: sum of ``value`` over the rows of the group up to and with this one, in the given order (``pos`` first).
+
+    Groups are cut into tiles of ``2^bits`` positions: only the tiles' sums are cumulated per group, rows only within their
+    tile, so no task gets a whole chromosome."""
+    d = df.withColumn("_tile", F.expr(f"shiftright(cast({pos} as long) + {OFFSET}L, {bits})")).withColumn("_val", value)
+    sums = d.groupBy(by, "_tile").agg(F.sum("_val").alias("_s"))
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(W.partitionBy(by).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    d = _null_safe_join(d, sums, [by, "_tile"])
+    w = W.partitionBy(by, "_tile").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn(out, (F.col("_off") + F.coalesce(F.sum("_val").over(w), F.lit(0))).cast("int")).drop("_tile", "_val", "_off")
+
+
+def ranked(snps: DataFrame, out: str = "rank") -> DataFrame:
+    """chr, pos, snp of distinct variants with their place (from 1) on the chromosome, by position, then id."""
+    return running_sum(snps.select("chr", "pos", "snp").distinct(), "chr", "pos", ["pos", "snp"], F.lit(1), out)
 
 
 def islands(df: DataFrame, by: list[str], pos: str, max_gap: int, out: str = "island") -> DataFrame:

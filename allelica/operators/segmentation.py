@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from allelica.functions.keys import materialize
 from allelica.operators import ld
+from allelica.operators.relational import ranked, running_sum
 
 #: Maximal cliques that are listed before a piece falls back to communities: their number can be exponential.
 CLIQUES_MAX = 20_000
@@ -198,18 +199,21 @@ def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest:
     """chr, pos, snp, rank, piece: pieces end where no strong pair crosses, and within longer runs every ``longest`` variants."""
     pairs = ld.pair_r2(variants, max_bp, cut)
     scan = ld.boundary_scan(pairs, variants, leng, cut).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "valid")
-    r = variants.select("chr", "pos", "snp").distinct().withColumn("rank", F.row_number().over(W.partitionBy("chr").orderBy("pos", "snp")))
-    r = r.join(scan, F.expr("chr = _c and snp = _s"), "left").drop("_c", "_s")
-    w = W.partitionBy("chr").orderBy("rank")
-    r = r.withColumn("run", F.coalesce(F.sum(F.coalesce("valid", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(W.partitionBy("chr", "run").orderBy("rank")) - 1
+    r = ranked(variants).join(scan, F.expr("chr = _c and snp = _s"), "left").drop("_c", "_s")
+    r = running_sum(r, "chr", "pos", ["pos", "snp"], F.coalesce("valid", F.lit(0)), "run").withColumn("run", F.col("run") - F.coalesce("valid", F.lit(0)))
+    # a variant's place in its run, from the run's first rank
+    first = r.groupBy(F.col("chr").alias("_c"), F.col("run").alias("_run")).agg(F.min("rank").alias("_first"))
+    r = r.join(first, F.expr("chr = _c and run = _run")).drop("_c", "_run")
+    at = F.col("rank") - F.col("_first")
     return r.withColumn("piece", F.concat_ws(":", "run", F.floor(at / longest))).select("chr", "pos", "snp", "rank", "piece")
 
 
 def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000) -> DataFrame:
     """Blocks: chr, start_ix, end_ix (over all variants of the chromosome, in order), start_rsid, end_rsid, start_bp,
     end_bp, n_snps, length_bp. Variants below ``maf`` or without variance take part in no graph but count in the indices."""
-    ranks = variants.select("chr", "pos", "snp").distinct().withColumn("ix", F.row_number().over(W.partitionBy("chr").orderBy("pos", "snp")))
+    # read by the frequency filter, the pairs, the ranks and the pieces
+    variants = materialize(variants, "variants")
+    ranks = ranked(variants, "ix")
     f = F.aggregate("dosages", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n")), lambda a: F.try_divide(a["s"], 2 * a["n"]))
     good = variants.withColumn("_f", f).where(F.least(F.col("_f"), 1 - F.col("_f")) >= maf).drop("_f")
     pieces = cut_points(good, cut, leng, longest, max_bp).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "piece")
@@ -229,7 +233,7 @@ def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng:
 def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: float = 0.6, reach: int = 20) -> DataFrame:
     """Blocks extended to the furthest variant within ``reach`` places of a border that is strong with more than ``share``
     of the block's variants (pairs: all strong pairs), unless another block is in between."""
-    r = snps.select("chr", "pos", "snp").distinct().withColumn("ix", F.row_number().over(W.partitionBy("chr").orderBy("pos", "snp")))
+    r = ranked(snps, "ix")
     w = W.partitionBy("chr").orderBy("start_ix")
     b = blocks.select("chr", "start_ix", "end_ix", F.coalesce(F.lag("end_ix").over(w), F.lit(0)).alias("_lo"), F.coalesce(F.lead("start_ix").over(w), F.lit(1 << 30)).alias("_hi"))
     # each border's neighbours, at most 2 * reach a block
@@ -248,6 +252,18 @@ def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: flo
     return d.join(s, F.expr("chr = c1 and start_ix = i")).join(e, F.expr("chr = c2 and end_ix = j")).select("chr", "start_ix", "end_ix", "start_rsid", "end_rsid", "start_bp", "end_bp", (F.col("end_ix") - F.col("start_ix") + 1).alias("n_snps"), (F.col("end_bp") - F.col("start_bp") + 1).alias("length_bp"))
 
 
+def with_singletons(blocks: DataFrame, snps: DataFrame) -> DataFrame:
+    """Blocks (chr, start_bp, end_bp, n_snps) and one of a single variant for every variant in none. Repeated variants
+    count once; variants without a place make no block."""
+    from allelica.operators.relational import range_join
+
+    s = snps.where("chr is not null and pos is not null").select("chr", "pos", "snp").distinct()
+    inside = range_join(s, blocks.select("chr", "start_bp", "end_bp")).select(F.col("chr").alias("_c"), F.col("pos").alias("_p"), F.col("snp").alias("_s")).distinct()
+    alone = s.join(inside, F.expr("chr = _c and pos = _p and snp <=> _s"), "left_anti")
+    one = alone.select("chr", F.col("pos").alias("start_bp"), F.col("pos").alias("end_bp"), F.lit(1).alias("n_snps"))
+    return blocks.select("chr", "start_bp", "end_bp", "n_snps").unionByName(one)
+
+
 def summarise(blocks: DataFrame) -> DataFrame:
     """chr (GENOME for all), n_blocks, min_bp, median_bp, mean_bp, max_bp, total_bp_covered."""
     n = F.col("end_bp") - F.col("start_bp") + 1
@@ -264,7 +280,6 @@ def tune(variants: DataFrame, gwas: DataFrame, grid: list[dict], band: tuple[int
     from allelica.operators.relational import nearest_interval
 
     spark, out = variants.sparkSession, None
-    variants = materialize(variants, "variants")
     for i, p in enumerate(grid):
         b = materialize(segment(variants, **p).select(F.concat_ws("_", F.lit("block"), "chr", "start_bp", "end_bp").alias("block_id"), "chr", "start_bp", "end_bp"), "blocks")
         a = nearest_interval(gwas, b, "snp").agg(F.count_if("forced").alias("n_forced"), F.count_if(F.col("block_id").isNull()).alias("n_unassigned"))

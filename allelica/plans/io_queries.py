@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from allelica.functions.keys import table
+from allelica.operators import gwas, prediction, segmentation
 from allelica.operators import haplotypes as H
 from allelica.plans import fixtures as X
 from allelica.plans import pipeline
@@ -45,6 +46,25 @@ def pipeline_features(spark, d):
     return pipeline.run(spark, _full(spark, d)).features
 
 
+def haplotype_prediction(spark, d):
+    """Block importance over both traits."""
+    return pipeline.predict(X.geno(spark, d), X.blocks(spark), X.pheno(spark, d)).overall
+
+
+def blocks_with_singletons(spark, d):
+    return segmentation.with_singletons(X.moved_blocks(spark), X.snps(spark))
+
+
+def export_biomart(spark, d):
+    return gwas.export_regions(gwas.qtl_regions(X.gwas(spark), X.blocks(spark), X.snps(spark), 2e-7), "biomart")
+
+
+def stacking_scores(spark, d):
+    h = _haps(spark, d)
+    e = prediction.allele_effects(H.alleles(h, 0.02), X.snps(spark), X.snps(spark).select("snp", "effect"))
+    return prediction.stacking_scores(h, e, [r["block_id"] for r in X.blocks(spark).collect()])
+
+
 def backend_summary(spark, d):
     g = X.geno(spark, d)
     return g.groupBy("chr").agg(F.countDistinct("snp").alias("n_snps"), F.countDistinct("sample_id").alias("n_samples"))
@@ -59,8 +79,10 @@ def stream_plate_rates(spark, d):
     return calls.plate_rates(table(spark, d, "vcf_calls")).groupBy("plate").agg(F.sum("n_calls").alias("n_calls"), F.sum("n_missing").alias("n_missing"))
 
 
-QUERIES = {f.__name__: f for f in (export_hap_numeric, export_hap_character, export_vcf_lines, pipeline_diversity, pipeline_features, backend_summary, pheno_long, stream_plate_rates)}
+QUERIES = {f.__name__: f for f in (haplotype_prediction, blocks_with_singletons, export_biomart, stacking_scores, export_hap_numeric, export_hap_character, export_vcf_lines, pipeline_diversity, pipeline_features, backend_summary, pheno_long, stream_plate_rates)}
 SQL = {
+    "blocks_with_singletons": f"with {X.SNP_SQL}, {X.BLOCK_SQL}, {X.MOVED_SQL} select chr, start_bp::int as start_bp, end_bp::int as end_bp, n_snps from moved union all select chr, pos, pos, 1 from snps s where not exists (select 1 from moved m where m.chr = s.chr and s.pos between m.start_bp and m.end_bp)",
+    "export_biomart": f"with {X.SNP_SQL}, {X.GWAS_SQL}, {X.BLOCK_SQL} select chr || ':' || pos || ':' || pos as region from (select b.block_id, b.chr, first(g.pos order by p, g.pos) as pos from blocks b join gwas g on g.chr = b.chr and g.pos between start_bp and end_bp where p <= 2e-7 group by all)",
     "backend_summary": f"with {X.GENO_SQL} select chr, count(distinct snp) as n_snps, count(distinct sample_id) as n_samples from geno group by 1",
     "pheno_long": "select 'trait1' as trait, count(*) as n, count(*) filter (not isnan(trait1)) as n_obs from example_phenotype union all select 'trait2', count(*), count(*) filter (not isnan(trait2)) from example_phenotype",
     "stream_plate_rates": "select plate, count(*) as n_calls, count(*) filter (not coalesce(regexp_matches(trim(split_part(gt, ':', 1)), '^[0-9]+[/|][0-9]+$'), false)) as n_missing from vcf_calls group by 1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from allelica.functions.keys import materialize
 from allelica.operators import haplotypes as H
 from allelica.operators import ld, qc, segmentation
+from allelica.operators import prediction as P
 from allelica.sources import readers
 
 
@@ -44,3 +45,30 @@ def run(spark: SparkSession, source: str | DataFrame, maf_cut: float = 0.05, min
     kept_alleles = H.alleles(haps, min_freq, top_n)
     feats = H.features(haps, kept_alleles, encoding)
     return Result(geno, blocks, haps, H.diversity(haps, phased is not None), kept_alleles, feats, qc.check_haplotypes(feats, kept_alleles))
+
+
+@dataclass(frozen=True)
+class Prediction:
+    relationship: DataFrame
+    gebv: DataFrame
+    effects: DataFrame
+    importance: DataFrame
+    overall: DataFrame
+
+
+def predict(geno: DataFrame, blocks: DataFrame, pheno: DataFrame, rule: str = "any", min_freq: float = 0.01, top_n: int | None = None, min_snps: int = 3, bend: bool = True) -> Prediction:
+    """Haplotype-based prediction per trait: relationship, values of all samples, variant effects, importance of each block
+    per trait and over the traits (``rule``: any, all, mean)."""
+    haps = H.extract(geno, blocks, min_snps)
+    grm = materialize(H.relationship(H.features(haps, H.alleles(haps, min_freq, top_n)), bend=bend), "grm")
+    gebv = materialize(P.gblup(grm, pheno), "gebv")
+    effects = importance = None
+    for r in gebv.select("trait").distinct().orderBy("trait").collect():
+        e = P.backsolve(geno, gebv.where(F.col("trait") == r["trait"]), grm)
+        i = P.block_importance(P.local_gebv(geno, blocks, e)).withColumn("trait", F.lit(r["trait"]))
+        e = e.withColumn("trait", F.lit(r["trait"]))
+        effects = e if effects is None else effects.unionByName(e)
+        importance = i if importance is None else importance.unionByName(i)
+    if importance is None:
+        raise ValueError("no trait has enough phenotyped samples")
+    return Prediction(grm, gebv, effects, importance, P.importance_over_traits(importance, rule))

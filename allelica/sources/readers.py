@@ -87,15 +87,19 @@ def read_numeric(spark: SparkSession, path: str, sep: str = ",", na: tuple[str,
     return d.select("*", F.col("s.sample_id").alias("sample_id"), F.when(~v.isin(*na), F.expr("try_cast(trim(s.v) as double)")).cast("int").alias("dosage")).select(*OUT)
 
 
-def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = None) -> DataFrame:
-    """Eleven leading columns, then two-letter calls; the dosage counts letters equal to ALT (second of ``alleles``)."""
+def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Eleven leading columns, then two-letter calls; the dosage counts letters equal to ALT (second of ``alleles``).
+    ``strict``: calls with any other letter than REF and ALT are missing."""
     body, head = _lines(spark, path, "\t")
     alleles = F.split(_get(1), "/")
     ref, alt = F.get(alleles, F.lit(0)), F.get(alleles, F.lit(1))
     d = body.where(F.size("f") == len(head)).select(*_base(_get(0), _get(2), _get(3), ref, alt), _samples(sample_ids or head[len(HAPMAP) :], len(HAPMAP)))
     v = F.upper(F.trim("s.v"))
     n = (F.substring(v, 1, 1) == F.col("alt_allele")).cast("int") + (F.substring(v, 2, 1) == F.col("alt_allele")).cast("int")
-    return d.select("*", F.col("s.sample_id").alias("sample_id"), F.when(~v.isin(*MISSING) & (F.length(v) == 2), n).alias("dosage")).select(*OUT)
+    ok = ~v.isin(*MISSING) & (F.length(v) == 2)
+    if strict:
+        ok = ok & F.substring(v, 1, 1).isin(F.col("ref_allele"), F.col("alt_allele")) & F.substring(v, 2, 1).isin(F.col("ref_allele"), F.col("alt_allele"))
+    return d.select("*", F.col("s.sample_id").alias("sample_id"), F.when(ok, n).alias("dosage")).select(*OUT)
 
 
 def _vcf(spark: SparkSession, path: str) -> DataFrame:
