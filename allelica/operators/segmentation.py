@@ -195,9 +195,9 @@ def resolve_overlap(blocks: list[tuple[int, int]], r2: np.ndarray, k: int = 10)
     return [b for b in out if b[1] >= b[0]]
 
 
-def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest: int = 1500, max_bp: int = 5_000_000) -> DataFrame:
+def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest: int = 1500, max_bp: int = 5_000_000, pairs: DataFrame | None = None) -> DataFrame:
     """chr, pos, snp, rank, piece: pieces end where no strong pair crosses, and within longer runs every ``longest`` variants."""
-    pairs = ld.pair_r2(variants, max_bp, cut)
+    pairs = ld.pair_r2(variants, max_bp, cut) if pairs is None else pairs
     scan = ld.boundary_scan(pairs, variants, leng, cut).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "valid")
     r = ranked(variants).join(scan, F.expr("chr = _c and snp = _s"), "left").drop("_c", "_s")
     r = running_sum(r, "chr", "pos", ["pos", "snp"], F.coalesce("valid", F.lit(0)), "run").withColumn("run", F.col("run") - F.coalesce("valid", F.lit(0)))
@@ -208,15 +208,17 @@ def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest:
     return r.withColumn("piece", F.concat_ws(":", "run", F.floor(at / longest))).select("chr", "pos", "snp", "rank", "piece")
 
 
-def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000) -> DataFrame:
+def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000, pairs: DataFrame | None = None) -> DataFrame:
     """Blocks: chr, start_ix, end_ix (over all variants of the chromosome, in order), start_rsid, end_rsid, start_bp,
-    end_bp, n_snps, length_bp. Variants below ``maf`` or without variance take part in no graph but count in the indices."""
-    # read by the frequency filter, the pairs, the ranks and the pieces
-    variants = materialize(variants, "variants")
+    end_bp, n_snps, length_bp. Variants below ``maf`` or without variance take part in no graph but count in the indices.
+    ``pairs``: r2 of pairs that are computed already, at least those with r2 >= cut."""
+    if pairs is None:
+        # read by the frequency filter, the pairs, the ranks and the pieces
+        variants = materialize(variants, "variants")
     ranks = ranked(variants, "ix")
     f = F.aggregate("dosages", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n")), lambda a: F.try_divide(a["s"], 2 * a["n"]))
     good = variants.withColumn("_f", f).where(F.least(F.col("_f"), 1 - F.col("_f")) >= maf).drop("_f")
-    pieces = cut_points(good, cut, leng, longest, max_bp).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "piece")
+    pieces = cut_points(good, cut, leng, longest, max_bp, pairs).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "piece")
     d = good.join(pieces, F.expr("chr = _c and snp = _s")).drop("_c", "_s").join(ranks.select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "ix"), F.expr("chr = _c and snp = _s")).drop("_c", "_s")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -280,8 +282,12 @@ def tune(variants: DataFrame, gwas: DataFrame, grid: list[dict], band: tuple[int
     from allelica.operators.relational import nearest_interval
 
     spark, out = variants.sparkSession, None
+    if grid:
+        # the strong pairs of the lowest cut serve all parameter sets
+        variants = materialize(variants, "variants")
+        pairs = materialize(ld.pair_r2(variants, 5_000_000, min(p.get("cut", 0.5) for p in grid)), "pairs")
     for i, p in enumerate(grid):
-        b = materialize(segment(variants, **p).select(F.concat_ws("_", F.lit("block"), "chr", "start_bp", "end_bp").alias("block_id"), "chr", "start_bp", "end_bp"), "blocks")
+        b = materialize(segment(variants, pairs=pairs, **p).select(F.concat_ws("_", F.lit("block"), "chr", "start_bp", "end_bp").alias("block_id"), "chr", "start_bp", "end_bp"), "blocks")
         a = nearest_interval(gwas, b, "snp").agg(F.count_if("forced").alias("n_forced"), F.count_if(F.col("block_id").isNull()).alias("n_unassigned"))
         m = b.agg(F.count(F.lit(1)).alias("n_blocks"), F.median(F.col("end_bp") - F.col("start_bp") + 1).alias("median_block_bp"))
         s = a.join(m).select(F.lit(i).alias("row"), F.lit(str(sorted(p.items()))).alias("params"), "n_blocks", (F.col("n_forced") + F.col("n_unassigned")).alias("n_outside"), "n_forced", "n_unassigned", "median_block_bp", F.greatest(F.lit(0.0), band[0] - F.col("median_block_bp"), F.col("median_block_bp") - band[1]).alias("penalty_bp"))

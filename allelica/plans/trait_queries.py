@@ -83,7 +83,7 @@ def _effects(spark, d):
 
 def stacking_index(spark, d):
     s = P.stacking(_haps(spark, d), _effects(spark, d))
-    return s.select("id", (F.round("stacking_index", 6) + 0.0).alias("stacking_index"), "n_blocks_scored", F.round("mean_block_score", 6).alias("mean_block_score"))
+    return s.select("id", (F.round("stacking_index", 6) + 0.0).alias("stacking_index"), "n_blocks_scored", (F.round("mean_block_score", 6) + 0.0).alias("mean_block_score"))
 
 
 def parent_inventory(spark, d):
@@ -265,7 +265,7 @@ SQL = {
     "rank_blocks_diversity": f"with {HAP_SQL}, {_DIV} select block_id, round(he + n_eff_alleles / max(n_eff_alleles) over () / 10, 6) as rank_score from div order by he + n_eff_alleles / max(n_eff_alleles) over () / 10 desc, block_id limit 5",
     "integrate_priority": f"with {HAP_SQL}, {_DIV}, {GWAS_SQL}, loc as (select block_id, sample_id, coalesce(sum((dosage - 1) * effect), 0) as v from geno g join snps s on g.snp = s.snp join blocks b on g.chr = b.chr and g.pos between start_bp and end_bp group by all), {_IMP}, q as (select distinct block_id from blocks b join gwas g on g.chr = b.chr and g.pos between start_bp and end_bp where p <= 2e-7), e as (select d.block_id, q.block_id is not null g, vs >= 0.9 m, he >= 0.3 d from div d join imp i on d.block_id = i.block_id left join q on q.block_id = d.block_id) select block_id, g as has_gwas_hit, m as is_important, d as is_diverse, g::int + m::int + d::int as priority_score, case when g and m and d then 'all three lines of evidence' when g and m then 'association and prediction, little diversity' when g and d then 'association with diversity' when m and d then 'prediction with diversity' when g then 'association only' when m then 'prediction only' when d then 'diversity only' else 'none' end as recommendation from e",
     "decompose_effects": f"with {_EFF} select block_id, allele, round(frequency, 6) as frequency, round(allele_effect, 6) as allele_effect, (rank() over (partition by block_id order by round(allele_effect, 9) desc))::int as effect_rank from eff",
-    "stacking_index": f"with {_EFF}, s as (select sample_id as id, h.block_id, coalesce(allele_effect, 0) as sc from hap h left join eff e on h.block_id = e.block_id and h.hap = e.allele where not contains(hap, '.')), t as (select id, sum(sc) t, count(*) n, avg(sc) m from s group by 1) select id, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) + 0.0::double as stacking_index, n as n_blocks_scored, round(m, 6) as mean_block_score from t",
+    "stacking_index": f"with {_EFF}, s as (select sample_id as id, h.block_id, coalesce(allele_effect, 0) as sc from hap h left join eff e on h.block_id = e.block_id and h.hap = e.allele where not contains(hap, '.')), t as (select id, sum(sc) t, count(*) n, avg(sc) m from s group by 1) select id, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) + 0.0::double as stacking_index, n as n_blocks_scored, round(m, 6) + 0.0::double as mean_block_score from t",
     "parent_inventory": f"with {_EFF} select sample_id as id, h.block_id, e.allele, (h.hap = e.allele)::int as dosage, round(frequency, 6) as allele_freq, round(allele_effect, 6) as allele_effect, frequency < 0.1 as is_rare from hap h join eff e on h.block_id = e.block_id where not contains(h.hap, '.')",
     "wald_scan": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('true', '0')} select trait, hap_id, n, round(effect, 6) as effect, round(se, 6) as se, round(effect / se, 5) as t_stat from t0",
     "bh_fdr": f"with {SNP_SQL}, {GWAS_SQL}, q as (select snp, trait, p * 1e5 as p from gwas), r as (select *, rank() over (partition by trait order by p desc) dr, count(*) over (partition by trait) n, count(*) over (partition by trait order by p range unbounded preceding) k from q) select snp, trait, round(least(1, min(p * n / k) over (partition by trait order by p desc range unbounded preceding)), 9) as p_fdr from r",
