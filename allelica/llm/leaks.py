@@ -3,7 +3,7 @@
 Both sides are reduced to words (case, accents, punctuation, entities, layout, hyphens, markup, references and comments
 don't count). Fixed masks over consecutive words ignore selected positions; equal masked words of a document and an item
 are a hit. Hits on nearby diagonals must cover a share of the item that every true passage reaches; those candidates are
-aligned word by word.
+aligned word by word on the band's diagonals.
 
 Scale: the corpus is read once and never shuffled; a document is searched whole, in Arrow batches, against the items'
 seeds, which are broadcast in blocks of at most ``BLOCK_WORDS`` item words (a fixed size bound): more items make more
@@ -12,7 +12,6 @@ blocks, not a larger broadcast. Only leaks leave the workers.
 
 from __future__ import annotations
 
-import difflib
 import html
 import re
 import unicodedata
@@ -87,27 +86,59 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def passage(item: list[str], doc: list[str], edits: float = EDITS) -> tuple[int, int]:
-    """(item words, edits) of the longest stretch of the alignment of an item with a window of a document in which at
-    most one in ``1 / edits`` item words is changed, added or dropped."""
-    steps: list[tuple[int, int]] = []  # item words, edits
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, item, doc, autojunk=False).get_opcodes():
-        if kind == "equal":
-            steps += [(1, 0)] * (b - a)
-        else:
-            n, m = b - a, d - c
-            steps += [(1, 1)] * min(n, m) + [(1, 1)] * max(0, n - m) + [(0, 1)] * max(0, m - n)
-    best = (0, 0)
-    w = np.concatenate([[0], np.cumsum([s[0] for s in steps])]) if steps else np.zeros(1)
-    e = np.concatenate([[0], np.cumsum([s[1] for s in steps])]) if steps else np.zeros(1)
-    starts = [i for i, s in enumerate(steps) if s == (1, 0) and (i == 0 or steps[i - 1] != (1, 0))]
-    ends = [i + 1 for i, s in enumerate(steps) if s == (1, 0) and (i + 1 == len(steps) or steps[i + 1] != (1, 0))]
-    for i in starts:
-        for j in ends:
-            if j > i:
-                n, x = int(w[j] - w[i]), int(e[j] - e[i])
-                if n > best[0] and x <= edits * n:
-                    best = (n, x)
+def _band(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Whether item word i equals the document's word on diagonal low + d, as an (i, d) table. Code 0 equals nothing."""
+    width = high - low + 1
+    padded = np.zeros(len(item) + width - 1, "uint64")
+    part = doc[max(0, low) : max(0, low + len(padded))]
+    padded[max(0, -low) : max(0, -low) + len(part)] = part
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[: len(item)] == item[:, None]
+
+
+def passage(item: list[str] | np.ndarray, doc: list[str] | np.ndarray, low: int | None = None, high: int | None = None, least: int = 1, edits: float = EDITS) -> tuple[int, int]:
+    """(item words, edits) of the longest stretch of an item, of ``least`` words or more, that stands in a document with at
+    most one in ``1 / edits`` of its words changed, added or dropped; (0, 0) if there is none. Words or codes (0: a word
+    that the item hasn't). Its diagonals (document place less item place) lie between ``low`` and ``high``.
+
+    Exact: for each number of edits, the furthest item word reached from every start on every diagonal (a stretch starts
+    and ends with an equal word, so a start is the first word of a run)."""
+    if not isinstance(item, np.ndarray):
+        code = {w: i + 1 for i, w in enumerate(dict.fromkeys(item))}
+        item, doc = np.array([code[w] for w in item], "uint64"), np.array([code.get(w, 0) for w in doc], "uint64")
+    n = len(item)
+    low, high = max(1 - n, -n if low is None else low), min(len(doc) - 1, len(doc) if high is None else high)
+    if not n or high < low:
+        return 0, 0
+    same = _band(item, doc, low, high)
+    run = np.zeros((n + 1, high - low + 1), "int32")
+    for i in range(n - 1, -1, -1):
+        run[i] = (run[i + 1] + 1) * same[i]
+    first = same.copy()
+    first[1:] &= ~same[:-1]
+    # a diagonal's equal words up to the furthest one are reached with no more edits: the last of them ends the stretch
+    last = np.zeros_like(run)
+    last[1:] = np.maximum.accumulate(np.where(same, np.arange(1, n + 1, dtype="int32")[:, None], 0), 0)
+    i0, d0 = np.nonzero(first[: n - least + 1])
+    most, best = int(edits * n), (0, 0)
+    chunk = max(1, (1 << 20) // (2 * most + 1))
+    for at in range(0, len(i0), chunk):
+        i, d = i0[at : at + chunk, None], d0[at : at + chunk, None] + np.arange(-most, most + 1)
+        inside = (d >= 0) & (d < run.shape[1])
+        d = np.clip(d, 0, run.shape[1] - 1)
+        reach = np.full(d.shape, -1, "int64")
+        reach[:, most] = i[:, 0]
+        for e in range(most + 1):
+            if e:
+                on = np.where(reach >= 0, np.minimum(reach + 1, n), -1)
+                new = on.copy()
+                np.maximum(new[:, 1:], reach[:, :-1], out=new[:, 1:])
+                np.maximum(new[:, :-1], on[:, 1:], out=new[:, :-1])
+                reach = np.where(inside, new, -1)
+            reach += np.where(reach >= 0, run[reach, d], 0)
+            got = np.where(reach >= 0, last[reach, d] - i, 0)
+            got = int(np.where(e <= edits * got, got, 0).max())
+            if got >= least and got > best[0]:
+                best = (got, e)
     return best
 
 
@@ -176,13 +207,7 @@ def _enough(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
     less than an alignment. A passage's unedited words do: each lies on a diagonal that edits can't have moved by more
     than their number."""
     drift = int(EDITS * len(item)) + 1
-    width = high - low + 2 * drift + 1
-    padded = np.zeros(len(item) + width, "uint64")
-    a = low - drift
-    part = doc[max(0, a) : max(0, a + len(padded))]
-    padded[max(0, -a) : max(0, -a) + len(part)] = part
-    view = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(item)]
-    return (view == item[:, None]).any(1).sum() >= LEAST * (1 - EDITS) * len(item)
+    return _band(item, doc, low - drift, high + drift).any(1).sum() >= LEAST * (1 - EDITS) * len(item)
 
 
 #: Words of documents that are searched at once; a longer document is searched by itself.
@@ -226,8 +251,9 @@ def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int
     order = np.lexsort((pos - at, item, doc))
     doc, item, at, pos, span = doc[order], item[order], at[order], pos[order], span[order]
     diag = pos - at
-    # bands of an item's diagonals: a new one where the next diagonal is far
-    band = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diag) > BAND))])
+    # bands of an item's diagonals: a new one where the next diagonal is farther than a passage's edits can take it
+    far = np.maximum(BAND, (EDITS * items.lengths[item[1:]]).astype("int64"))
+    band = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diag) > far))])
     first = np.flatnonzero(np.concatenate([[True], np.diff(band) > 0]))
     # seeds cover at most the sum of their lengths: most bands, one chance phrase each, end here
     most = np.bincount(band, weights=span)
@@ -239,10 +265,10 @@ def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int
         d, k = int(doc[first[x]]), int(item[first[x]])
         length = int(items.lengths[k])
         lowest, highest = int(diag[mine.start]), int(diag[mine.stop - 1])
-        step = max(BAND, length // 2)
+        step, drift = max(BAND, length // 2), max(BAND, int(EDITS * length) + 1)
         # one window per stretch of about half an item, however far the band goes
         for start in range(lowest, highest + 1, step):
-            here = (diag[mine] >= start - BAND) & (diag[mine] < start + step + BAND)
+            here = (diag[mine] >= start - drift) & (diag[mine] < start + step + drift)
             seen = np.zeros(length + gap, bool)
             for i, n in set(zip(at[mine][here].tolist(), span[mine][here].tolist())):
                 seen[i : i + n] = True
@@ -251,8 +277,8 @@ def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int
             own = codes[starts[d] : starts[d] + sizes[d]]
             if not _enough(items.codes[k], own, start, min(highest, start + step)):
                 continue
-            got = passage(items.words[k], docs[d][max(0, start - BAND) : start + length + step + BAND])
-            if got[0] >= LEAST * length and got[0] > found.get((d, k), (0, 0))[0]:
+            got = passage(items.codes[k], own, start - drift, min(highest, start + step) + drift, int(np.ceil(LEAST * length)))
+            if got[0] > found.get((d, k), (0, 0))[0]:
                 found[d, k] = got
     return [(*dk, *v) for dk, v in sorted(found.items())]
 

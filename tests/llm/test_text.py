@@ -84,6 +84,40 @@ def test_leaks(spark):
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_passage_beside_a_longer_fragment(spark):
+    words = [f"w{i}" for i in range(60)]
+    part = words[26:60]
+    part[8], part[17], part[26] = "x", "y", "z"  # 34 words, no run of 13
+    docs = [(1, part + ["a", "b", "c", "d"] + words[8:21]), (2, words[8:21] + ["a", "b", "c", "d"] + part), (3, part), (4, words[8:21] * 3)]
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_edits"]) for r in leaks.leaked_items(df, it).collect())
+    assert got == [(1, 34, 3), (2, 34, 3), (3, 34, 3)]
+
+
+def test_passage_is_exact():
+    """Against an edit distance of every item stretch with every document stretch."""
+    rng = random.Random(9)
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row
+
+    for _ in range(60):
+        it = [rng.choice("abcdefgh") for _ in range(12)]
+        doc = it[:]
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(doc))
+            doc[at : at + 1] = rng.choice([[], ["x"], [doc[at], "x"], [rng.choice("abc")]])
+        doc = [rng.choice("abcdefgh") for _ in range(3)] + doc + [rng.choice("abcdefgh") for _ in range(3)]
+        best = max((b - a for a in range(12) for b in range(a + 1, 13) if any(min(edit(it[a:b], doc[j:])) <= 0.25 * (b - a) and any(x <= 0.25 * (b - a) and k and doc[j] == it[a] and doc[j + k - 1] == it[b - 1] for k, x in enumerate(edit(it[a:b], doc[j:]))) for j in range(len(doc)))), default=0)
+        assert leaks.passage(it, doc, edits=0.25)[0] == best, (it, doc)
+
+
 def test_short_items(spark):
     it = spark.createDataFrame([(1, "alpha"), (2, "one two three four"), (3, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
     part = [f"w{i}" for i in range(20)]
