@@ -135,8 +135,8 @@ def cross_r2(variants: DataFrame, n_side: int = 50, seed: int = 42) -> DataFrame
 
 
 def boundary_scan(pairs: DataFrame, snps: DataFrame, half: int, threshold: float) -> DataFrame:
-    """chr, pos, snp, rank, valid: valid is 1 if no pair of variants across the cut after this variant, within ``half``
-    variants on either side, has r2 >= threshold. The last variant of a chromosome is no cut.
+    """chr, pos, snp, rank, valid, crossing: valid is 1 if no pair of variants across the cut after this variant, within
+    ``half`` variants on either side, has r2 >= threshold; crossing counts them. The last variant of a chromosome is no cut.
 
     A strong pair (i, j) blocks the cuts max(i, j - half) .. min(j - 1, i + half - 1); blocked stretches are counted by a
     running sum of their ends.
@@ -153,7 +153,7 @@ def boundary_scan(pairs: DataFrame, snps: DataFrame, half: int, threshold: float
     d = running_sum(d, "chr", "pos", ["pos", "snp"], F.coalesce("_v", F.lit(0)), "_n")
     last = ranks.groupBy(F.col("chr").alias("_c")).agg(F.max("rank").alias("_last"))
     d = d.join(last, F.expr("chr = _c")).drop("_c")
-    return d.where("rank < _last").select("chr", "pos", "snp", "rank", (F.col("_n") == 0).cast("int").alias("valid"))
+    return d.where("rank < _last").select("chr", "pos", "snp", "rank", (F.col("_n") == 0).cast("int").alias("valid"), F.col("_n").alias("crossing"))
 
 
 def kinship(variants: DataFrame, samples_max: int = 20_000) -> tuple[np.ndarray, list]:

@@ -3,6 +3,7 @@
 A chromosome is first cut where no strong pair crosses within a window (a distributed scan of the sparse pairs), and runs
 longer than ``longest`` are cut at the weakest places; each piece is then segmented in one task of bounded size: graph
 of strong pairs, greedy cliques (or communities), and the heaviest set of disjoint index ranges, repeated on what is left.
+The two blocks beside a cut that was forced on a run are then segmented again as one.
 """
 
 from __future__ import annotations
@@ -196,16 +197,36 @@ def resolve_overlap(blocks: list[tuple[int, int]], r2: np.ndarray, k: int = 10)
 
 
 def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest: int = 1500, max_bp: int = 5_000_000, pairs: DataFrame | None = None) -> DataFrame:
-    """chr, pos, snp, rank, piece: pieces end where no strong pair crosses, and within longer runs every ``longest`` variants."""
+    """chr, pos, snp, rank, run, piece: runs end where no strong pair crosses. A run of more than ``longest`` variants is cut
+    into pieces of at most that many: in each of its stretches of ``longest / 2``, but for the first and the last, after the
+    variant that fewest strong pairs cross."""
     pairs = ld.pair_r2(variants, max_bp, cut) if pairs is None else pairs
-    scan = ld.boundary_scan(pairs, variants, leng, cut).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "valid")
+    # both are read several times; written, they keep the plan (and the driver's memory) from growing with each reading
+    scan = materialize(ld.boundary_scan(pairs, variants, leng, cut).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "valid", "crossing"), "scan")
     r = ranked(variants).join(scan, F.expr("chr = _c and snp = _s"), "left").drop("_c", "_s")
     r = running_sum(r, "chr", "pos", ["pos", "snp"], F.coalesce("valid", F.lit(0)), "run").withColumn("run", F.col("run") - F.coalesce("valid", F.lit(0)))
+    r = materialize(r, "runs")
     # a variant's place in its run, from the run's first rank
-    first = r.groupBy(F.col("chr").alias("_c"), F.col("run").alias("_run")).agg(F.min("rank").alias("_first"))
+    first = r.groupBy(F.col("chr").alias("_c"), F.col("run").alias("_run")).agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     r = r.join(first, F.expr("chr = _c and run = _run")).drop("_c", "_run")
-    at = F.col("rank") - F.col("_first")
-    return r.withColumn("piece", F.concat_ws(":", "run", F.floor(at / longest))).select("chr", "pos", "snp", "rank", "piece")
+    half = max(1, longest // 2)
+    r = r.withColumn("_at", F.col("rank") - F.col("_first")).withColumn("_slot", F.floor(F.col("_at") / half)).withColumn("_slots", F.when(F.col("_n") > longest, F.floor((F.col("_n") - 1) / half) - 1).otherwise(0))
+    weak = r.where("_slot between 1 and _slots").groupBy(F.col("chr").alias("_c"), F.col("run").alias("_run"), F.col("_slot").alias("_k")).agg(F.min(F.struct("crossing", "_at"))["_at"].alias("_cut"))
+    r = r.join(weak, F.expr("chr = _c and run = _run and _slot = _k"), "left")
+    before = F.greatest(F.lit(0), F.least(F.col("_slot") - 1, F.col("_slots"))) + F.coalesce((F.col("_at") > F.col("_cut")).cast("int"), F.lit(0))
+    return r.select("chr", "pos", "snp", "rank", "run", F.concat_ws(":", "run", before).alias("piece"))
+
+
+_COLUMNS = {"chr": "string", "start_ix": "int", "end_ix": "int", "start_rsid": "string", "end_rsid": "string", "start_bp": "int", "end_bp": "int", "n_snps": "int", "length_bp": "int"}
+_SCHEMA = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
+
+
+def _blocks(pdf: pd.DataFrame, cut: float, mode: str, gap: int) -> list[tuple]:
+    """Rows of ``_COLUMNS``: blocks of a piece's variants (in order of ix), in order."""
+    x, _ = ld.matrix(pdf["sample_ids"].tolist(), pdf["dosages"].tolist())
+    r2, pos, ix, snp = ld.r2_matrix(x), pdf["pos"].to_numpy(), pdf["ix"].to_numpy(), pdf["snp"].to_numpy()
+    found = resolve_overlap(blocks_of(bins_of(r2, pos, cut, mode, gap)), r2)
+    return [(pdf["chr"].iloc[0], int(ix[s]), int(ix[e]), snp[s], snp[e], int(pos[s]), int(pos[e]), e - s + 1, int(pos[e] - pos[s] + 1)) for s, e in found]
 
 
 def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000, pairs: DataFrame | None = None) -> DataFrame:
@@ -218,18 +239,42 @@ def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng:
     ranks = ranked(variants, "ix")
     f = F.aggregate("dosages", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n")), lambda a: F.try_divide(a["s"], 2 * a["n"]))
     good = variants.withColumn("_f", f).where(F.least(F.col("_f"), 1 - F.col("_f")) >= maf).drop("_f")
-    pieces = cut_points(good, cut, leng, longest, max_bp, pairs).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "piece")
-    d = good.join(pieces, F.expr("chr = _c and snp = _s")).drop("_c", "_s").join(ranks.select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "ix"), F.expr("chr = _c and snp = _s")).drop("_c", "_s")
+    pieces = cut_points(good, cut, leng, longest, max_bp, pairs).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "run", "piece")
+    # read by the segmentation and by the search for forced cuts
+    pieces = materialize(pieces.join(ranks.select("chr", "snp", "ix"), F.expr("chr = _c and snp = _s")).select("_c", "_s", "run", "piece", "ix"), "pieces")
+    d = good.join(pieces, F.expr("chr = _c and snp = _s")).drop("_c", "_s")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ix").reset_index(drop=True)
-        x, _ = ld.matrix(pdf["sample_ids"].tolist(), pdf["dosages"].tolist())
-        r2, pos = ld.r2_matrix(x), pdf["pos"].to_numpy()
-        found = resolve_overlap(blocks_of(bins_of(r2, pos, cut, mode, gap)), r2)
-        rows = [(pdf["chr"][s], int(pdf["ix"][s]), int(pdf["ix"][e]), pdf["snp"][s], pdf["snp"][e], int(pos[s]), int(pos[e]), e - s + 1, int(pos[e] - pos[s] + 1)) for s, e in found]
-        return pd.DataFrame(rows, columns=["chr", "start_ix", "end_ix", "start_rsid", "end_rsid", "start_bp", "end_bp", "n_snps", "length_bp"])
+        return pd.DataFrame(_blocks(pdf, cut, mode, gap), columns=[*_COLUMNS]).assign(run=pdf["run"][0], piece=pdf["piece"][0])
+
+    b = d.groupBy("chr", "piece").applyInPandas(run, f"{_SCHEMA}, run int, piece string")
+    if pieces.where("piece not like '%:0'").isEmpty():
+        return b.drop("run", "piece")
+    return _joined(materialize(b, "blocks"), d, cut, mode, gap)
 
-    return d.groupBy("chr", "piece").applyInPandas(run, "chr string, start_ix int, end_ix int, start_rsid string, end_rsid string, start_bp int, end_bp int, n_snps int, length_bp int")
+
+def _joined(blocks: DataFrame, d: DataFrame, cut: float, mode: str, gap: int) -> DataFrame:
+    """Blocks after the two on either side of each forced cut have been segmented again as one, from the left: where a piece
+    is a single block, the last block of the left union goes into the next. Such a chain is one task; others are pairs."""
+    w = W.partitionBy("chr").orderBy("start_ix")
+    linked = (F.lag("run").over(w) == F.col("run")) & (F.lag("piece").over(w) != F.col("piece"))
+    b = blocks.withColumn("_new", F.when(linked, 0).otherwise(1)).withColumn("chain", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    chains = b.groupBy(F.col("chr").alias("_c"), "chain").agg(F.min("start_ix").alias("_lo"), F.max("end_ix").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("start_ix", "end_ix"))).alias("_b")).where("_n > 1")
+    alone = b.join(chains.select("_c", F.col("chain").alias("_k")), F.expr("chr = _c and chain = _k"), "left_anti").select(*_COLUMNS)
+    x = d.join(chains, F.expr("chr = _c and ix between _lo and _hi"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ix").reset_index(drop=True)
+        parts, out, last = [(p["start_ix"], p["end_ix"]) for p in pdf["_b"][0]], [], []
+        at = parts[0][0]
+        for _, end in parts[1:]:
+            found = _blocks(pdf[(pdf["ix"] >= at) & (pdf["ix"] <= end)], cut, mode, gap)
+            out, last = out + found[:-1], found[-1:]
+            at = last[0][1] if last else end + 1
+        return pd.DataFrame(out + last, columns=[*_COLUMNS])
+
+    return alone.unionByName(x.groupBy("chr", "chain").applyInPandas(run, _SCHEMA))
 
 
 def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: float = 0.6, reach: int = 20) -> DataFrame:

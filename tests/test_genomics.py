@@ -99,6 +99,26 @@ def test_segmentation_finds_planted_blocks(spark, geno):
     assert all(r["length_bp"] == r["end_bp"] - r["start_bp"] + 1 for r in b)
 
 
+def test_forced_cuts_are_weak_and_joined_again(spark):
+    v = spark.createDataFrame([("1", 1000 * (i + 1), f"v{i:02}") for i in range(24)], "chr string, pos int, snp string")
+    strong = [(i, j) for lo, hi in ((0, 7), (7, 16), (16, 24)) for i, j in itertools.combinations(range(lo, hi), 2)] + [(6, 7), (15, 16)]
+    pairs = spark.createDataFrame([("1", f"v{i:02}", f"v{j:02}", 1.0) for i, j in strong], "chr string, snp_i string, snp_j string, r2 double")
+    piece = {r["snp"]: r["piece"] for r in segmentation.cut_points(v, longest=10, pairs=pairs).collect()}
+    sizes = [sum(p == q for q in piece.values()) for p in set(piece.values())]
+    # the stretches of five from 5 on hold one cut each: those of blocks at the blocks' ends
+    assert max(sizes) <= 10 and piece["v06"] != piece["v07"] and piece["v15"] != piece["v16"]
+    rng = np.random.default_rng(3)
+    one, two = rng.integers(0, 3, 60), rng.integers(0, 3, 60)
+    # every variant alike is a block over all forced cuts; two blocks linked by no pair stay two
+    g = [(f"s{s}", "1", 1000 * (i + 1), f"v{i:02}", int(one[s])) for i in range(34) for s in range(60)]
+    g += [(f"s{s}", "2", 1000 * (i + 1), f"w{i:02}", int((one if i < 13 else two)[s])) for i in range(26) for s in range(60)]
+    d = ld.variant_major(spark.createDataFrame(g, "sample_id string, chr string, pos int, snp string, dosage int"))
+    for mode in ("density", "maximal"):
+        b = segmentation.segment(d, mode=mode, longest=10).collect()
+        got = sorted((r["chr"], r["start_ix"], r["end_ix"], r["n_snps"], r["start_bp"], r["end_rsid"]) for r in b)
+        assert got == [("1", 1, 34, 34, 1000, "v33"), ("2", 1, 13, 13, 1000, "w12"), ("2", 14, 26, 13, 14000, "w25")]
+
+
 def test_cliques_and_scheduling():
     adj = np.zeros((6, 6), bool)
     for i, j in ((0, 1), (0, 2), (1, 2), (2, 3), (4, 5)):
