@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from allelica.functions.keys import materialize
 from allelica.operators import ld
-from allelica.operators.relational import ranked, running_sum
+from allelica.operators.relational import range_join, ranked, running_sum
 
 #: Maximal cliques that are listed before a piece falls back to communities: their number can be exponential.
 CLIQUES_MAX = 20_000
@@ -277,23 +277,34 @@ def _joined(blocks: DataFrame, d: DataFrame, cut: float, mode: str, gap: int) ->
     return alone.unionByName(x.groupBy("chr", "chain").applyInPandas(run, _SCHEMA))
 
 
-def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: float = 0.6, reach: int = 20) -> DataFrame:
-    """Blocks extended to the furthest variant within ``reach`` places of a border that is strong with more than ``share``
-    of the block's variants (pairs: all strong pairs), unless another block is in between."""
-    r = ranked(snps, "ix")
+def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: float = 0.6, cut: float = 0.5, mode: str = "density", gap: int = 40_000) -> DataFrame:
+    """Blocks extended to the furthest variant before the neighbouring block that is strong with more than ``share`` of the
+    block's variants (pairs: all strong pairs). Where extensions meet, the union of these blocks is segmented anew, and so
+    are the variants that stay between blocks, rare ones too (``snps`` has their dosages)."""
+    r = materialize(ranked(snps, "ix"), "ranks")
+    blocks = materialize(blocks.select("chr", "start_ix", "end_ix"), "blocks")
     w = W.partitionBy("chr").orderBy("start_ix")
-    b = blocks.select("chr", "start_ix", "end_ix", F.coalesce(F.lag("end_ix").over(w), F.lit(0)).alias("_lo"), F.coalesce(F.lead("start_ix").over(w), F.lit(1 << 30)).alias("_hi"))
-    # each border's neighbours, at most 2 * reach a block
-    cand = b.withColumn("ix", F.explode(F.expr(f"concat(sequence(start_ix - {reach}, start_ix - 1), sequence(end_ix + 1, end_ix + {reach}))"))).where("ix > _lo and ix < _hi and ix > 0")
-    both = pairs.select("chr", "snp_i", "snp_j").unionByName(pairs.select("chr", F.col("snp_j").alias("snp_i"), F.col("snp_i").alias("snp_j")))
+    b = blocks.withColumn("_lo", F.coalesce(F.lag("end_ix").over(w), F.lit(0))).withColumn("_hi", F.coalesce(F.lead("start_ix").over(w), F.lit(1 << 30)))
+    both = pairs.select("chr", "snp_i", "snp_j").withColumn("p", F.explode(F.array(F.struct("snp_i", "snp_j"), F.struct(F.col("snp_j").alias("snp_i"), F.col("snp_i").alias("snp_j"))))).select("chr", "p.snp_i", "p.snp_j")
     i, j = r.select(F.col("chr").alias("c1"), F.col("snp").alias("s1"), F.col("ix").alias("i")), r.select(F.col("chr").alias("c2"), F.col("snp").alias("s2"), F.col("ix").alias("j"))
-    edges = both.join(i, F.expr("chr = c1 and snp_i = s1")).join(j, F.expr("chr = c2 and snp_j = s2")).select(F.col("chr").alias("_c"), "i", "j")
-    n = cand.join(edges, F.expr("chr = _c and ix = i and j between start_ix and end_ix")).groupBy("chr", "start_ix", "end_ix", "ix").agg(F.countDistinct("j").alias("n"))
-    ok = n.where(F.col("n") > share * (F.col("end_ix") - F.col("start_ix") + 1))
-    ext = ok.groupBy("chr", "start_ix", "end_ix").agg(F.min("ix").alias("_a"), F.max("ix").alias("_z"))
-    d = blocks.select("chr", "start_ix", "end_ix").join(ext, ["chr", "start_ix", "end_ix"], "left").select("chr", F.least("start_ix", F.coalesce("_a", "start_ix")).alias("start_ix"), F.greatest("end_ix", F.coalesce("_z", "end_ix")).alias("end_ix"))
-    # two blocks may have reached for the same variants: the earlier keeps them
-    d = d.withColumn("start_ix", F.greatest("start_ix", F.coalesce(F.lag("end_ix").over(W.partitionBy("chr").orderBy("start_ix")) + 1, F.lit(1))))
+    edges = both.join(i, F.expr("chr = c1 and snp_i = s1")).join(j, F.expr("chr = c2 and snp_j = s2")).select("chr", "i", "j")
+    n = range_join(edges, b, "j", "start_ix", "end_ix").where("i > _lo and i < _hi and not i between start_ix and end_ix").groupBy("chr", "start_ix", "end_ix", "i").agg(F.countDistinct("j").alias("n"))
+    ext = n.where(F.col("n") > share * (F.col("end_ix") - F.col("start_ix") + 1)).groupBy("chr", "start_ix", "end_ix").agg(F.min("i").alias("_a"), F.max("i").alias("_z"))
+    d = blocks.join(ext, ["chr", "start_ix", "end_ix"], "left").select("chr", F.least("start_ix", F.coalesce("_a", "start_ix")).alias("start_ix"), F.greatest("end_ix", F.coalesce("_z", "end_ix")).alias("end_ix"), F.col("start_ix").alias("_own"))
+    # blocks whose extensions meet are one extent; an extension ends before the next block, so only neighbours meet
+    w = W.partitionBy("chr").orderBy("_own")
+    d = d.withColumn("_new", F.when(F.col("start_ix") <= F.lag("end_ix").over(w), 0).otherwise(1)).withColumn("_k", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    d = materialize(d.groupBy("chr", "_k").agg(F.min("start_ix").alias("start_ix"), F.max("end_ix").alias("end_ix"), F.count(F.lit(1)).alias("_n")), "extents")
+    # every variant's last extent that starts before it; those in a single extended block are settled
+    starts = d.select(F.col("chr").alias("_c"), F.col("start_ix").alias("_s"))
+    at = running_sum(r.join(starts, F.expr("chr = _c and ix = _s"), "left"), "chr", "pos", ["pos", "snp"], F.col("_s").isNotNull().cast("int"), "_at")
+    at = at.join(d.select(F.col("chr").alias("_c1"), "_k", "end_ix", "_n"), F.expr("chr = _c1 and _at = _k"), "left").withColumn("_in", F.coalesce(F.expr("ix <= end_ix"), F.lit(False)))
+    at = at.where("not _in or _n > 1").select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), F.concat_ws("\x1f", "chr", "_at", "_in").alias("_region"))
+    left = snps.join(at, F.expr("chr = _c and snp = _s")).drop("chr", "_c", "_s").withColumnRenamed("_region", "chr").select("chr", "pos", "snp", "sample_ids", "dosages")
+    new = segment(left, cut, mode, gap=gap, maf=0.0).select(F.split("chr", "\x1f")[0].alias("chr"), "start_rsid", "end_rsid")
+    i, j = i.withColumnRenamed("i", "start_ix"), j.withColumnRenamed("j", "end_ix")
+    new = new.join(i, F.expr("chr = c1 and start_rsid = s1")).join(j, F.expr("chr = c2 and end_rsid = s2")).select("chr", "start_ix", "end_ix")
+    d = d.where("_n = 1").select("chr", "start_ix", "end_ix").unionByName(new)
     s = r.select(F.col("chr").alias("c1"), F.col("ix").alias("i"), F.col("snp").alias("start_rsid"), F.col("pos").alias("start_bp"))
     e = r.select(F.col("chr").alias("c2"), F.col("ix").alias("j"), F.col("snp").alias("end_rsid"), F.col("pos").alias("end_bp"))
     return d.join(s, F.expr("chr = c1 and start_ix = i")).join(e, F.expr("chr = c2 and end_ix = j")).select("chr", "start_ix", "end_ix", "start_rsid", "end_rsid", "start_bp", "end_bp", (F.col("end_ix") - F.col("start_ix") + 1).alias("n_snps"), (F.col("end_bp") - F.col("start_bp") + 1).alias("length_bp"))
@@ -302,8 +313,6 @@ def append_rare(blocks: DataFrame, pairs: DataFrame, snps: DataFrame, share: flo
 def with_singletons(blocks: DataFrame, snps: DataFrame) -> DataFrame:
     """Blocks (chr, start_bp, end_bp, n_snps) and one of a single variant for every variant in none. Repeated variants
     count once; variants without a place make no block."""
-    from allelica.operators.relational import range_join
-
     s = snps.where("chr is not null and pos is not null").select("chr", "pos", "snp").distinct()
     inside = range_join(s, blocks.select("chr", "start_bp", "end_bp")).select(F.col("chr").alias("_c"), F.col("pos").alias("_p"), F.col("snp").alias("_s")).distinct()
     alone = s.join(inside, F.expr("chr = _c and pos = _p and snp <=> _s"), "left_anti")

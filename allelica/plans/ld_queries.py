@@ -76,7 +76,7 @@ def ld_blocks_louvain(spark, d):
 
 def ld_blocks_extended(spark, d):
     v = _v(spark, d)
-    return segmentation.append_rare(segmentation.segment(v, cut=0.6), ld.pair_r2(v, threshold=0.4), v)
+    return segmentation.append_rare(segmentation.segment(v, cut=0.6), ld.pair_r2(v, threshold=0.4), v, cut=0.4)
 
 
 def tune_ld_params(spark, d):

@@ -119,6 +119,20 @@ def test_forced_cuts_are_weak_and_joined_again(spark):
         assert got == [("1", 1, 34, 34, 1000, "v33"), ("2", 1, 13, 13, 1000, "w12"), ("2", 14, 26, 13, 14000, "w25")]
 
 
+def test_appended_variants_far_off_and_leftover_blocks(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(0, 3, (60, 60))
+    # a block of 5, 25 unlike variants, one like the block, 3 alike in none, then two blocks that both claim variant 41
+    which = [0] * 5 + list(range(10, 35)) + [0] + [1] * 3 + [2] * 6 + [3] * 6
+    cols = [kinds[k] for k in which]
+    g = [(f"s{s}", "1", 1000 * (i + 1), f"v{i + 1:02}", int(c[s])) for i, c in enumerate(cols) for s in range(60)]
+    v = ld.variant_major(spark.createDataFrame(g, "sample_id string, chr string, pos int, snp string, dosage int"))
+    blocks = spark.createDataFrame([("1", 1, 5), ("1", 35, 38), ("1", 42, 46)], "chr string, start_ix int, end_ix int")
+    strong = spark.createDataFrame([("1", f"v{i:02}", f"v{j:02}") for i in range(1, 47) for j in range(i + 1, 47) if which[i - 1] == which[j - 1]] + [("1", f"v{i:02}", "v41") for i in range(35, 39)] + [("1", "v39", f"v{j:02}") for j in range(42, 47)], "chr string, snp_i string, snp_j string")
+    got = sorted((r["start_ix"], r["end_ix"], r["end_rsid"], r["n_snps"]) for r in segmentation.append_rare(blocks, strong, v).collect())
+    assert got == [(1, 31, "v31", 31), (32, 34, "v34", 3), (35, 40, "v40", 6), (41, 46, "v46", 6)]
+
+
 def test_cliques_and_scheduling():
     adj = np.zeros((6, 6), bool)
     for i, j in ((0, 1), (0, 2), (1, 2), (2, 3), (4, 5)):
