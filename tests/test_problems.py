@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,6 +38,16 @@ def test_periods_match_brute_force(spark):
     assert rows(got) == sorted(brute_periods(blocks), key=lambda r: tuple(str(x) for x in r))
 
 
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 300), st.integers(1, 90)), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_merged_blocks_are_the_decomposition_of_the_union(spans):
+    g, a, n = (np.array([x[i] for x in spans], "int64") for i in range(3))
+    blocks = intervals.canonical(g, a, a + n)
+    again = intervals.dyadic_blocks(*intervals.union(g, a, a + n))
+    assert sorted(zip(*(c.tolist() for c in blocks))) == sorted(zip(*(c.tolist() for c in again)))
+    assert {(i, x) for i, s, k in zip(*(c.tolist() for c in blocks)) for x in range(s, s + 2**k)} == {(i, x) for i, s, m in spans for x in range(s, s + m)}
+
+
 def test_periods_of_empty_table(spark):
     assert intervals.periods_and_gaps(spark.createDataFrame([], "k string, s int, e int"), ["k"], "s", "e").count() == 0
 
