@@ -27,12 +27,12 @@ def hot_keys(df: DataFrame, key: str, one_in: int = HOT_ONE_IN) -> DataFrame:
     return n.join(F.broadcast(total), F.col("_n") * one_in > F.col("_total")).select("_hot")
 
 
-def salted_sides(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
+def salted_sides(left: DataFrame, right: DataFrame, key: str, spread: str, right_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_salt``: rows of hot left keys are spread over ``SALTS``, only their partners are repeated."""
     hot = F.broadcast(hot_keys(left, key))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     a = left.join(hot, left[key] == hot["_hot"], "left").withColumn("_salt", salt).drop("_hot")
-    b = right.join(hot, right[key] == hot["_hot"], "left")
+    b = right.join(hot, right[right_key or key] == hot["_hot"], "left")
     b = b.withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return a, b
 
