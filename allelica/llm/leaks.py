@@ -1,13 +1,15 @@
 """Documents that hold passages of held-out test items, found by spaced seeds and verified by alignment.
 
 Both sides are reduced to words (case, accents, punctuation, entities, layout, hyphens, markup, references and comments
-don't count). Fixed masks over consecutive words ignore selected positions; equal masked words of a document and an item
-are a hit. Hits on nearby diagonals must cover a share of the item that every true passage reaches; those candidates are
-aligned word by word on the band's diagonals.
-
-Scale: the corpus is read once and never shuffled; a document is searched whole, in Arrow batches, against the items'
-seeds, which are broadcast in blocks of at most ``BLOCK_WORDS`` item words (a fixed size bound): more items make more
-blocks, not a larger broadcast. Only leaks leave the workers.
+don't count). Fixed masks over consecutive words ignore selected positions; the hashes of masked words of items and
+documents are joined. Hits on nearby diagonals must cover as many of the item's words as every true passage does; those
+candidates are aligned word by word on the band's diagonals.
+
+Scale: the corpus is read once, whatever the number of items. A register-blocked Bloom filter of the items' seeds, of
+bounded size, lets only seeds through that (almost surely) some item has; a document with such a seed sends the words around
+it, the rest of the corpus never leaves its task. Seeds are then joined by hash, frequent ones salted, hits are counted per
+stretch of a document, item and band of diagonals, and only candidates meet the words of both sides. Nothing but the filter
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -19,25 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from allelica.functions.keys import require_columns
+from allelica.functions.keys import materialize, require_columns
+from allelica.operators.skew import salted_sides
 
-#: Positions a seed looks at. The first has no gap: a passage of n words with at most n / 10 edits always holds seven
-#: words in a row, but for some short lengths. The next two also hit across a substituted word.
-MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7, 8), *(tuple(range(n)) for n in range(6, 0, -1)))
-#: Masks of items that are long enough; the shorter runs serve short items only, whose passages may hold no longer one.
-SPACED, LONGEST = (0, 1, 2), 9
+#: Words a seed looks at; the others are ignored, so that a substituted one there costs no hit. A passage of n words with at
+#: most n / 10 edits always holds seven words in a row, in which the first mask fits, but for some short lengths. The rest
+#: serve short items, whose passages may hold no longer run; runs of one or two words have no room for a gap.
+MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 2, 4, 5), (0, 1, 3, 4), (0, 1, 3), (0, 2), (0, 1), (0,))
+#: Span of the first mask.
+RUN = 7
 #: At least this share of an item's words must lie in a passage, and at most this share of the passage may be edited.
 LEAST, EDITS = 0.5, 0.1
-#: Share of the item that hits on nearby diagonals must cover before a candidate is aligned: with a tenth of a passage's
-#: words edited, so that runs of six between edits give no hit, 0.3 of the passage and thus 0.15 of the item remain covered.
-COVER = 0.15
-#: Width of a band of diagonals, in words.
+#: Least width of a band of diagonals, in words.
 BAND = 16
-BLOCK_WORDS = 1_000_000
+#: Most words of 64 bits in the filter (32 MB); at one word a seed up to that, it lets hardly any other seed through. A
+#: larger set of items only makes it less selective: what passes is joined exactly.
+FILTER_WORDS = 1 << 22
 
 _COMMENT = re.compile(r"<!--(.*?)(?:-->|\Z)", re.S)
 _REF = re.compile(r"<(ref|sup)\b(?:[^>]*/>|[^>]*>(.*?)</\1\s*>)", re.S | re.I)
@@ -143,53 +148,38 @@ def passage(item: list[str] | np.ndarray, doc: list[str] | np.ndarray, low: int
 
 
 class Codes(dict):
-    """Codes of words; 0 for a word that no item has."""
-
-    def __missing__(self, key: str) -> int:
-        return 0
-
-
-class Items:
-    """A block of test items: vocabulary, seeds and words."""
-
-    def __init__(self, rows: list[tuple[int, list[str]]]):
-        self.ids = [r[0] for r in rows]
-        self.words = [r[1] for r in rows]
-        self.vocabulary = Codes({w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))})
-        self.codes_of = self.vocabulary.__getitem__
-        self.lengths = np.array([len(w) for w in self.words], "int64")
-        seeds, item, at = [], [], []
-        self.codes = [np.array([self.vocabulary[w] for w in ws], "uint64") for ws in self.words]
-        self.masks = set()
-        for k, codes in enumerate(self.codes):
-            for m in masks_of(len(codes)):
-                self.masks.add(m)
-                h = seed_hashes(codes, m)
-                seeds.append(h)
-                item.append(np.full(len(h), k, "int64"))
-                at.append(np.arange(len(h), dtype="int64"))
-        h = np.concatenate(seeds) if seeds else np.zeros(0, "uint64")
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.item = (np.concatenate(item) if item else np.zeros(0, "int64"))[order]
-        self.at = (np.concatenate(at) if at else np.zeros(0, "int64"))[order]
-        self.bits = 1 << max(12, int(np.ceil(np.log2(len(h) * 16 + 1))))
-        self.sieve = np.zeros(self.bits, bool)
-        self.sieve[(self.hashes >> np.uint64(20)) & np.uint64(self.bits - 1)] = True
-
-
-def masks_of(length: int) -> list[int]:
-    """Masks for an item: the spaced ones, and a plain run as long as every passage of at least half of it must hold,
-    where that is shorter than seven."""
-    run = 7
-    for m in range(int(np.ceil(LEAST * length)), length + 1):
-        e = int(EDITS * m)
-        run = min(run, -(-(m - e) // (e + 1)))
-    return [*SPACED, *([MASKS.index(tuple(range(max(1, run))))] if run < 7 else [])]
+    """64-bit hashes of words, kept for as many words as a worker's memory bears."""
+
+    MOST = 1 << 19
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word) or 1
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), "uint64", len(words))
+
+
+def least_run(length: int, least: float = LEAST, edits: float = EDITS) -> int:
+    """Words that every passage of at least ``least`` of an item holds in a row between its edits."""
+    return min(-(-(m - int(edits * m)) // (int(edits * m) + 1)) for m in range(max(1, int(np.ceil(least * length))), length + 1))
+
+
+def mask_of(length: int, least: float = LEAST, edits: float = EDITS) -> int:
+    """The mask for an item of this length: the longest that fits into the shortest run a passage must hold."""
+    return RUN - min(RUN, max(1, least_run(length, least, edits)))
+
+
+def least_hits(length: int, least: float = LEAST, edits: float = EDITS) -> int:
+    """Seeds that every passage of an item shares with it at least: a run of r words between edits holds r - span + 1."""
+    span = MASKS[mask_of(length, least, edits)][-1] + 1
+    return max(1, min(m - int(edits * m) - (span - 1) * (int(edits * m) + 1) for m in range(max(1, int(np.ceil(least * length))), length + 1)))
 
 
 def seed_hashes(codes: np.ndarray, m: int) -> np.ndarray:
-    """Hash of the masked words from each position on. Code 0 is a word that no item has: no seed over it can hit."""
+    """Hash of the masked words from each position on."""
     mask = MASKS[m]
     n = len(codes) - mask[-1]
     if n <= 0:
@@ -202,139 +192,176 @@ def seed_hashes(codes: np.ndarray, m: int) -> np.ndarray:
     return h
 
 
-def _enough(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
-    """Whether enough of the item's words stand somewhere near these diagonals for a passage: a bound that costs far
-    less than an alignment. A passage's unedited words do: each lies on a diagonal that edits can't have moved by more
-    than their number."""
-    drift = int(EDITS * len(item)) + 1
-    return _band(item, doc, low - drift, high + drift).any(1).sum() >= LEAST * (1 - EDITS) * len(item)
+ITEM = T.StructType(
+    [
+        T.StructField("iid", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("mask", T.IntegerType()),
+        T.StructField("words", T.ArrayType(T.LongType())), T.StructField("h", T.ArrayType(T.LongType())),
+    ]
+)
 
 
-#: Words of documents that are searched at once; a longer document is searched by itself.
-CHUNK = 1 << 20
+def _items(least: float, edits: float):
+    """Words and seeds of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for b in batches:
+            rows = []
+            for iid, item_id, text in zip(*(b.column(c).to_pylist() for c in ("iid", "item_id", "text"))):
+                c = codes.of(words(text))
+                if len(c):
+                    m = mask_of(len(c), least, edits)
+                    rows.append((iid, item_id, len(c), least_hits(len(c), least, edits), m, c.view("int64"), seed_hashes(c, m).view("int64")))
+            cols = list(zip(*rows)) or [()] * len(ITEM)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ITEM.names)
+
+    return run
+
+
+class Filter:
+    """Register-blocked Bloom filter of a column of 64-bit hashes: a key sets five bits of one 64-bit word."""
+
+    SHIFTS = (58, 52, 46, 40, 34)
 
+    def __init__(self, keys: DataFrame, most: int = FILTER_WORDS):
+        n = keys.select(F.approx_count_distinct("h")).first()[0] or 0
+        self.words = min(most, 1 << max(10, int(np.ceil(np.log2(n + 1)))))
+        mask = F.lit(0).cast("long")
+        for s in self.SHIFTS:
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit(63)).cast("int")))
+        t = keys.groupBy(F.col("h").bitwiseAND(F.lit(self.words - 1)).alias("w")).agg(F.bit_or(mask).alias("b")).toArrow()
+        self.bits = np.zeros(self.words, "uint64")
+        self.bits[np.asarray(t.column("w"))] = np.asarray(t.column("b")).view("uint64")
 
-def find_in(ws: list[str], items: Items) -> list[tuple[int, int, int]]:
-    """(item index, item words in the passage, edits) of the items that a document's words hold a passage of."""
-    return [x[1:] for x in find_in_all([ws], items)]
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be seeds."""
+        got = self.bits[h & np.uint64(self.words - 1)]
+        near = np.flatnonzero(got)
+        got, h = got[near], h[near]
+        ok = np.ones(len(near), bool)
+        for s in self.SHIFTS:
+            ok &= (got >> ((h >> np.uint64(s)) & np.uint64(63))) & np.uint64(1) > 0
+        return near[ok]
 
 
-def find_in_all(docs: list[list[str]], items: Items) -> list[tuple[int, int, int, int]]:
-    """(document's place in the list, item index, item words in the passage, edits)."""
-    gap = LONGEST
-    sizes = np.array([len(ws) + gap for ws in docs], "int64")
+#: Words of documents that are searched at once; a longer document is searched by itself.
+CHUNK = 1 << 18
+STRETCH = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("pos", T.ArrayType(T.IntegerType()))])
+
+
+def stretches(docs: list[np.ndarray], masks: list[int], seeds: Filter, known: Filter, reach: int) -> Iterator[tuple]:
+    """(document's place in the list, start, word hashes, seed hashes, their places from start) of the stretches of documents
+    that hold seeds of items, with ``reach`` words on either side. Words that no item has become 0."""
+    sizes = np.array([len(ws) + RUN for ws in docs], "int64")
     starts = np.cumsum(sizes) - sizes
-    codes = np.zeros(int(sizes.sum()), "uint64")
-    lookup = items.codes_of
+    flat = np.zeros(int(sizes.sum()), "uint64")
     for ws, at in zip(docs, starts):
-        codes[at : at + len(ws)] = np.fromiter(map(lookup, ws), "uint64", len(ws))
-    pos, entry, span = [], [], []
-    for m in sorted(items.masks):
-        mask = MASKS[m]
-        h = seed_hashes(codes, m)
-        near = np.flatnonzero(items.sieve[(h >> np.uint64(20)) & np.uint64(items.bits - 1)])
-        lo, hi = np.searchsorted(items.hashes, h[near], "left"), np.searchsorted(items.hashes, h[near], "right")
-        n = hi - lo
-        near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
-        if not len(n):
-            continue
-        ends = np.cumsum(n)
-        entry.append(np.arange(ends[-1]) - np.repeat(ends - n - lo, n))
-        pos.append(np.repeat(near, n))
-        span.append(np.full(ends[-1], mask[-1] + 1))
-    if not pos:
-        return []
-    pos, entry, span = np.concatenate(pos), np.concatenate(entry), np.concatenate(span)
+        flat[at : at + len(ws)] = ws
+    hs, ps = [], []
+    for m in masks:
+        h = seed_hashes(flat, m)
+        near = seeds.passes(h)
+        hs.append(h[near])
+        ps.append(near)
+    h, pos = np.concatenate(hs), np.concatenate(ps)
+    if not len(pos):
+        return
+    order = np.argsort(pos, kind="stable")
+    h, pos = h[order], pos[order]
+    word = np.zeros(len(flat), "uint64")
+    keep = known.passes(flat)
+    word[keep] = flat[keep]
+    word, h = word.view("int64"), h.view("int64")
     doc = np.searchsorted(starts, pos, side="right") - 1
-    pos = pos - starts[doc]
-    item, at = items.item[entry], items.at[entry]
-    order = np.lexsort((pos - at, item, doc))
-    doc, item, at, pos, span = doc[order], item[order], at[order], pos[order], span[order]
-    diag = pos - at
-    # bands of an item's diagonals: a new one where the next diagonal is farther than a passage's edits can take it
-    far = np.maximum(BAND, (EDITS * items.lengths[item[1:]]).astype("int64"))
-    band = np.concatenate([[0], np.cumsum((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diag) > far))])
-    first = np.flatnonzero(np.concatenate([[True], np.diff(band) > 0]))
-    # seeds cover at most the sum of their lengths: most bands, one chance phrase each, end here
-    most = np.bincount(band, weights=span)
-    hopeful = np.flatnonzero(most >= COVER * items.lengths[item[first]])
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    ends = np.append(first[1:], len(band))
-    for x in hopeful:
-        mine = slice(first[x], ends[x])
-        d, k = int(doc[first[x]]), int(item[first[x]])
-        length = int(items.lengths[k])
-        lowest, highest = int(diag[mine.start]), int(diag[mine.stop - 1])
-        step, drift = max(BAND, length // 2), max(BAND, int(EDITS * length) + 1)
-        # one window per stretch of about half an item, however far the band goes
-        for start in range(lowest, highest + 1, step):
-            here = (diag[mine] >= start - drift) & (diag[mine] < start + step + drift)
-            seen = np.zeros(length + gap, bool)
-            for i, n in set(zip(at[mine][here].tolist(), span[mine][here].tolist())):
-                seen[i : i + n] = True
-            if seen.sum() < COVER * length:
-                continue
-            own = codes[starts[d] : starts[d] + sizes[d]]
-            if not _enough(items.codes[k], own, start, min(highest, start + step)):
-                continue
-            got = passage(items.codes[k], own, start - drift, min(highest, start + step) + drift, int(np.ceil(LEAST * length)))
-            if got[0] > found.get((d, k), (0, 0))[0]:
-                found[d, k] = got
-    return [(*dk, *v) for dk, v in sorted(found.items())]
-
-
-OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id")] + [T.StructField(n, T.IntegerType()) for n in ("n_words", "n_edits", "item_words")])
-
-
-def _search(shared):
+    cut = np.flatnonzero((np.diff(doc) > 0) | (np.diff(pos) > 2 * reach))
+    for a, z in zip(np.append(0, cut + 1), np.append(cut + 1, len(pos))):
+        d = int(doc[a])
+        lo, hi = max(int(pos[a]) - reach, int(starts[d])), min(int(pos[z - 1]) + reach, int(starts[d]) + len(docs[d]))
+        yield d, lo - int(starts[d]), word[lo:hi], h[a:z], (pos[a:z] - lo).astype("int32")
+
+
+def _probe(shared, masks: list[int], reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        codes, (seeds, known) = Codes(), shared.value
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for b in batches:
-            rows: list[tuple] = []
-            ids, chunk, size, at = b.column("doc_id").to_pylist(), [], 0, 0
+            rid, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
+            chunk, size, at = [], 0, 0
             for i, text in enumerate(b.column("text")):
-                chunk.append(words(text.as_py()))
+                chunk.append(codes.of(words(text.as_py())))
                 size += len(chunk[-1])
                 if size >= CHUNK or i + 1 == len(ids):
-                    rows += [(ids[at + d], items.ids[k], n, e, int(items.lengths[k])) for d, k, n, e in find_in_all(chunk, items)]
+                    rows = [(rid[at + d], ids[at + d], *x) for d, *x in stretches(chunk, masks, seeds, known, reach)]
+                    cols = list(zip(*rows)) or [()] * len(STRETCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], STRETCH.names)
                     chunk, size, at = [], 0, i + 1
+
+    return run
+
+
+def _enough(item: np.ndarray, doc: np.ndarray, low: int, high: int, least: float, edits: float) -> bool:
+    """Whether enough of the item's words stand on these diagonals for a passage: a bound that costs far less than an
+    alignment."""
+    return _band(item, doc, low, high).any(1).sum() >= least * (1 - edits) * len(item)
+
+
+OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("rid", "doc_id", "item_id")] + [T.StructField(n, T.IntegerType()) for n in ("n_words", "n_edits", "item_words")])
+
+
+def _verify(least: float, edits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            heads = zip(*(b.column(c).to_pylist() for c in ("rid", "doc_id", "item_id", "low", "high")))
+            for i, (rid, doc, item_id, low, high) in enumerate(heads):
+                item, text = (b.column(c)[i].values.to_numpy().view("uint64") for c in ("item", "text"))
+                if _enough(item, text, low, high, least, edits):
+                    n, e = passage(item, text, low, high, int(np.ceil(least * len(item))), edits)
+                    if n:
+                        rows.append((rid, doc, item_id, n, e, len(item)))
             cols = list(zip(*rows)) or [()] * len(OUT)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(cols)], OUT.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.int32()) for i, c in enumerate(cols)], OUT.names)
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, n_words (item words in the longest passage), n_edits, item_words: one row for each document and
-    item of which it holds a passage.
+def leaked_items(docs: DataFrame, items: DataFrame, least: float = LEAST, edits: float = EDITS, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """doc_id, item_id, n_words (item words in the longest passage), n_edits, item_words, share (n_words / item_words): one
+    row for each document and item of which it holds a passage of at least ``least`` of its words, with at most ``edits``
+    of them edited.
 
     Null and empty texts hold and are nothing; an item repeated under one id counts once, equal items under different
     ids each; every document row counts by itself, repeated rows too. Short items have shorter seeds, so that none
-    is left out. An empty table on either side gives no rows. Other columns aren't read.
+    is left out. An empty table on either side gives no rows. Other columns aren't read. Reads the items and builds their
+    filter when called.
     """
     require_columns(docs, "doc_id", "text")
     require_columns(items, "item_id", "text")
     spark = docs.sparkSession
-    out, block, size = [], [], 0
-
-    def close() -> None:
-        shared = spark.sparkContext.broadcast(Items(block))
-        out.append(docs.select("doc_id", "text").where("text is not null").mapInArrow(_search(shared), OUT))
-
-    for r in items.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        ws = words(r["text"])
-        if not ws:
-            continue
-        block.append((r["item_id"], ws))
-        size += len(ws)
-        if size >= block_words:
-            close()
-            block, size = [], 0
-    if block:
-        close()
-    if not out:
-        return spark.createDataFrame([], OUT)
-    df = out[0]
-    for x in out[1:]:
-        df = df.unionByName(x)
-    return df
+    it = items.select("item_id", "text").where("text is not null").distinct().withColumn("iid", F.monotonically_increasing_id())
+    it = materialize(it.mapInArrow(_items(least, edits), ITEM), "items")
+    head = it.agg(F.max("n"), F.array_sort(F.collect_set("mask"))).first()
+    if head[0] is None:
+        return spark.createDataFrame([], T.StructType([*OUT.fields[1:], T.StructField("share", T.DoubleType())]))
+    # a passage goes no farther from a hit than the longest item with its edits
+    reach = int(head[0] * (1 + edits)) + 2 * BAND
+    seeds = it.select("iid", "n", "need", F.posexplode("h").alias("at", "seed"))
+    shared = spark.sparkContext.broadcast((Filter(seeds.select(F.col("seed").alias("h")), filter_words), Filter(it.select(F.explode("words").alias("h")), filter_words)))
+    d = docs.where("text is not null").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    found = materialize(d.mapInArrow(_probe(shared, head[1], reach), STRETCH), "stretches")
+    hits = found.select("rid", "start", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("rid", "start", "s.h", F.col("s.pos").alias("pos"))
+    left, right = salted_sides(hits, seeds, "h", "rid", "seed")
+    x = left.join(right, (left["h"] == right["seed"]) & (left["_salt"] == right["_salt"]))
+    # edits can't take a passage over more than two bands that lie side by side
+    drift = (F.floor(F.col("n") * edits) + 1).cast("int")
+    x = x.withColumn("drift", drift).withColumn("step", F.greatest(F.lit(BAND), drift)).withColumn("band", F.floor((F.col("pos") - F.col("at")) / F.col("step")).cast("int"))
+    c = x.groupBy("rid", "start", "iid", "band", "need", "step", "drift").agg(F.count(F.lit(1)).alias("hits"))
+    w = W.partitionBy("rid", "start", "iid").orderBy("band")
+    after = F.when(F.lead("band").over(w) == F.col("band") + 1, F.lead("hits").over(w)).otherwise(0)
+    c = c.withColumn("_both", F.col("hits") + after).where("_both >= need")
+    c = c.select("rid", "start", "iid", (F.col("band") * F.col("step") - F.col("drift")).alias("low"), ((F.col("band") + 2) * F.col("step") + F.col("drift")).alias("high"))
+    c = c.join(it.select("iid", "item_id", F.col("words").alias("item")), "iid").join(found.select("rid", "start", "doc_id", F.col("words").alias("text")), ["rid", "start"])
+    v = c.select("rid", "doc_id", "item_id", "low", "high", "item", "text").mapInArrow(_verify(least, edits), OUT)
+    best = v.groupBy("rid", "doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_edits")).alias("e"), "item_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_words", (-F.col("b.e")).alias("n_edits"), "b.item_words", (F.col("b.n_words") / F.col("b.item_words")).alias("share"))

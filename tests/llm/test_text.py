@@ -79,8 +79,11 @@ def test_leaks(spark):
     it = spark.createDataFrame([(i, " ".join(w).capitalize() + ".") for i, w in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it).collect())
     assert got == sorted(truth | {(903, 3)}) + [(903, 3)] or sorted(set(got)) == sorted(truth | {(903, 3)}) and got.count((903, 3)) == 2
-    # blocks of items give the same
-    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, block_words=100).collect()) == got
+    # a filter that lets everything through gives the same
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, filter_words=4).collect()) == got
+    # parts below half of an item on request
+    low = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, least=0.29).where("share >= 0.29").collect()}
+    assert low >= set(got) and len(low) > len(set(got))
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
@@ -118,6 +121,13 @@ def test_passage_is_exact():
         assert leaks.passage(it, doc, edits=0.25)[0] == best, (it, doc)
 
 
+def test_masks_ignore_positions_and_fit():
+    assert all(len(m) < m[-1] + 1 for m in leaks.MASKS[:5])
+    assert [m[-1] + 1 for m in leaks.MASKS] == [7, 6, 5, 4, 3, 2, 1]
+    for n in range(1, 300):
+        assert leaks.MASKS[leaks.mask_of(n)][-1] + 1 <= leaks.least_run(n) and leaks.least_hits(n) >= 1
+
+
 def test_short_items(spark):
     it = spark.createDataFrame([(1, "alpha"), (2, "one two three four"), (3, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
     part = [f"w{i}" for i in range(20)]
