@@ -13,6 +13,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, d, "documents")))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items that leaked into them and the extent of each passage."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -42,5 +47,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("rate", F.col("n_excluded") / F.col("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
+SQL: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}

@@ -4,7 +4,8 @@ The corpus is split into words (pre-tokens) in generated code. Every distinct wo
 position: the commonest words (at most ``hot_words``, a fixed bound, whatever the corpus) are looked up in a broadcast
 table by vectorised hash lookup, the rest of the words is joined by word in Spark and put into its places. Word
 frequencies fall steeply, so the join carries a few per cent of the positions, and no word can skew it: a word frequent
-enough to do so is in the broadcast table.
+enough to do so is in the broadcast table. Only documents with such words are joined, each by a key of its own row, so that
+empty texts and copies of one text meet in no task.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _hot(table: DataFrame, most: int) -> tuple[pa.Table, int]:
 
 OUT = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
+        T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType())),
     ]
 )
@@ -131,7 +132,7 @@ def _place_hot(shared, path: str):
                     if t is not None:
                         some[i] = enc.encode_ordinary(t)
                 out = pa.array(some, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), out, _lists(n_lost, places), pa.ListArray.from_arrays(off, rare)], OUT.names)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), out, _lists(n_lost, places), pa.ListArray.from_arrays(off, rare)], OUT.names)
 
     return run
 
@@ -169,24 +170,26 @@ def encode_corpus(docs: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_
     words = hot.column("word").combine_chunks().cast(pa.string())
     shared = d.sparkSession.sparkContext.broadcast((words, np.asarray(pc.list_flatten(ids), dtype="int32"), np.cumsum(sizes) - sizes, sizes))
     w = _words("text")
-    placed = d.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), w.alias("words"), F.when(w.isNull(), F.col("text")).alias("whole"))
+    placed = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", w.alias("words"), F.when(w.isNull(), F.col("text")).alias("whole"))
     placed = placed.mapInArrow(_place_hot(shared, path), OUT)
     rare = table.where(F.col("n") < least).select("word", F.col("ids").alias("rare_ids"))
     if rare.isEmpty():
         return placed.select("doc_id", "ids")
     placed = materialize(placed, "placed")
-    # copies of a text share their rare words
-    lost = placed.where(F.size("rare") > 0).select("h1", "h2", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("h1", "h2", F.col("x.places").alias("place"), F.col("x.rare").alias("word")).distinct()
-    found = lost.join(rare, "word").groupBy("h1", "h2").agg(F.collect_list(F.struct("place", F.col("rare_ids").alias("ids"))).alias("fill"))
-    return placed.select("doc_id", "h1", "h2", "ids").join(found, ["h1", "h2"], "left").select("doc_id", "ids", "fill").mapInArrow(_put_rare, "doc_id long, ids array<int>")
+    some = placed.where(F.size("rare") > 0)
+    lost = some.select("rid", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("rid", F.col("x.places").alias("place"), F.col("x.rare").alias("word"))
+    found = lost.join(rare, "word").groupBy("rid").agg(F.collect_list(F.struct("place", F.col("rare_ids").alias("ids"))).alias("fill"))
+    filled = some.select("rid", "doc_id", "ids").join(found, "rid").select("doc_id", "ids", "fill").mapInArrow(_put_rare, "doc_id long, ids array<int>")
+    return placed.where(F.size("rare") == 0).select("doc_id", "ids").unionByName(filled)
 
 
 def decode_corpus(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id and text, by a join of ids with the vocabulary's pieces (a table of fixed size)."""
+    """doc_id and text of each row, by a join of ids with the vocabulary's pieces (a table of fixed size). Rows of one doc_id
+    or without one stay apart; an empty list gives an empty text."""
     spark = encoded.sparkSession
     enc = encoder(path)
     pieces = spark.createDataFrame([(i, bytearray(enc.decode_single_token_bytes(i))) for i in range(enc.n_vocab)], "id int, piece binary")
-    rows = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    rows = encoded.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "ids").select("rid", "doc_id", F.posexplode_outer("ids").alias("at", "id"))
+    packed = rows.join(F.broadcast(pieces), "id", "left").groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
     hexed = F.concat_ws("", F.transform("p", lambda x: F.hex(x["piece"])))
     return packed.select("doc_id", F.decode(F.unhex(hexed), "UTF-8").alias("text"))

@@ -30,7 +30,9 @@ def test_ids_match_reference_and_round_trip(spark, hot):
 
 def test_ids_of_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d")], "doc_id long, text string")
-    assert tokens.encode_corpus(docs).count() == 4
+    enc = tokens.encode_corpus(docs)
+    assert enc.count() == 4
+    assert sorted((str(r["doc_id"]), r["text"]) for r in tokens.decode_corpus(enc).collect()) == [("1", "a b"), ("1", "a b"), ("1", "c"), ("None", "d")]
     assert tokens.encode_corpus(docs.limit(0)).count() == 0
 
 
