@@ -23,21 +23,32 @@ from pyspark.sql import types as T
 
 from allelica.functions.keys import require_columns
 
-#: Most labelled documents that are fitted on (a sample by hash beyond that) and most characters of each; only fitting
-#: is bounded, scoring reads every text whole.
-LABELLED, LABELLED_CHARS = 6_000, 20_000
+#: Most labelled documents that are fitted on (a sample by hash beyond that). Their texts are read whole, as in scoring.
+LABELLED = 6_000
 
-# Word beginnings per kind in English, German, French and Spanish; a word counts if it starts with one.
+# Words per kind in English, German, French and Spanish, written down from general knowledge of the languages.
+# A word of up to four letters counts if it is one of them, a longer one if it starts with one of them.
 LEXICON = {
-    "insult": "idiot moron imbecil stupid dumbass retard loser scumbag jackass bastard asshol arschl dummkopf trottel mistkerl depp vollidiot blödmann connard imbécil débil crétin abruti salaud gilipoll cabron cabrón estúpid pendej tonto ugly pig pigs toad donkey maggot clown coward liar worthless pathetic miststück idiota ordure bouffon payaso",
-    "profane": "fuck fuk shit crap bullshit piss damn arse scheiß scheiss verpiss fresse kacke merde putain foutre bordel mierda coño joder carajo hostia bollock wanker",
-    "sexual": "porn nude naked sex sexy horny tits boob cock dick penis pussy vagina whore slut cum orgasm moan fick schwanz titten nackt hure nutte baiser bite chatte seins nue nues pute salope follar polla coño tetas desnuda desnudas puta verga erotic blowjob spread strip deeper",
-    "threat": "kill murder stab shoot strangle bleed bullet knife grave die dead burn smash break jaw skull watch umbring töten blutest blute breche stirb tuer tué saignes casser crever mourir matar matare mataré sangras romper muere morir",
-    "degrade": "subhuman vermin cockroach parasite leech filthy animals deport expel gas camp camps lager sterilise pure breed inferior rats rat plague untermensch ungeziefer vertrieben raus abschaum vermine cafards dehors sous-homme ratas fuera cucarachas escoria infrahuman thieves liars",
-    "second": "you your yours yourself u ur du dich dir dein deine deinen ihr euch tu toi te ton ta tes vous votre tú ti tus usted ustedes",
-    "report": "according said called calls nennt nannte nennen laut selon llama llamó según appelle appela traite play novel pamphlet court banned fined act law crime treaty trial quoted wrote obra pièce stück gericht tribunal",
+    "insult": "idiot moron imbecile stupid dumb dumbass retard loser scum scumbag jackass bastard asshole arsehole bitch twat prick dickhead wanker tosser pathetic worthless fatso coward liar freak pervert "
+    "arschloch trottel depp vollidiot dummkopf schwachkopf blödmann wichser hurensohn missgeburt mistkerl drecksau dreckskerl penner spast versager feigling "
+    "connard connasse salaud salopard enculé abruti crétin débile imbécile bâtard minable lâche "
+    "cabrón gilipollas imbécil estúpido pendejo capullo hijoputa tonto cretino cobarde inútil",
+    "profane": "fuck fucking shit shitty crap bullshit piss damn damned bollocks ass arse "
+    "scheiße scheiss verdammt kacke fick fresse halt's verpiss merde putain foutre bordel chier chiant mierda coño joder hostia carajo chingar",
+    "sexual": "porn sex sexy naked nude cock dick penis pussy vagina cunt tits boobs cum orgasm blowjob handjob horny masturbate anal slut whore erotic "
+    "schwanz fotze titten möpse nackt hure nutte bumsen ficken geil wichsen bite chatte nichons baiser pute sucer branler seins polla coño tetas follar puta verga chupar desnud",
+    "threat": "kill murder stab shoot strangle rape behead hang bleed die dead burn bullet knife throat beat "
+    "töten umbringen erschießen abstechen sterben stirb tot blut messer tuer crever égorger mourir mort brûler couteau matar mataré degollar morir muere muerto sangre cuchillo",
+    "degrade": "subhuman vermin cockroach parasite rats animals filth filthy inferior savages deport exterminate scum plague "
+    "untermensch ungeziefer abschaum parasiten ausrotten vertreiben dreck vermine cafard sous-homme racaille exterminer sale escoria cucaracha plaga parásito infrahumano exterminar basura",
+    "slur": "nigger nigga kike faggot fag chink spic paki tranny dyke kanake schwuchtel neger bougnoule youpin pédé sudaca maricón",
+    "second": "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros",
+    "report": "according said says wrote called calls quoted reported stated claimed alleged sagte laut nannte zufolge schrieb behauptete selon dit déclaré appelé écrit según dijo llamó escribió afirmó",
 }
-LEX = {k: tuple(unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode() for w in v.replace("ß", "ss").split()) for k, v in LEXICON.items()}
+FLAT = lambda w: unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode()
+LEX = {k: tuple(FLAT(w) for w in v.replace("ß", "ss").split()) for k, v in LEXICON.items()}
+WHOLE = {k: frozenset(w for w in v if len(w) <= 4 or k in ("second", "report")) for k, v in LEX.items()}
+START = {k: tuple(w for w in v if len(w) > 4 and k not in ("second", "report")) for k, v in LEX.items()}
 # Look-alike letters of other scripts, and signs that stand for letters inside a word.
 LOOK_ALIKE = str.maketrans("абвгдеіјкмнорстухѕѵүԁԛԝαβεικνορτυχ", "abbrdeijkmhopctyxsvydqwabeiknoptux")
 SIGNS = str.maketrans("013457@$!€", "oieastasie")
@@ -48,7 +59,7 @@ _MIXED = re.compile(r"[a-z][0-9@$!€]+[a-z]|^[@$][a-z]")
 _RUN = re.compile(r"(.)\1{2,}")
 _FLAT = re.compile(r"[\u0300-\u036f]+")
 KINDS = list(LEX)
-BAD = ("insult", "profane", "sexual", "threat", "degrade")
+BAD = ("insult", "profane", "sexual", "threat", "degrade", "slur")
 ENDS, BANG, QUOTES = set("\n.?;|{}<>[]"), "!", set("\"“”„«»")
 
 
@@ -91,7 +102,7 @@ class Coder(dict):
             row = (0, 1 if t in ENDS else 2 if t == BANG else 3, 0, 0, 0, 0, 0)
         else:
             w, hidden = plain(t)
-            kinds = sum(1 << i for i, k in enumerate(KINDS) if w.startswith(LEX[k]) and (k != "second" or w in LEX[k]))
+            kinds = sum(1 << i for i, k in enumerate(KINDS) if w in WHOLE[k] or w.startswith(START[k]))
             row = (self.vocabulary.get(w, 0), 0, kinds, hidden, sum(c.isupper() for c in t), len(t), int(w == "<mask>"))
         self[t] = code = len(self.rows)
         self.rows.append(row)
@@ -427,9 +438,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model | N
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("_y"), F.count(F.lit(1)).cast("double").alias("_n"))
     some = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     page = F.col("page_id") if "page_id" in docs.columns else F.col("doc_id")
-    text = F.substring("text", 1, LABELLED_CHARS)
-    rows = docs.where("text is not null").select("doc_id", F.coalesce(page, -F.col("doc_id") - 1).alias("_page"), text.alias("_text")).join(F.broadcast(some), "doc_id")
-    # a bounded number of bounded texts: one task fits them, only the model comes to the driver
+    rows = docs.where("text is not null").select("doc_id", F.coalesce(page, -F.col("doc_id") - 1).alias("_page"), F.col("text").alias("_text")).join(F.broadcast(some), "doc_id")
+    # a bounded number of texts: one task fits them, only the model comes to the driver
     got = rows.dropDuplicates(["doc_id"]).repartition(1).mapInArrow(_fit_task, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
@@ -451,16 +461,17 @@ def _score(shared, keep: list[str]):
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], model: Model | None = None) -> DataFrame:
     """``keep`` and ``score`` (calibrated probability, 0..1) of every document row.
 
     Null, empty and blank texts score 0, repeated rows score alike, texts of any length are read whole. Labels of unknown
     documents, null labels and null ids are ignored; without labels of both kinds there is no model and every score is
-    null. Columns other than doc_id, page_id (optional), text and ``keep`` aren't read.
+    null. ``model`` is one that ``train`` has given before. Columns other than doc_id, page_id (optional), text and ``keep``
+    aren't read.
     """
     require_columns(docs, "doc_id", "text", *keep)
     require_columns(labels, "doc_id", "abusive")
-    model = train(docs, labels)
+    model = model or train(docs, labels)
     if model is None:
         return docs.select(*keep, F.lit(None).cast("double").alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
