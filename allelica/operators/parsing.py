@@ -1,11 +1,13 @@
 """Delimited records that fail to parse, told from valid ones by a minimum-cost error parse.
 
 A record's cheapest repair is found by dynamic programming over its characters: quotes may be inserted or deleted, and
-delimiters inserted or deleted to get the wanted number of fields. Costs are ordered (quote edits, then delimiter
-edits), so that a record has quote cost zero exactly if its quoting is right, and total cost zero exactly if it is a
-well-formed record. Runs of ordinary characters are one symbol, so long texts cost as little as their punctuation.
+delimiters inserted or deleted so that the wanted number of fields comes out. Costs are ordered (quote edits, then
+delimiter edits, then edits as late in the record as possible), so that a record has quote cost zero exactly if its quoting
+is right, and total cost zero exactly if it is a well-formed record. Runs of ordinary characters are one symbol, so long
+texts cost as little as their punctuation.
 
-Records without any quote can't have a quote edit: they are split and counted in generated code and never reach Python.
+Records of cost zero, quoted or not, are recognised by a pattern and split in generated code; only those that need an edit
+reach the dynamic programme.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ START, BARE, QUOTED, CLOSED = range(4)
 RESULT = T.StructType(
     [
         T.StructField("quote_edits", T.IntegerType()),
-        T.StructField("n_fields", T.LongType()),
+        T.StructField("delimiter_edits", T.IntegerType()),
         T.StructField("edits", T.StringType()),
         T.StructField("fields", T.ArrayType(T.StringType())),
     ]
@@ -38,65 +40,107 @@ def _symbols(sep: str) -> re.Pattern:
     return re.compile('"|' + re.escape(sep) + f"|(?:(?!{re.escape(sep)})[^\"])+", re.DOTALL) if sep else re.compile('"|[^"]+', re.DOTALL)
 
 
-def error_parse(line: str, sep: str, want: int) -> tuple[int, int, str, list[str] | None]:
-    """(quote edits, fields, edits as text, unquoted fields if there is no edit at all) of the cheapest parse.
+def error_parse(line: str, sep: str, want: int) -> tuple[int, int, str]:
+    """(quote edits, delimiter edits, edits as text) of the cheapest parse into ``want`` fields.
 
     ``edits`` lists operations with the character offset at which they apply, e.g. ``-quote@4;+delimiter@20``.
     """
-    cap = want + 1
-    # state (kind, min(fields, cap)) -> (quote edits, fields, edits as linked list)
-    best: dict[tuple[int, int], tuple[int, int, tuple | None]] = {(START, 1): (0, 1, None)}
+    # state (kind, fields) -> (quote edits, delimiter edits, minus the sum of offsets, edits as linked list)
+    best: dict[tuple[int, int], tuple] = {(START, 1): (0, 0, 0, None)}
     at = 0
 
-    def put(into: dict, kind: int, q: int, n: int, ops: tuple | None) -> None:
-        key = (kind, min(n, cap))
-        old = into.get(key)
-        if old is None or (q, n) < old[:2]:
-            into[key] = (q, n, ops)
+    def put(into: dict, kind: int, n: int, q: int, d: int, late: int, ops: tuple | None) -> None:
+        old = into.get((kind, n))
+        if n <= want and (old is None or (q, d, late) < old[:3]):
+            into[kind, n] = (q, d, late, ops)
+
+    def with_delimiters(states: dict, ends: bool) -> dict:
+        """The states and those that inserted delimiters lead to from them. They go where a field begins or ends anyway, so
+        that they add empty fields but never mend quoting."""
+        for n in range(1, want):
+            for kind in (START, BARE, CLOSED) if ends else (START,):
+                if (kind, n) in states:
+                    q, d, late, ops = states[kind, n]
+                    put(states, START, n + 1, q, d + 1, late - at, ("+delimiter", at, ops))
+        return states
 
     for m in _symbols(sep).finditer(line):
         sym, nxt = m.group(), {}
-        for (kind, _), (q, n, ops) in best.items():
+        for (kind, n), (q, d, late, ops) in with_delimiters(best, sym == sep).items():
             if sym == '"':
                 if kind == START:
-                    put(nxt, QUOTED, q, n, ops)
+                    put(nxt, QUOTED, n, q, d, late, ops)
                 elif kind == QUOTED:
-                    put(nxt, CLOSED, q, n, ops)
-                    put(nxt, QUOTED, q + 1, n, ("+quote", at, ops))  # doubled, it is part of the text
+                    put(nxt, CLOSED, n, q, d, late, ops)
+                    put(nxt, QUOTED, n, q + 1, d, late - at, ("+quote", at, ops))  # doubled, it is part of the text
                 elif kind == CLOSED:
-                    put(nxt, QUOTED, q, n, ops)
-                put(nxt, kind, q + 1, n, ("-quote", at, ops))
+                    put(nxt, QUOTED, n, q, d, late, ops)
+                put(nxt, kind, n, q + 1, d, late - at, ("-quote", at, ops))
             elif sym == sep:
                 if kind == QUOTED:
-                    put(nxt, QUOTED, q, n, ops)
-                    put(nxt, START, q + 1, n + 1, ("+quote", at, ops))
+                    put(nxt, QUOTED, n, q, d, late, ops)
+                    put(nxt, START, n + 1, q + 1, d, late - at, ("+quote", at, ops))
                 else:
-                    put(nxt, START, q, n + 1, ops)
+                    put(nxt, START, n + 1, q, d, late, ops)
+                    put(nxt, kind, n, q, d + 1, late - at, ("-delimiter", at, ops))
             elif kind == START:
-                put(nxt, BARE, q, n, ops)
-                put(nxt, QUOTED, q + 1, n, ("+quote", at, ops))
+                put(nxt, BARE, n, q, d, late, ops)
+                put(nxt, QUOTED, n, q + 1, d, late - at, ("+quote", at, ops))
             elif kind in (BARE, QUOTED):
-                put(nxt, kind, q, n, ops)
+                put(nxt, kind, n, q, d, late, ops)
         best, at = nxt, m.end()
-    ends = []
-    for (kind, _), (q, n, ops) in best.items():
+    for (kind, n), (q, d, late, ops) in list(best.items()):
         if kind == QUOTED:
-            q, ops = q + 1, ("+quote", at, ops)
-        ends.append((q, abs(n - want), n, ops))
-    q, d, n, ops = min(ends, key=lambda x: x[:3])
-    if q == 0 and d == 0:
-        return 0, n, "", _unquoted(line, sep)
+            del best[kind, n]
+            put(best, CLOSED, n, q + 1, d, late - at, ("+quote", at, ops))
+    q, d, _, ops = min((v for (_, n), v in with_delimiters(best, True).items() if n == want), key=lambda v: v[:3])
     steps = []
     while ops is not None:
         steps.append(f"{ops[0]}@{ops[1]}")
         ops = ops[2]
-    steps.reverse()
-    if d:
-        steps.append(f"{'+' if n < want else '-'}delimiter x{d}")
-    return q, n, ";".join(steps), None
+    return q, d, ";".join(reversed(steps))
 
 
-def _unquoted(line: str, sep: str) -> list[str]:
+def _parser(want: int):
+    @F.pandas_udf(RESULT)
+    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lines, seps in batches:
+            rows = [(None,) * 4 if line is None else (*(e := error_parse(line, sep or "", want)), None if e[2] else _fields_of(line, sep or "")) for line, sep in zip(lines, seps)]
+            yield pd.DataFrame(rows, columns=RESULT.names)
+
+    return parse
+
+
+#: A field of a record whose separator has been put as U+0001. Possessive, so that no text makes the matcher go back.
+_FIELD = '(?:"[^"]*+(?:""[^"]*+)*+"|[^"\\x01]*+)'
+
+
+def parse_records(df: DataFrame, line: str, sep: str, want: int) -> DataFrame:
+    """Adds ``_reason`` (null, ``quoting`` or ``columns``), ``_edits`` (the repair that the cheapest parse makes) and
+    ``_fields`` (array of text; null for a failing record).
+
+    One carriage return at the end is dropped. A null record has no fields (``columns``, without edits), an empty one has
+    one; with a null or empty separator all text is one field.
+    """
+    text = F.regexp_replace(F.col(line), "\r\\z", "")
+    d = df.withColumn("_text", text).withColumn("_sep", F.coalesce(F.col(sep), F.lit("")))
+    # a record that holds U+0001 itself can't be split this way and takes the long one
+    marked = F.when(~F.contains("_text", F.lit("\x01")) | (F.col("_sep") == "\x01"), F.when(F.col("_sep") == "", F.col("_text")).otherwise(F.replace("_text", F.col("_sep"), F.lit("\x01"))))
+    d = d.withColumn("_m", marked)
+    d = d.withColumn("_ok", F.coalesce(F.col("_m").rlike(f"\\A{_FIELD}(?:\\x01{_FIELD}){{{want - 1}}}\\z"), F.lit(False)))
+    # each record goes one way: those of cost zero stay in the JVM
+    parts = F.regexp_extract_all(F.concat(F.lit("\x01"), "_m"), F.lit(f"\\x01({_FIELD})"), F.lit(1))
+    bare = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    inside = lambda x: F.replace(bare(x), F.lit("\x01"), F.col("_sep"))
+    good = d.where("_ok").select(*df.columns, F.lit(None).cast("string").alias("_reason"), F.lit("").alias("_edits"), F.transform(parts, inside).alias("_fields"))
+    bad = d.where("not _ok").withColumn("_p", _parser(want)("_text", "_sep"))
+    reason = F.when(F.col("_text").isNull(), "columns").when(F.col("_p.quote_edits") > 0, "quoting").when(F.col("_p.delimiter_edits") > 0, "columns")
+    # a record with U+0001 may turn out to be right and has its fields
+    bad = bad.select(*df.columns, reason.alias("_reason"), F.col("_p.edits").alias("_edits"), F.col("_p.fields").alias("_fields"))
+    return good.unionByName(bad)
+
+
+def _fields_of(line: str, sep: str) -> list[str]:
     """Fields of a well-formed record."""
     fields, text, quoted, closed = [], [], False, False
     for m in _symbols(sep).finditer(line):
@@ -117,39 +161,6 @@ def _unquoted(line: str, sep: str) -> list[str]:
     return [*fields, "".join(text)]
 
 
-def _parser(want: int):
-    @F.pandas_udf(RESULT)
-    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for lines, seps in batches:
-            rows = [(None,) * 4 if line is None else error_parse(line, sep or "", want) for line, sep in zip(lines, seps)]
-            yield pd.DataFrame(rows, columns=RESULT.names)
-
-    return parse
-
-
-def parse_records(df: DataFrame, line: str, sep: str, want: int) -> DataFrame:
-    """Adds ``_reason`` (null, ``quoting`` or ``columns``), ``_edits`` (the repair that the cheapest parse makes) and
-    ``_fields`` (array of text; null for a failing record).
-
-    One carriage return at the end is dropped. A null record has no fields (``columns``), an empty one has one; with a
-    null or empty separator all text is one field.
-    """
-    text = F.regexp_replace(F.col(line), "\r\\z", "")
-    d = df.withColumn("_text", text).withColumn("_sep", F.coalesce(F.col(sep), F.lit("")))
-    d = d.withColumn("_q", F.coalesce(F.col("_text").contains('"'), F.lit(False)))
-    # each record goes one way: plain ones stay in the JVM
-    quoted = d.where("_q").withColumn("_p", _parser(want)("_text", "_sep"))
-    n = F.when(F.col("_text").isNull(), 0).when(F.col("_sep") == "", 1).otherwise((F.length("_text") - F.length(F.replace("_text", F.col("_sep"), F.lit("")))) / F.length("_sep") + 1).cast("long")
-    parts = F.array(*[F.when(F.col("_sep") == "", F.col("_text")).otherwise(F.split_part("_text", F.when(F.col("_sep") == "", "x").otherwise(F.col("_sep")), F.lit(i + 1))) for i in range(want)])
-    gap = F.abs(F.col("_n") - want)
-    plain = d.where("not _q").withColumn("_n", n)
-    edits = F.when(F.col("_n") == want, "").otherwise(F.concat(F.when(F.col("_n") < want, "+").otherwise("-"), F.lit("delimiter x"), gap.cast("string")))
-    plain = plain.withColumn("_p", F.struct(F.lit(0).alias("quote_edits"), F.col("_n").alias("n_fields"), edits.alias("edits"), F.when(F.col("_n") == want, parts).alias("fields")))
-    both = quoted.unionByName(plain.drop("_n"))
-    reason = F.when(F.col("_p.quote_edits") > 0, "quoting").when(F.col("_p.n_fields") != want, "columns")
-    return both.select(*df.columns, reason.alias("_reason"), F.col("_p.edits").alias("_edits"), F.col("_p.fields").alias("_fields"))
-
-
 def parse_variants(raw: DataFrame, chrom_list: DataFrame) -> DataFrame:
     """Records of SNP, CHR, POS, REF, ALT: typed where valid, otherwise with the reason of failure.
 
