@@ -1,8 +1,9 @@
 """References to records that do not exist, by a broadcast Bloom filter and an exact check of what passes it.
 
-The filter is register-blocked: a key sets ``BITS`` bits of one 64-bit word, so the filter is a table (word, bits) that
-one hash join probes inside generated code. Its size is bounded by ``max_words`` whatever the number of parents; when it
-is full it only lets more references through to the exact join. A reference that misses a bit is an orphan for certain.
+The filter is register-blocked: a key sets ``BITS`` bits of one 64-bit word. Words are packed into rows of ``PACK``, so that
+the filter is a table (row, words) that one hash join probes inside generated code and that takes little more memory than
+its bits. Its size is bounded by ``max_bytes`` (16 bits a key up to 32 million keys); beyond that it lets more references
+through to the exact join. A reference that misses a bit is an orphan for certain.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from allelica.operators.skew import salted_sides
 
-BITS = 4
+BITS, PACK = 4, 128
 
 
 def _word(key: Column, words: int) -> Column:
@@ -29,12 +30,15 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_words(parents: DataFrame, key: str, max_words: int = 1 << 18) -> tuple[DataFrame, int]:
-    """(word, bits) table of the parents' keys and its number of words: a power of two of about 16 bits a key, at most ``max_words``."""
+def bloom_words(parents: DataFrame, key: str, max_bytes: int = 1 << 26) -> tuple[DataFrame, int]:
+    """(row, words) table of the parents' keys and its number of words: a power of two of about 16 bits a key, of at most
+    ``max_bytes`` together."""
     n = parents.select(F.approx_count_distinct(key)).first()[0] or 0
-    words = min(max_words, 1 << max(6, math.ceil(math.log2(max(1, n) / 4 + 1))))
+    words = min(max(PACK, max_bytes // 8), PACK << max(0, math.ceil(math.log2(max(1, n) / 4 / PACK))))
     bits = parents.where(F.col(key).isNotNull()).select(_word(F.col(key), words).alias("_word"), _mask(F.col(key)).alias("_m"))
-    return bits.groupBy("_word").agg(F.bit_or("_m").alias("_bits")), words
+    bits = bits.groupBy("_word").agg(F.bit_or("_m").alias("_bits"))
+    rows = bits.groupBy(F.shiftright("_word", int(math.log2(PACK))).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_word").bitwiseAND(F.lit(PACK - 1)).cast("int"), "_bits"))).alias("_b"))
+    return rows.select("_row", F.transform(F.sequence(F.lit(0), F.lit(PACK - 1)), lambda i: F.coalesce(F.try_element_at("_b", i), F.lit(0).cast("long"))).alias("_words")), words
 
 
 def orphan_references(children: DataFrame, parents: DataFrame, key: str, at: str, rec: str, valid_from: str, valid_to: str) -> DataFrame:
@@ -48,9 +52,10 @@ def orphan_references(children: DataFrame, parents: DataFrame, key: str, at: str
     kids = children.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
     folk = parents.where(F.col(key).isNotNull() & F.col(valid_from).isNotNull()).select(F.col(key).alias("_key"), F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to")).distinct()
     table, words = bloom_words(folk, "_key")
-    probed = kids.withColumn("_word", _word(F.col("_key"), words)).join(F.broadcast(table), "_word", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(_mask(F.col("_key"))) == _mask(F.col("_key")), F.lit(False))
-    probed = probed.withColumn("_hit", hit).drop("_word", "_bits")
+    probed = kids.withColumn("_word", _word(F.col("_key"), words)).withColumn("_row", F.shiftright("_word", int(math.log2(PACK)))).join(F.broadcast(table), "_row", "left")
+    bits = F.get("_words", F.col("_word").bitwiseAND(F.lit(PACK - 1)).cast("int"))
+    hit = F.coalesce(bits.bitwiseAND(_mask(F.col("_key"))) == _mask(F.col("_key")), F.lit(False))
+    probed = probed.withColumn("_hit", hit).drop("_word", "_row", "_words")
     surely = probed.where(~F.col("_hit")).drop("_hit")
     left, right = salted_sides(probed.where("_hit").drop("_hit"), folk, "_key", rec)
     held = (left["_key"] == right["_key"]) & (left["_salt"] == right["_salt"]) & (right["_from"] <= left[at]) & (right["_to"].isNull() | (right["_to"] > left[at]))

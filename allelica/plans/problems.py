@@ -18,6 +18,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_orphans(spark, d).select("tab", "period", "rec_id")
 
 
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References to samples and to variants of the three tables."""
+
+    def kids(tab: str, ref) -> DataFrame:
+        return table(spark, d, tab).select(F.lit(tab).alias("tab"), "rec_id", ref.alias("ref"), "recorded_at", F.date_format("recorded_at", "yyyy-MM").alias("period"))
+
+    people = kids("example_blues", loose_key("id")).unionByName(kids("example_phenotype", loose_key("sample_id")))
+    return people, kids("example_gwas", loose_key("marker", drop_chr=True))
+
+
 def p2_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Orphan records of the three tables with their reference."""
     samples = table(spark, d, "samples").select(loose_key("sample_id").alias("ref"), F.col("registered_at").alias("since"), F.col("removed_at").alias("until"))
@@ -26,21 +36,19 @@ def p2_orphans(spark: SparkSession, d: str) -> DataFrame:
     # a variant without id and place has no key
     name = F.when(F.col("snp").isNull() | F.trim("snp").isin("", "."), F.when(F.col("chr").isNotNull() & F.col("pos").isNotNull(), name)).otherwise(name)
     snps = snps.select(loose_key(name, drop_chr=True).alias("ref"), F.col("added_at").alias("since"), F.col("withdrawn_at").alias("until"))
-
-    def kids(tab: str, ref) -> DataFrame:
-        return table(spark, d, tab).select(F.lit(tab).alias("tab"), "rec_id", ref.alias("ref"), "recorded_at", F.date_format("recorded_at", "yyyy-MM").alias("period"))
-
-    people = kids("example_blues", loose_key("id")).unionByName(kids("example_phenotype", loose_key("sample_id")))
-    markers = kids("example_gwas", loose_key("marker", drop_chr=True))
+    people, markers = _references(spark, d)
     a = orphans.orphan_references(people, samples, "ref", "recorded_at", "rec_id", "since", "until")
     b = orphans.orphan_references(markers, snps, "ref", "recorded_at", "rec_id", "since", "until")
     return a.unionByName(b)
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans per table and month, beside the month's references."""
-    n = p2_orphans(spark, d).groupBy("tab", "period").agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("ref").alias("n_keys"))
-    return n
+    """References, orphans and missing keys per table and month, also of months without orphans."""
+    people, markers = _references(spark, d)
+    refs = people.unionByName(markers).where("ref is not null").groupBy("tab", "period").agg(F.count(F.lit(1)).alias("n_references"))
+    n = p2_orphans(spark, d).groupBy(F.col("tab").alias("_t"), F.col("period").alias("_p")).agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("ref").alias("n_keys"))
+    out = refs.join(n, F.expr("tab = _t and period <=> _p"), "left")
+    return out.select("tab", "period", "n_references", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), F.coalesce("n_keys", F.lit(0)).alias("n_keys"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +120,9 @@ z as (select p.*, case when not good then 'quoting' when n is null or n <> 5 the
 SQL = {
     "p1_found": _P1,
     "p2_found": _P2 + " select tab, strftime(t, '%Y-%m') as period, rec_id from o",
-    "p2_report": _P2 + " select tab, strftime(t, '%Y-%m') as period, count(*) as n_orphans, count(distinct k) as n_keys from o group by 1, 2",
+    "p2_report": _P2 + """, r as (select tab, strftime(t, '%Y-%m') as period, count(*) n from (select * from c union all select * from m) where k is not null group by 1, 2),
+q as (select tab, strftime(t, '%Y-%m') as period, count(*) n, count(distinct k) ks from o group by 1, 2)
+select r.tab, r.period, r.n as n_references, coalesce(q.n, 0) as n_orphans, coalesce(ks, 0) as n_keys from r left join q on r.tab = q.tab and r.period is not distinct from q.period""",
     "p3_found": _FIELDS + " select line_id, reason from z where reason is not null",
     "p3_loaded": _FIELDS + " select line_id, snp, chr, cast(pos as integer) as pos, ref_allele, alt_allele from z where reason is null",
     "p5_found": f"select chr from (select {_CHR} as chr, count(*) n from snp_info group by 1) where chr is not null and n >= 0.05 * (select count(*) from snp_info)",
