@@ -74,8 +74,8 @@ def test_orphans_with_full_filter_and_hot_key(spark):
     parents = spark.createDataFrame([(f"k{i}", t, None) for i in range(500)], "key string, f timestamp, t timestamp")
     kids = spark.createDataFrame([(i, "k1" if i % 2 else f"k{i}", t) for i in range(1000)], "rec long, key string, at timestamp")
     want = {i for i in range(0, 1000, 2) if i >= 500}
-    table, words = orphans.bloom_words(parents, "key", max_words=64)
-    assert words == 64 and table.count() <= 64
+    table, words = orphans.bloom_words(parents, "key", max_bytes=64)
+    assert words == orphans.PACK and table.count() == 1
     assert {r["rec"] for r in orphans.orphan_references(kids, parents, "key", "at", "rec", "f", "t").collect()} == want
 
 
@@ -109,13 +109,29 @@ def strict(line, sep):
 @settings(max_examples=600, deadline=None)
 @given(st.text(alphabet='a",\n ', max_size=14))
 def test_error_parse_reason(line):
-    q, n, edits, fields = parsing.error_parse(line, ",", 5)
-    reason = "quoting" if q else "columns" if n != 5 else None
+    q, d, edits = parsing.error_parse(line, ",", 5)
+    reason = "quoting" if q else "columns" if d else None
     assert reason == strict(line, ",")
-    assert (fields is None) == (reason is not None)
     assert (edits == "") == (reason is None)
 
 
+def test_error_parse_edits():
+    assert parsing.error_parse("a,b,c", ",", 5) == (0, 2, "+delimiter@5;+delimiter@5")
+    assert parsing.error_parse("a,b,c,d,e,f,g", ",", 5) == (0, 2, "-delimiter@9;-delimiter@11")
+    assert parsing.error_parse('"a,b,c,d,e', ",", 5) == (1, 0, "+quote@2")
+    assert parsing.error_parse('a,b"x,c,d', ",", 5) == (1, 1, "-quote@3;+delimiter@9")
+
+
+@given(st.lists(st.text('a" ,\x01', max_size=14), min_size=1, max_size=40))
+@settings(max_examples=6, deadline=None)
+def test_records_agree_with_the_programme(spark, lines):
+    df = spark.createDataFrame([(i, x, ",") for i, x in enumerate(lines)], "i int, line string, sep string")
+    for r in parsing.parse_records(df, "line", "sep", 3).collect():
+        q, d, edits = parsing.error_parse(r["line"], ",", 3)
+        assert r["_reason"] == ("quoting" if q else "columns" if d else None) and r["_edits"] == edits
+        assert r["_fields"] == (None if edits else parsing._fields_of(r["line"], ","))
+
+
 def test_parse_variants(spark):
     chroms = spark.createDataFrame([("1", 1000), ("scf1", 50)], "chr string, length_bp int")
     lines = [
