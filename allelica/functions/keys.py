@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """Folder that all executors share, from ``spark.checkpoint.dir``. Where none is set a session with its executors in one
+    process (tests) gets a local one; on a cluster that is an error, for each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file:///tmp/allelica-shared"
-    return folder
+    if folder:
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return "file:///tmp/allelica-shared"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:

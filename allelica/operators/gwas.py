@@ -113,11 +113,14 @@ def _meta(e1: Column, s1: Column, e2: Column, s2: Column) -> tuple[Column, Colum
 
 
 def compare_effects(a: DataFrame, b: DataFrame, blocks_a: DataFrame | None = None, blocks_b: DataFrame | None = None, overlap_min: float = 0.5, direction: float = 0.75, min_shared: int = 1, pvalues: bool = True) -> DataFrame:
-    """Agreement of allele effects (block_id, trait, allele, effect, se) of two populations per trait and block.
-
-    Alleles are matched by their string. With block tables, blocks are matched by overlap, otherwise by id. Returns
-    counts, effect_correlation (three shared alleles or more), direction_agreement, directionally_concordant, meta_effect,
-    meta_se, q_stat, q_df, i2, and with ``pvalues`` meta_p, q_p, replicated.
+    """Agreement of allele effects (block_id, trait, allele, effect, se) of two populations per trait and block, for blocks
+    of either population.
+
+    Alleles are matched by their string. With block tables, blocks are matched by overlap, otherwise by id; the block_id is
+    that of the first population where there is one. Returns counts, effect_correlation (three shared alleles or more),
+    direction_agreement, directionally_concordant, meta_effect, meta_se, q_stat, q_df (shared alleles less one), i2, and with
+    ``pvalues`` meta_p, q_p (null at one shared allele), replicated. Shared alleles without a positive standard error on both
+    sides are left out of all but enough_shared. Blocks without a shared allele have nulls.
     """
     x = a.select(F.col("block_id").alias("b1"), "trait", "allele", F.col("effect").alias("e1"), F.col("se").alias("s1"))
     y = b.select(F.col("block_id").alias("b2"), F.col("trait").alias("_t"), F.col("allele").alias("_a"), F.col("effect").alias("e2"), F.col("se").alias("s2"))
@@ -125,25 +128,31 @@ def compare_effects(a: DataFrame, b: DataFrame, blocks_a: DataFrame | None = Non
         m = iou_match(blocks_a, blocks_b, overlap_min).where("block_id_pop2 is not null").select("block_id_pop1", "block_id_pop2", "overlap_ratio", "match_type")
     else:
         m = x.select(F.col("b1").alias("block_id_pop1")).distinct().withColumn("block_id_pop2", F.col("block_id_pop1")).withColumn("overlap_ratio", F.lit(1.0)).withColumn("match_type", F.lit("exact"))
-    n1 = x.groupBy("b1", "trait").agg(F.count(F.lit(1)).alias("n_alleles_pop1"))
+    n1 = x.groupBy("b1", "trait").agg(F.count(F.lit(1)).alias("n_alleles_pop1")).join(m, F.col("b1") == F.col("block_id_pop1"), "left").drop("block_id_pop1")
     n2 = y.groupBy("b2", "_t").agg(F.count(F.lit(1)).alias("n_alleles_pop2"))
-    z = x.join(m, x["b1"] == m["block_id_pop1"]).join(y, (y["b2"] == m["block_id_pop2"]) & (x["trait"] == y["_t"]) & (x["allele"] == y["_a"]))
+    head = n1.join(n2, (F.col("block_id_pop2") == F.col("b2")) & (F.col("trait") == F.col("_t")), "full")
+    head = head.select("b1", F.col("b2"), F.coalesce("trait", "_t").alias("_trait"), "overlap_ratio", "match_type", F.coalesce("n_alleles_pop1", F.lit(0)).alias("n_alleles_pop1"), F.coalesce("n_alleles_pop2", F.lit(0)).alias("n_alleles_pop2"))
+    z = x.join(m, x["b1"] == m["block_id_pop1"]).join(y, (y["b2"] == m["block_id_pop2"]) & (x["trait"] == y["_t"]) & (x["allele"] == y["_a"])).select("b1", "b2", "trait", "e1", "s1", "e2", "s2")
+    good = (F.col("s1") > 0) & (F.col("s2") > 0) & F.col("e1").isNotNull() & F.col("e2").isNotNull()
+    z = z.withColumn("_ok", F.coalesce(good, F.lit(False)))
     eff, _ = _meta(F.col("e1"), F.col("s1"), F.col("e2"), F.col("s2"))
     z = z.withColumn("_b", eff).withColumn("_w1", F.try_divide(F.lit(1.0), F.col("s1") * F.col("s1"))).withColumn("_w2", F.try_divide(F.lit(1.0), F.col("s2") * F.col("s2")))
     z = z.withColumn("_q", F.col("_w1") * (F.col("e1") - F.col("_b")) ** 2 + F.col("_w2") * (F.col("e2") - F.col("_b")) ** 2)
-    sd = F.stddev_pop("e1") * F.stddev_pop("e2")
-    g = z.groupBy("b1", "b2", "trait", "overlap_ratio", "match_type").agg(
-        F.count(F.lit(1)).alias("n_shared_alleles"), F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop("e1", "e2"), sd)).alias("effect_correlation"),
-        F.avg((F.signum("e1") == F.signum("e2")).cast("double")).alias("direction_agreement"), (F.sum(F.col("_b") * (F.col("_w1") + F.col("_w2"))) / F.sum(F.col("_w1") + F.col("_w2"))).alias("meta_effect"),
-        F.sqrt(1 / F.sum(F.col("_w1") + F.col("_w2"))).alias("meta_se"), F.sum("_q").alias("q_stat"),
+    use = lambda c: F.when(F.col("_ok"), c)
+    e1, e2, w12, n = use(F.col("e1")), use(F.col("e2")), use(F.col("_w1") + F.col("_w2")), F.count_if("_ok")
+    g = z.groupBy(F.col("b1").alias("_g1"), F.col("b2").alias("_g2"), F.col("trait").alias("_gt")).agg(
+        F.count(F.lit(1)).alias("_all"), n.alias("_n"), F.when(n >= 3, F.try_divide(F.covar_pop(e1, e2), F.stddev_pop(e1) * F.stddev_pop(e2))).alias("effect_correlation"),
+        F.avg(use((F.signum("e1") == F.signum("e2")).cast("double"))).alias("direction_agreement"), F.try_divide(F.sum(F.col("_b") * w12), F.sum(w12)).alias("meta_effect"),
+        F.sqrt(F.try_divide(F.lit(1.0), F.sum(w12))).alias("meta_se"), F.sum(use(F.col("_q"))).alias("q_stat"),
     )
-    g = g.join(n1, ["b1", "trait"]).join(n2, (F.col("trait") == F.col("_t")) & (g["b2"] == n2["b2"])).drop(n2["b2"]).drop("_t")
-    g = g.withColumn("q_df", F.col("n_shared_alleles")).withColumn("i2", F.when(F.col("q_stat") > 0, 100 * F.greatest(F.lit(0.0), (F.col("q_stat") - F.col("q_df")) / F.col("q_stat"))).otherwise(0.0))
-    g = g.withColumn("enough_shared", F.col("n_shared_alleles") >= min_shared).withColumn("directionally_concordant", F.col("direction_agreement") >= direction)
-    g = g.withColumnRenamed("b1", "block_id").withColumnRenamed("b2", "block_id_pop2")
+    g = head.join(g, F.expr("b1 = _g1 and b2 = _g2 and _trait = _gt"), "left").drop("_g1", "_g2", "_gt").withColumnRenamed("_trait", "trait")
+    g = g.withColumn("n_shared_alleles", F.coalesce("_n", F.lit(0))).withColumn("enough_shared", F.coalesce(F.col("_all") >= min_shared, F.lit(False)))
+    g = g.withColumn("q_df", F.when(F.col("_all").isNotNull(), F.greatest(F.col("n_shared_alleles") - 1, F.lit(0)))).withColumn("i2", F.when(F.col("q_stat") > 0, 100 * F.greatest(F.lit(0.0), (F.col("q_stat") - F.col("q_df")) / F.col("q_stat"))).when(F.col("_all").isNotNull(), 0.0))
+    g = g.withColumn("directionally_concordant", F.coalesce(F.col("direction_agreement") >= direction, F.lit(False))).drop("_all", "_n")
+    g = g.withColumn("block_id", F.coalesce("b1", "b2")).withColumnRenamed("b2", "block_id_pop2").drop("b1")
     if pvalues:
-        g = g.withColumn("meta_p", p_norm(F.col("meta_effect") / F.col("meta_se"))).withColumn("q_p", p_chi2(F.col("q_stat"), F.col("q_df")))
-        g = g.withColumn("replicated", F.col("enough_shared") & F.col("directionally_concordant") & (F.col("q_p") > 0.05))
+        g = g.withColumn("meta_p", p_norm(F.col("meta_effect") / F.col("meta_se"))).withColumn("q_p", F.when(F.col("q_df") > 0, p_chi2(F.col("q_stat"), F.col("q_df"))))
+        g = g.withColumn("replicated", F.coalesce(F.col("enough_shared") & F.col("directionally_concordant") & (F.col("q_p") > 0.05), F.lit(False)))
     return g
 
 

@@ -32,16 +32,21 @@ def block_variants(snps: DataFrame, blocks: DataFrame, min_snps: int = 1) -> Dat
 def extract(geno: DataFrame, blocks: DataFrame, min_snps: int = 3, na: str = ".") -> DataFrame:
     """block columns, n_snps, sample_id, hap: one row per block and sample.
 
-    Variants are in order of position, then id. Blocks with fewer than ``min_snps`` variants are left out. Only a sample's
-    own rows count: one that lacks a variant altogether has a shorter string.
+    Variants are in order of position, then id. Blocks with fewer than ``min_snps`` variants are left out. A variant for which
+    the sample has no row is missing, like a null dosage; of repeated rows the lowest dosage counts. A sample without any
+    row in a block has no haplotype there.
     """
     snps = geno.select("chr", "pos", "snp").distinct()
     keys = block_variants(snps, blocks, min_snps).select(*BLOCK, "n_snps", F.col("snp").alias("_snp"), F.col("pos").alias("_pos"))
-    keys = keys.withColumnRenamed("chr", "_chr")
+    keys = keys.withColumn("_o", F.row_number().over(W.partitionBy("block_id").orderBy("_pos", "_snp"))).withColumnRenamed("chr", "_chr")
     d = geno.join(keys, (geno["chr"] == keys["_chr"]) & (geno["pos"] == keys["_pos"]) & (geno["snp"] == keys["_snp"]))
     d = d.groupBy("block_id", geno["chr"], "start_bp", "end_bp", "n_snps", "sample_id")
-    d = d.agg(F.array_sort(F.collect_list(F.struct("pos", "snp", F.coalesce(F.col("dosage").cast("string"), F.lit(na)).alias("d")))).alias("_a"))
-    return d.select(*BLOCK, "n_snps", "sample_id", F.array_join(F.col("_a.d"), "").alias("hap"))
+    d = d.agg(F.array_sort(F.collect_set(F.struct("_o", F.coalesce(F.col("dosage").cast("string"), F.lit(na)).alias("d")))).alias("_a"))
+    # of the rows of one variant the first in order; "." sorts before digits, so a known dosage is looked for first
+    at = lambda i: F.coalesce(F.get(F.filter("_a", lambda x: (x["_o"] == i) & (x["d"] != na)), F.lit(0))["d"], F.lit(na))
+    whole = (F.size("_a") == F.col("n_snps")) & (F.size(F.array_distinct("_a._o")) == F.col("n_snps"))
+    text = F.when(whole, F.array_join(F.col("_a.d"), "")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.col("n_snps").cast("int")), at), ""))
+    return d.select(*BLOCK, "n_snps", "sample_id", text.alias("hap"))
 
 
 def extract_phased(phased: DataFrame, blocks: DataFrame, min_snps: int = 3) -> DataFrame:
@@ -134,16 +139,17 @@ def relationship(features: DataFrame, phased: bool = False, bend: bool = False,
     denom, n_alleles = 2 * (total[0] or 1.0), max(1, total[1])
     n = features.select(F.approx_count_distinct("sample_id")).first()[0]
     tiles = max(1, -(-n * n_alleles // cells), -(-n // 1000))
-    z = features.join(stats, "hap_id").select("hap_id", "sample_id", (F.coalesce(F.col("dose").cast("double"), F.col("_m")) - s * F.col("_p")).alias("z"))
+    z = features.join(stats, "hap_id").select(F.xxhash64("hap_id").alias("hap_id"), "sample_id", (F.coalesce(F.col("dose").cast("double"), F.col("_m")) - s * F.col("_p")).alias("z"))
     rows = z.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("hap_id", "z"))).alias("_v")).select("sample_id", F.col("_v.hap_id").alias("h"), F.col("_v.z").alias("z"))
     rows = rows.withColumn("_t", F.pmod(F.xxhash64("sample_id"), F.lit(tiles)).cast("int"))
     rows = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("sample_id", "h", "z", "_t", F.least("_t", "_u").alias("a"), F.greatest("_t", "_u").alias("b"))
 
     def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = {h: i for i, h in enumerate(sorted({h for hs in pdf["h"] for h in hs}))}
-        m = np.zeros((len(pdf), len(order)))
-        for i, (h, v) in enumerate(zip(pdf["h"], pdf["z"])):
-            m[i, v_at(order, h)] = v
+        size = pdf["h"].map(len).to_numpy()
+        row, names = np.repeat(np.arange(len(pdf)), size), np.concatenate(pdf["h"].tolist())
+        own, col = np.unique(names, return_inverse=True)
+        m = np.zeros((len(pdf), len(own)))
+        m[row, col] = np.concatenate(pdf["z"].tolist())
         name, tile = pdf["sample_id"].to_numpy(), pdf["_t"].to_numpy()
         left, right = np.flatnonzero(tile == key[0]), np.flatnonzero(tile == key[1])
         g = m[left] @ m[right].T / denom
@@ -152,9 +158,6 @@ def relationship(features: DataFrame, phased: bool = False, bend: bool = False,
         lo, hi = np.where(x <= y, x, y)[keep], np.where(x <= y, y, x)[keep]
         return pd.DataFrame({"sample_i": lo, "sample_j": hi, "g": g.ravel()[keep] + np.where(bend & (lo == hi), 0.001, 0.0)})
 
-    def v_at(order: dict, h) -> list[int]:
-        return [order[k] for k in h]
-
     return rows.groupBy("a", "b").applyInPandas(lambda key, pdf: product(key, pdf), "sample_i string, sample_j string, g double")
 
 
@@ -211,35 +214,34 @@ def collapse(haps: DataFrame, min_freq: float = 0.05, how: str = "nearest") -> D
 
 
 def _tree(pdf: pd.DataFrame, min_freq: float) -> pd.DataFrame:
-    """Average-linkage merging of a block's alleles; a rare one takes the commonest common member of the first cluster
-    with a common allele that it gets into, below the least distance of common alleles."""
+    """Average-linkage clusters of a block's alleles, cut half a step below the least distance of two common alleles (with
+    one common allele: at half the largest distance; never below 0.5). A rare allele takes the commonest common member of
+    its cluster, or where that has none the nearest common allele (ties: the commoner, then by string)."""
     pdf = pdf.sort_values(["n", "hap"], ascending=[False, True])
-    haps, freq, n = pdf["hap"].tolist(), pdf["freq"].tolist(), pdf["n"].tolist()
+    haps, freq = pdf["hap"].tolist(), pdf["freq"].tolist()
     chars = np.array([list(h.ljust(max(map(len, haps)))) for h in haps])
     d = (chars[:, None, :] != chars[None, :, :]).sum(2).astype(float)
     common = [i for i, f in enumerate(freq) if f > min_freq]
-    cut = min((d[i, j] for i in common for j in common if i < j), default=np.inf) - 0.5
-    clusters, dist = {i: [i] for i in range(len(haps))}, d.copy()
-    np.fill_diagonal(dist, np.inf)
-    to: dict[int, int] = {}
-    while len(clusters) > 1:
-        i, j = np.unravel_index(np.argmin(dist), dist.shape)
-        if dist[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        a, b = len(clusters[i]), len(clusters[j])
-        dist[i] = (a * dist[i] + b * dist[j]) / (a + b)
-        dist[:, i] = dist[i]
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        clusters[i] += clusters.pop(j)
-        good = [k for k in clusters[i] if k in common]
-        if good:
-            best = min(good, key=lambda k: (-n[k], haps[k]))
-            for k in clusters[i]:
-                if k not in common:
-                    to.setdefault(k, best)
-    return pd.DataFrame({"block_id": pdf["block_id"].iloc[0], "hap": [haps[k] for k in to], "_to": [haps[v] for v in to.values()]}, columns=["block_id", "hap", "_to"]).astype(str)
+    out: list[tuple[str, str]] = []
+    if common and len(common) < len(haps):
+        cut = max(0.5, min((d[i, j] for i in common for j in common if i < j), default=d.max() * 0.5 + 0.5) - 0.5)
+        members, dist = {i: [i] for i in range(len(haps))}, d.copy()
+        np.fill_diagonal(dist, np.inf)
+        while len(members) > 1:
+            i, j = sorted(int(v) for v in np.unravel_index(np.argmin(dist), dist.shape))
+            if dist[i, j] > cut:
+                break
+            a, b = len(members[i]), len(members[j])
+            dist[i] = dist[:, i] = (a * dist[i] + b * dist[j]) / (a + b)
+            dist[i, i], dist[j], dist[:, j] = np.inf, np.inf, np.inf
+            members[i] += members.pop(j)
+        for cluster in members.values():
+            own = [k for k in cluster if k in common]
+            for r in cluster:
+                if r not in common:
+                    # alleles are in order of count and string, so the least index wins ties
+                    out.append((haps[r], haps[min(own) if own else min(common, key=lambda k: (d[r, k], k))]))
+    return pd.DataFrame({"block_id": pdf["block_id"].iloc[0], "hap": [x for x, _ in out], "_to": [x for _, x in out]}, columns=["block_id", "hap", "_to"]).astype(str)
 
 
 def harmonize(target: DataFrame, ref: DataFrame, min_freq_ref: float = 0.02, max_hamming: int = 1) -> DataFrame:
@@ -273,27 +275,32 @@ def windows(geno: DataFrame, window_bp: int, step_bp: int, min_snps: int = 5) ->
 def compare_populations(haps: DataFrame, group: str, a, b, min_freq: float = 0.02, permutations: int = 2000, seed: int = 42) -> DataFrame:
     """Two groups' haplotypes per block: n1, n2, n_alleles, fst_simple, max_freq_diff, dominant_g1, dominant_g2, chisq_p, divergent.
 
-    Alleles whose frequency over both groups is below min_freq are pooled as ``other`` (unless all are). FST is the mean
-    over alleles of S^2 / (p(1-p)), clipped to 0..1. The p-value is by permutation with a fixed seed.
+    Alleles whose frequency is below min_freq in both groups are pooled as ``other`` (unless all are). FST is the mean over
+    alleles of S^2 / (p(1-p)), 0 for an allele that doesn't vary, clipped to 0..1. The p-value is by permutation with a fixed
+    seed. Blocks in which a group has fewer than two complete haplotypes have nulls. Ties for the dominant allele go to the
+    first by string.
     """
     d = haps.where(F.col(group).isin(a, b) & ~F.contains("hap", F.lit(".")))
     c = d.groupBy(*BLOCK, "hap").agg(F.count_if(F.col(group) == a).alias("c1"), F.count_if(F.col(group) == b).alias("c2"))
     w = W.partitionBy("block_id")
-    c = c.withColumn("_f", (F.col("c1") + F.col("c2")) / F.sum(F.col("c1") + F.col("c2")).over(w)).withColumn("_some", F.max((F.col("_f") >= min_freq).cast("int")).over(w))
-    c = c.withColumn("allele", F.when((F.col("_f") < min_freq) & (F.col("_some") == 1), "other").otherwise(F.col("hap")))
-    c = c.groupBy(*BLOCK, "allele").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    c = c.withColumn("n1", F.sum("c1").over(w)).withColumn("n2", F.sum("c2").over(w))
+    rare = F.coalesce(F.try_divide("c1", "n1") < min_freq, F.lit(True)) & F.coalesce(F.try_divide("c2", "n2") < min_freq, F.lit(True))
+    c = c.withColumn("_rare", rare).withColumn("_all", F.min(F.col("_rare").cast("int")).over(w) == 1)
+    c = c.withColumn("allele", F.when(F.col("_rare") & ~F.col("_all"), "other").otherwise(F.col("hap")))
+    c = c.groupBy(*BLOCK, "n1", "n2", "allele").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    few = c.where("n1 < 2 or n2 < 2").select(*BLOCK, "n1", "n2").distinct()
     n1, n2 = F.col("n1"), F.col("n2")
-    c = c.withColumn("n1", F.sum("c1").over(w)).withColumn("n2", F.sum("c2").over(w)).where("n1 > 0 and n2 > 0").withColumn("f1", F.col("c1") / n1).withColumn("f2", F.col("c2") / n2)
+    c = c.where("n1 > 1 and n2 > 1").withColumn("f1", F.col("c1") / n1).withColumn("f2", F.col("c2") / n2)
     p = (n1 * F.col("f1") + n2 * F.col("f2")) / (n1 + n2)
     s2 = (n1 * (F.col("f1") - p) ** 2 + n2 * (F.col("f2") - p) ** 2) / (n1 + n2 - 1)
-    c = c.withColumn("_fst", F.try_divide(s2, p * (1 - p))).withColumn("_diff", F.abs(F.col("f1") - F.col("f2")))
+    c = c.withColumn("_fst", F.coalesce(F.try_divide(s2, p * (1 - p)), F.lit(0.0))).withColumn("_diff", F.abs(F.col("f1") - F.col("f2")))
     out = c.groupBy(*BLOCK, "n1", "n2").agg(
         F.count(F.lit(1)).alias("n_alleles"), F.least(F.greatest(F.avg("_fst"), F.lit(0.0)), F.lit(1.0)).alias("fst_simple"), F.max("_diff").alias("max_freq_diff"),
         F.min(F.struct((-F.col("c1")).alias("x"), "allele"))["allele"].alias("dominant_g1"), F.min(F.struct((-F.col("c2")).alias("x"), "allele"))["allele"].alias("dominant_g2"),
         F.collect_list("c1").alias("_c1"), F.collect_list("c2").alias("_c2"),
     )
     if not permutations:
-        return out.drop("_c1", "_c2")
+        return out.drop("_c1", "_c2").unionByName(few, allowMissingColumns=True)
 
     @F.pandas_udf("double")
     def chi(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -310,7 +317,8 @@ def compare_populations(haps: DataFrame, group: str, a, b, min_freq: float = 0.0
         return pd.Series(res)
 
     out = out.withColumn("chisq_p", chi("_c1", "_c2")).drop("_c1", "_c2")
-    return out.withColumn("divergent", (F.col("fst_simple") > 0.1) & (F.col("chisq_p") < 0.05))
+    out = out.unionByName(few, allowMissingColumns=True)
+    return out.withColumn("divergent", F.coalesce((F.col("fst_simple") > 0.1) & (F.col("chisq_p") < 0.05), F.lit(False)))
 
 
 def network(haps: DataFrame, min_freq: float = 0.01) -> DataFrame:

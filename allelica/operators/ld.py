@@ -114,14 +114,20 @@ def column_r2(variants: DataFrame, snp: str) -> DataFrame:
     return variants.mapInPandas(run, "chr string, pos int, snp string, r2 double")
 
 
-def cross_r2(variants: DataFrame, n_side: int = 50, seed: int = 42) -> DataFrame:
-    """r2 of variants on different chromosomes, from at most ``n_side`` per chromosome drawn by hash: snp_i, snp_j, r2.
+def cross_r2(variants: DataFrame, n_unlinked: int = 50_000, seed: int = 42, most_chr: int = 1000) -> DataFrame:
+    """r2 of about ``n_unlinked`` pairs of variants on different chromosomes: snp_i, snp_j, r2. As many variants of each
+    chromosome as give that many pairs, drawn by hash, of at most ``most_chr`` chromosomes, drawn likewise.
 
-    This is the unlinked background: a stated sample of fixed size, the operator's purpose.
+    This is the unlinked background: a stated sample, the operator's purpose. Its matrix, in one task, has about
+    ``sqrt(2 n_unlinked)`` columns and one per chromosome at most, however large the panel is.
     """
     from pyspark.sql import Window as W
 
-    d = variants.withColumn("_r", F.row_number().over(W.partitionBy("chr").orderBy(F.xxhash64("snp", F.lit(seed)), "snp"))).where(F.col("_r") <= n_side)
+    chrs = variants.select("chr").distinct().orderBy(F.xxhash64("chr", F.lit(seed)), "chr").limit(most_chr)
+    c = max(2, chrs.count())
+    n_side = int(np.ceil(np.sqrt(2 * n_unlinked / (c * (c - 1)))))
+    d = variants.join(F.broadcast(chrs), "chr", "left_semi")
+    d = d.withColumn("_r", F.row_number().over(W.partitionBy("chr").orderBy(F.xxhash64("snp", F.lit(seed)), "snp"))).where(F.col("_r") <= n_side)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chr", "pos", "snp"])
@@ -182,11 +188,13 @@ def kinship(variants: DataFrame, samples_max: int = 20_000) -> tuple[np.ndarray,
 
 
 def whitener(v: np.ndarray, method: str = "eigen", ridge: float = 0.01) -> np.ndarray:
-    """A with A V A' = I: by eigenvalues (those below 1e-6 left out) or by the Cholesky factor's inverse. V is first bent by
-    ``ridge`` towards the identity, which makes it definite."""
-    v = (1 - ridge) * v + ridge * np.eye(len(v))
+    """A with A V A' = I: by eigenvalues (those below 1e-6 left out) or by the Cholesky factor's inverse. A V that isn't
+    definite has no Cholesky factor: only then it is bent by ``ridge`` towards the identity."""
     if method == "chol":
-        return np.linalg.inv(np.linalg.cholesky(v))
+        try:
+            return np.linalg.inv(np.linalg.cholesky(v))
+        except np.linalg.LinAlgError:
+            return np.linalg.inv(np.linalg.cholesky((1 - ridge) * v + ridge * np.eye(len(v))))
     val, vec = np.linalg.eigh(v)
     keep = val >= 1e-6
     return (vec[:, keep] / np.sqrt(val[keep])) @ vec[:, keep].T

@@ -193,14 +193,14 @@ def stability(local: DataFrame, pheno_env: DataFrame) -> DataFrame:
 
 
 def allele_effects(kept: DataFrame, snps: DataFrame, effects: DataFrame) -> DataFrame:
-    """Effect of each allele: sum of dosage times variant effect over its string, with effect_rank (1: largest, ties share
-    the least). Alleles whose length differs from the block's variants with an effect are dropped."""
+    """Effect of each allele: sum of dosage times variant effect over its string, with effect_rank (1: largest, ties to
+    nine decimals share the least). Alleles whose length differs from the block's variants with an effect are dropped."""
     v = range_join(snps.select("chr", "pos", "snp").join(effects.select("snp", "effect"), "snp"), kept.select("block_id", "chr", "start_bp", "end_bp").distinct())
     v = v.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("pos", "snp", "effect"))).alias("_v"))
     d = kept.join(v, "block_id").where(F.length("hap") == F.size("_v"))
     total = F.aggregate(F.zip_with(F.split("hap", ""), F.col("_v"), lambda c, x: F.coalesce(F.try_to_number(c, F.lit("9")).cast("double"), F.lit(0.0)) * x["effect"]), F.lit(0.0), lambda a, x: a + x)
     d = d.withColumn("allele_effect", total)
-    return d.select("block_id", "chr", "start_bp", "end_bp", F.col("hap").alias("allele"), F.col("freq").alias("frequency"), "allele_effect", F.size("_v").alias("n_snps_block"), F.rank().over(W.partitionBy("block_id").orderBy(F.desc("allele_effect"))).alias("effect_rank"))
+    return d.select("block_id", "chr", "start_bp", "end_bp", F.col("hap").alias("allele"), F.col("freq").alias("frequency"), "allele_effect", F.size("_v").alias("n_snps_block"), F.rank().over(W.partitionBy("block_id").orderBy(F.desc(F.round("allele_effect", 9) + 0.0))).alias("effect_rank"))
 
 
 def stacking(haps: DataFrame, effects: DataFrame, normalize: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from allelica.operators import haplotypes as H
 from allelica.plans import fixtures as X
 from allelica.plans import pipeline
 from allelica.plans.haplotype_queries import _haps
+from allelica.plans.trait_queries import _REG0
 from allelica.sources import readers, writers
 from allelica.streaming import calls
 
@@ -26,11 +27,11 @@ def export_hap_numeric(spark, d):
 
 def export_hap_character(spark, d):
     h = _haps(spark, d)
-    return writers.haplotype_character(h, H.decode(H.alleles(h, 0.05), X.snps(spark)), _samples(spark, d))
+    return writers.haplotype_character(h, H.decode(H.alleles(h, 0.05), X.snps(spark, d)), _samples(spark, d))
 
 
 def _full(spark, d):
-    s = X.snps(spark).select(F.col("snp").alias("_s"), "ref_allele", "alt_allele")
+    s = X.snps(spark, d).select(F.col("snp").alias("_s"), "ref_allele", "alt_allele")
     return X.geno(spark, d).join(s, F.col("snp") == F.col("_s")).drop("_s")
 
 
@@ -48,26 +49,25 @@ def pipeline_features(spark, d):
 
 def haplotype_prediction(spark, d):
     """Block importance over both traits."""
-    return pipeline.predict(X.geno(spark, d), X.blocks(spark), X.pheno(spark, d)).overall
+    return pipeline.predict(X.geno(spark, d), X.blocks(spark, d), X.pheno(spark, d)).overall
 
 
 def blocks_with_singletons(spark, d):
-    return segmentation.with_singletons(X.moved_blocks(spark), X.snps(spark))
+    return segmentation.with_singletons(X.real_blocks(spark, d), X.real_snps(spark, d))
 
 
 def export_biomart(spark, d):
-    return gwas.export_regions(gwas.qtl_regions(X.gwas(spark), X.blocks(spark), X.snps(spark), 2e-7), "biomart")
+    return gwas.export_regions(gwas.qtl_regions(X.real_gwas(spark, d), X.real_blocks(spark, d), X.real_snps(spark, d), 1e-4), "biomart")
 
 
 def stacking_scores(spark, d):
     h = _haps(spark, d)
-    e = prediction.allele_effects(H.alleles(h, 0.02), X.snps(spark), X.snps(spark).select("snp", "effect"))
-    return prediction.stacking_scores(h, e, [r["block_id"] for r in X.blocks(spark).collect()])
+    e = prediction.allele_effects(H.alleles(h, 0.02), X.snps(spark, d), X.snps(spark, d).select("snp", "effect"))
+    return prediction.stacking_scores(h, e, [r["block_id"] for r in X.blocks(spark, d).collect()])
 
 
 def backend_summary(spark, d):
-    g = X.geno(spark, d)
-    return g.groupBy("chr").agg(F.countDistinct("snp").alias("n_snps"), F.countDistinct("sample_id").alias("n_samples"))
+    return readers.describe(X.real_calls(spark, d))
 
 
 def pheno_long(spark, d):
@@ -81,9 +81,9 @@ def stream_plate_rates(spark, d):
 
 QUERIES = {f.__name__: f for f in (haplotype_prediction, blocks_with_singletons, export_biomart, stacking_scores, export_hap_numeric, export_hap_character, export_vcf_lines, pipeline_diversity, pipeline_features, backend_summary, pheno_long, stream_plate_rates)}
 SQL = {
-    "blocks_with_singletons": f"with {X.SNP_SQL}, {X.BLOCK_SQL}, {X.MOVED_SQL} select chr, start_bp::int as start_bp, end_bp::int as end_bp, n_snps from moved union all select chr, pos, pos, 1 from snps s where not exists (select 1 from moved m where m.chr = s.chr and s.pos between m.start_bp and m.end_bp)",
-    "export_biomart": f"with {X.SNP_SQL}, {X.GWAS_SQL}, {X.BLOCK_SQL} select chr || ':' || pos || ':' || pos as region from (select b.block_id, b.chr, first(g.pos order by p, g.pos) as pos from blocks b join gwas g on g.chr = b.chr and g.pos between start_bp and end_bp where p <= 2e-7 group by all)",
-    "backend_summary": f"with {X.GENO_SQL} select chr, count(distinct snp) as n_snps, count(distinct sample_id) as n_samples from geno group by 1",
+    "blocks_with_singletons": f"with {X.REAL_SNP_SQL}, {X.real_block_sql()} select chr, start_bp::int as start_bp, end_bp::int as end_bp, n_snps from blocks union all select chr, pos, pos, 1 from snps s where not exists (select 1 from blocks m where m.chr = s.chr and s.pos between m.start_bp and m.end_bp)",
+    "export_biomart": f"with {_REG0} select chr || ':' || lead_pos || ':' || lead_pos as region from rg",
+    "backend_summary": f"with {X.REAL_CALL_SQL} select chr, count(distinct (pos, snp)) as n_snps, count(distinct sample_id) as n_samples from geno group by 1",
     "pheno_long": "select 'trait1' as trait, count(*) as n, count(*) filter (not isnan(trait1)) as n_obs from example_phenotype union all select 'trait2', count(*), count(*) filter (not isnan(trait2)) from example_phenotype",
     "stream_plate_rates": "select plate, count(*) as n_calls, count(*) filter (not coalesce(regexp_matches(trim(split_part(gt, ':', 1)), '^[0-9]+[/|][0-9]+$'), false)) as n_missing from vcf_calls group by 1",
 }

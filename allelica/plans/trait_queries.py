@@ -11,7 +11,7 @@ from allelica.operators import haplotypes as H
 from allelica.operators import prediction as P
 from allelica.operators import relational as R
 from allelica.plans import fixtures as X
-from allelica.plans.fixtures import BLOCK_SQL, GENO_SQL, GWAS_SQL, HAP_SQL, PHENO_SQL, SNP_SQL
+from allelica.plans.fixtures import BLOCK_SQL, GENO_SQL, GWAS_SQL, HAP_SQL, PHENO_SQL, REAL_GWAS_SQL, REAL_SNP_SQL, real_block_sql
 from allelica.plans.haplotype_queries import _DIV, _FEAT, _GAM, _haps, _phased
 
 
@@ -19,31 +19,35 @@ def _decay(spark):
     return spark.createDataFrame([("1", 60000.0), ("GENOME", 20000.0)], "chr string, decay_dist_bp double")
 
 
-def _regions(spark, decay=True):
-    return G.qtl_regions(X.gwas(spark), X.blocks(spark), X.snps(spark), 2e-7, 3, _decay(spark) if decay else None)
+def _panel_regions(spark, d):
+    return G.qtl_regions(X.gwas(spark, d), X.blocks(spark, d), X.snps(spark, d), 2e-7, 3)
+
+
+def _regions(spark, d, decay=True):
+    return G.qtl_regions(X.real_gwas(spark, d), X.real_blocks(spark, d), X.real_snps(spark, d), 1e-4, 3, _decay(spark) if decay else None)
 
 
 _REGION = ["block_id", "search_start", "search_end", "n_snps_block", "n_sig_markers", "lead_marker", "lead_p", "candidate_region_start", "candidate_region_end", "lead_beta", "sig_markers", "traits", "n_traits", "pleiotropic"]
 
 
 def qtl_regions(spark, d):
-    return _regions(spark, False).select(*_REGION)
+    return _regions(spark, d, False).select(*_REGION)
 
 
 def qtl_regions_decay(spark, d):
-    return _regions(spark).select(*_REGION)
+    return _regions(spark, d).select(*_REGION)
 
 
 def qtl_primary_hits(spark, d):
-    return G.primary_hits(_regions(spark))
+    return G.primary_hits(_regions(spark, d)).select("block_id", "lead_marker", "n_sig_blocks_in_window", "is_primary_hit")
 
 
 def export_bed(spark, d):
-    return G.export_bed(_regions(spark), 500)
+    return G.export_bed(_regions(spark, d), 500)
 
 
 def _local(spark, d):
-    return P.local_gebv(X.geno(spark, d), X.blocks(spark), X.snps(spark).select("snp", "effect"))
+    return P.local_gebv(X.geno(spark, d), X.blocks(spark, d), X.snps(spark, d).select("snp", "effect"))
 
 
 def local_gebv(spark, d):
@@ -55,7 +59,7 @@ def block_importance(spark, d):
 
 
 def rank_blocks(spark, d):
-    r = G.rank_blocks(H.diversity(_haps(spark, d)), _regions(spark, False), P.block_importance(_local(spark, d)))
+    r = G.rank_blocks(H.diversity(_haps(spark, d)), _panel_regions(spark, d), P.block_importance(_local(spark, d)))
     return r.select("block_id", "use_case", "has_gwas_hit", "is_diverse", F.round("rank_score", 6).alias("rank_score"))
 
 
@@ -64,7 +68,7 @@ def rank_blocks_diversity(spark, d):
 
 
 def integrate_priority(spark, d):
-    r = G.integrate(_regions(spark, False), P.block_importance(_local(spark, d)), H.diversity(_haps(spark, d)))
+    r = G.integrate(_panel_regions(spark, d), P.block_importance(_local(spark, d)), H.diversity(_haps(spark, d)))
     return r.select("block_id", "has_gwas_hit", "is_important", "is_diverse", "priority_score", "recommendation")
 
 
@@ -73,12 +77,12 @@ def _kept(spark, d):
 
 
 def decompose_effects(spark, d):
-    e = P.allele_effects(_kept(spark, d), X.snps(spark), X.snps(spark).select("snp", "effect"))
+    e = P.allele_effects(_kept(spark, d), X.snps(spark, d), X.snps(spark, d).select("snp", "effect"))
     return e.select("block_id", "allele", F.round("frequency", 6).alias("frequency"), F.round("allele_effect", 6).alias("allele_effect"), "effect_rank")
 
 
 def _effects(spark, d):
-    return P.allele_effects(_kept(spark, d), X.snps(spark), X.snps(spark).select("snp", "effect"))
+    return P.allele_effects(_kept(spark, d), X.snps(spark, d), X.snps(spark, d).select("snp", "effect"))
 
 
 def stacking_index(spark, d):
@@ -103,18 +107,17 @@ def wald_scan(spark, d):
 
 
 def bh_fdr(spark, d):
-    return R.bh_adjust(X.gwas(spark).withColumn("p", F.col("p") * 1e5), "p", "p_fdr", ["trait"]).select("snp", "trait", F.round("p_fdr", 9).alias("p_fdr"))
+    return R.bh_adjust(X.real_gwas(spark, d), "p", "p_fdr", ["trait"]).select("rec_id", "trait", F.round("p_fdr", 9).alias("p_fdr"))
 
 
 def bonferroni(spark, d):
-    from pyspark.sql import Window as W
-
-    n = F.count("p").over(W.partitionBy("trait"))
-    return X.gwas(spark).select("snp", "trait", F.round(F.least(F.lit(1.0), F.col("p") * n * 1e5), 9).alias("p_bonf"))
+    meff = spark.createDataFrame([(100,), (23,)], "meff int")
+    t = A.adjusted(X.real_gwas(spark, d).where("trait is not null"), meff, "p")
+    return t.select("rec_id", *[F.round(c, 9).alias(c) for c in ("p_bonf", "p_simplem", "p_simplem_sidak", "p_fdr")], "significant")
 
 
 def _dips(spark, d):
-    return H.diplotypes_phased(H.as_pairs(H.extract_phased(_phased(spark, d), X.blocks(spark))))
+    return H.diplotypes_phased(H.as_pairs(H.extract_phased(_phased(spark, d), X.blocks(spark, d))))
 
 
 def diplotype_means(spark, d):
@@ -137,7 +140,7 @@ def diplotype_omnibus(spark, d):
 
 
 def _pop_effects(spark, d, which):
-    h = H.extract(X.geno(spark, d).where("grp < 5" if which == 0 else "grp >= 5"), X.blocks(spark))
+    h = H.extract(X.geno(spark, d).where("grp < 5" if which == 0 else "grp >= 5"), X.blocks(spark, d))
     k = H.alleles(h, 0.02)
     w = A.wald_scan(H.features(h, k), X.pheno(spark, d), pvalues=False)
     return w.join(k.select(F.col("hap_id").alias("_h"), F.col("hap").alias("allele")), F.col("hap_id") == F.col("_h")).select("block_id", "trait", "allele", "effect", "se")
@@ -145,23 +148,23 @@ def _pop_effects(spark, d, which):
 
 def concordance_ivw(spark, d):
     c = G.compare_effects(_pop_effects(spark, d, 0), _pop_effects(spark, d, 1), pvalues=False)
-    return c.select("block_id", "trait", "n_alleles_pop1", "n_alleles_pop2", "n_shared_alleles", F.round("direction_agreement", 6).alias("direction_agreement"), *[F.round(x, 4).alias(x) for x in ("meta_effect", "meta_se", "q_stat", "i2")])
+    return c.select("block_id", "trait", "n_alleles_pop1", "n_alleles_pop2", "n_shared_alleles", F.round("direction_agreement", 6).alias("direction_agreement"), *[F.round(x, 4).alias(x) for x in ("meta_effect", "meta_se", "q_stat", "i2")], F.coalesce("q_df", F.lit(-1)).alias("q_df"))
 
 
 def concordance_full(spark, d):
-    return G.compare_effects(_pop_effects(spark, d, 0), _pop_effects(spark, d, 1), X.blocks(spark), X.blocks(spark))
+    return G.compare_effects(_pop_effects(spark, d, 0), _pop_effects(spark, d, 1), X.blocks(spark, d), X.blocks(spark, d))
 
 
 def concordance_gwas(spark, d):
-    a = G.qtl_regions(X.gwas(spark), X.blocks(spark), X.snps(spark), 5e-7)
-    b = G.qtl_regions(X.gwas(spark).withColumn("beta", F.col("beta") * 0.85 + 0.01), X.blocks(spark), X.snps(spark), 5e-7)
+    a = G.qtl_regions(X.gwas(spark, d), X.blocks(spark, d), X.snps(spark, d), 5e-7)
+    b = G.qtl_regions(X.gwas(spark, d).withColumn("beta", F.col("beta") * 0.85 + 0.01), X.blocks(spark, d), X.snps(spark, d), 5e-7)
     return G.compare_gwas(a, b)
 
 
 def _env(spark, d):
     """Four environments, each with a quarter of the samples."""
-    y = X.pheno(spark, d).where("trait = 'YLD'").withColumn("env", F.concat(F.lit("env"), F.expr("cast(substring(sample_id, 4) as int) % 4")))
-    return y.select("env", "sample_id", "y")
+    y = X.pheno(spark, d).where("trait = 'YLD'").withColumn("env", F.concat(F.lit("env"), F.expr("try_cast(substring(sample_id, 4) as int) % 4")))
+    return y.where("env is not null").select("env", "sample_id", "y")
 
 
 def stability_fw(spark, d):
@@ -216,7 +219,7 @@ def qq_data(spark, d):
 
 
 def block_epistasis(spark, d):
-    return A.block_epistasis(X.geno(spark, d), X.blocks(spark), X.pheno(spark, d).where("trait = 'YLD'"))
+    return A.block_epistasis(X.geno(spark, d), X.blocks(spark, d), X.pheno(spark, d).where("trait = 'YLD'"))
 
 
 def block_by_block_epistasis(spark, d):
@@ -232,12 +235,18 @@ QUERIES = {f.__name__: f for f in (qtl_regions, qtl_regions_decay, qtl_primary_h
 
 
 def _reg(ext: str) -> str:
-    return f"""{SNP_SQL}, {GWAS_SQL}, {BLOCK_SQL}, bx as (select *, ({ext})::int as ext from blocks),
-hit as (select b.block_id, b.chr, start_bp, end_bp, ext, g.snp, g.pos, g.p, g.beta, g.trait from bx b join gwas g on g.chr = b.chr and g.pos between start_bp - ext and end_bp + ext where p <= 2e-7),
-reg as (select block_id, chr, start_bp, end_bp, ext, start_bp - ext as search_start, end_bp + ext as search_end, 8::bigint as n_snps_block, count(distinct snp) as n_sig_markers, first(snp order by p, pos) as lead_marker, min(p) as lead_p, first(pos order by p, pos) as lead_pos, first(beta order by p, pos) as lead_beta, string_agg(snp, ';' order by pos) as sig_markers, array_to_string(list_sort(list_distinct(list(trait))), ',') as traits, count(distinct trait)::int as n_traits from hit group by all)"""
-
-
-_REGSEL = "select block_id, search_start, search_end, n_snps_block, n_sig_markers, lead_marker, lead_p, greatest(lead_pos - ext, 1) as candidate_region_start, lead_pos + ext as candidate_region_end, lead_beta, sig_markers, traits, n_traits, n_traits > 1 as pleiotropic from reg"
+    return f"""{REAL_SNP_SQL}, {REAL_GWAS_SQL}, {real_block_sql('blocks0')},
+bn as (select b.block_id, count(*) as nb from blocks0 b join snps s on s.chr = b.chr and s.pos between b.start_bp and b.end_bp group by 1 having count(*) >= 3),
+bx as (select b.*, nb, ({ext})::int as ext from blocks0 b join bn on bn.block_id = b.block_id),
+hit as (select b.block_id, b.chr, start_bp, end_bp, ext, nb, g.snp, g.pos, g.p, g.beta, g.trait from bx b join gwas g on g.chr = b.chr and g.pos between start_bp - ext and end_bp + ext where p <= 1e-4),
+mk as (select block_id, string_agg(snp, ';' order by pos, snp, beta nulls first) as sig_markers from (select distinct block_id, pos, snp, beta from hit) group by 1),
+reg as (select h.block_id, chr, start_bp, end_bp, ext, start_bp - ext as search_start, end_bp + ext as search_end, nb as n_snps_block, count(distinct snp) as n_sig_markers, (list({{'s': snp, 'p': pos, 'b': beta}} order by p, pos, snp nulls first, beta nulls first))[1] as ld, min(p) as lead_p,
+  coalesce(any_value(sig_markers), '') as sig_markers, array_to_string(list_sort(list_distinct(list(trait) filter (trait is not null))), ',') as traits, count(distinct trait)::int as n_traits from hit h left join mk on mk.block_id = h.block_id group by all),
+rg as (select *, ld.s as lead_marker, ld.p as lead_pos, ld.b as lead_beta from reg)"""
+
+
+_REG0 = _reg("0")
+_REGSEL = "select block_id, search_start, search_end, n_snps_block, n_sig_markers, lead_marker, lead_p, greatest(lead_pos - ext, 1) as candidate_region_start, lead_pos + ext as candidate_region_end, lead_beta, sig_markers, traits, n_traits, n_traits > 1 as pleiotropic from rg"
 _EXT = "case when chr = '1' then 60000 else 20000 end"
 _LOC = f"{GENO_SQL}, {BLOCK_SQL}, loc as (select block_id, b.chr, start_bp, end_bp, sample_id, coalesce(sum((dosage - 1) * effect), 0) as v from geno g join snps s on g.snp = s.snp join blocks b on g.chr = b.chr and g.pos between start_bp and end_bp group by all)"
 _IMP = "imp0 as (select block_id, 8::bigint as n_snps, var_samp(v) as vv from loc group by 1), imp as (select *, vv / max(vv) over () as vs from imp0)"
@@ -258,7 +267,8 @@ t{name} as (select *, xy / xx as effect, sqrt(greatest(ss - xy * xy / xx, 0) / (
 _DIP = f"{_GAM}, {PHENO_SQL}, {_Y}, p as (select block_id, sample_id, max(g) filter (c = 1) g1, max(g) filter (c = 2) g2 from gam group by all), dp as (select block_id, sample_id, least(g1, g2) h1, greatest(g1, g2) h2, least(g1, g2) || '/' || greatest(g1, g2) as diplotype from p where not contains(g1, '.') and not contains(g2, '.')), dm0 as (select block_id, trait, h1, h2, diplotype, count(*) n, avg(y) m, stddev_samp(y) / sqrt(count(*)) se, sum(y) s, sum(y * y) ss from dp join y on dp.sample_id = y.sample_id group by all), dm as (select * from (select *, sum(n) over (partition by block_id, trait) nt from dm0) where n >= 3)"
 SQL = {
     "qtl_regions": f"with {_reg('0')} {_REGSEL}", "qtl_regions_decay": f"with {_reg(_EXT)} {_REGSEL}",
-    "export_bed": f"with {_reg(_EXT)} select 'chr' || chr as chrom, greatest(0, greatest(lead_pos - ext, 1) - 1 - 500)::int as start, (lead_pos + ext + 500)::int as \"end\", block_id as name, least(1000, round(-log10(lead_p) * 10))::int as score, '.' as strand from reg",
+    "export_bed": f"with {_reg(_EXT)} select 'chr' || chr as chrom, greatest(0, greatest(lead_pos - ext, 1) - 1 - 500)::int as start, (lead_pos + ext + 500)::int as \"end\", block_id as name, least(1000, round(-log10(lead_p) * 10))::int as score, '.' as strand from rg",
+    "qtl_primary_hits": f"with {_reg(_EXT)}, m as (select *, abs((start_bp + end_bp) / 2.0::double - (greatest(lead_pos - ext, 1) + lead_pos + ext) / 2.0::double) as away from rg) select block_id, lead_marker, count(*) over (partition by chr, lead_marker) as n_sig_blocks_in_window, row_number() over (partition by chr, lead_marker order by away, block_id) = 1 as is_primary_hit from m",
     "local_gebv": f"with {_LOC} select block_id, sample_id, round(v, 6) + 0.0::double as local_gebv from loc",
     "block_importance": f"with {_LOC}, {_IMP} select block_id, n_snps, round(vv, 6) as var_local_gebv, round(vs, 6) as var_scaled, vs >= 0.9 as important from imp",
     "rank_blocks": f"with {HAP_SQL}, {_DIV}, {GWAS_SQL}, loc as (select block_id, sample_id, coalesce(sum((dosage - 1) * effect), 0) as v from geno g join snps s on g.snp = s.snp join blocks b on g.chr = b.chr and g.pos between start_bp and end_bp group by all), {_IMP}, q as (select distinct block_id from blocks b join gwas g on g.chr = b.chr and g.pos between start_bp and end_bp where p <= 2e-7) select d.block_id, 'phenotype' as use_case, q.block_id is not null as has_gwas_hit, he >= 0.3 as is_diverse, round(vs + 0.001 * (q.block_id is not null)::int + 0.001 * (he >= 0.3)::int, 6) as rank_score from div d join imp i on d.block_id = i.block_id left join q on q.block_id = d.block_id",
@@ -268,11 +278,11 @@ SQL = {
     "stacking_index": f"with {_EFF}, s as (select sample_id as id, h.block_id, coalesce(allele_effect, 0) as sc from hap h left join eff e on h.block_id = e.block_id and h.hap = e.allele where not contains(hap, '.')), t as (select id, sum(sc) t, count(*) n, avg(sc) m from s group by 1) select id, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) + 0.0::double as stacking_index, n as n_blocks_scored, round(m, 6) + 0.0::double as mean_block_score from t",
     "parent_inventory": f"with {_EFF} select sample_id as id, h.block_id, e.allele, (h.hap = e.allele)::int as dosage, round(frequency, 6) as allele_freq, round(allele_effect, 6) as allele_effect, frequency < 0.1 as is_rare from hap h join eff e on h.block_id = e.block_id where not contains(h.hap, '.')",
     "wald_scan": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('true', '0')} select trait, hap_id, n, round(effect, 6) as effect, round(se, 6) as se, round(effect / se, 5) as t_stat from t0",
-    "bh_fdr": f"with {SNP_SQL}, {GWAS_SQL}, q as (select snp, trait, p * 1e5 as p from gwas), r as (select *, rank() over (partition by trait order by p desc) dr, count(*) over (partition by trait) n, count(*) over (partition by trait order by p range unbounded preceding) k from q) select snp, trait, round(least(1, min(p * n / k) over (partition by trait order by p desc range unbounded preceding)), 9) as p_fdr from r",
-    "bonferroni": f"with {SNP_SQL}, {GWAS_SQL} select snp, trait, round(least(1.0::double, p * count(*) over (partition by trait) * 1e5), 9) as p_bonf from gwas",
+    "bh_fdr": f"with {REAL_GWAS_SQL}, r as (select *, count(*) over (partition by trait) n, count(*) over (partition by trait order by p range unbounded preceding) k from gwas where p is not null), a as (select rec_id, least(1, min(p * n / k) over (partition by trait order by p desc range unbounded preceding)) as p_fdr from r) select g.rec_id, trait, round(p_fdr, 9) as p_fdr from gwas g left join a on a.rec_id = g.rec_id",
+    "bonferroni": f"with {REAL_GWAS_SQL}, t as (select * from gwas where trait is not null), r as (select *, count(*) over () n, count(*) over (order by p range unbounded preceding) k from t where p is not null), a as (select rec_id, least(1, min(p * n / k) over (order by p desc range unbounded preceding)) as p_fdr from r) select t.rec_id, round(least(1.0::double, p * count(p) over (partition by trait)), 9) as p_bonf, round(least(1.0::double, p * 123), 9) as p_simplem, round(1 - pow(1 - p, 123), 9) as p_simplem_sidak, round(p_fdr, 9) as p_fdr, coalesce(p_fdr <= 0.05, false) as significant from t left join a on a.rec_id = t.rec_id",
     "diplotype_means": f"with {_DIP} select block_id, trait, diplotype, n, nt::bigint as n_total, round(m, 10) as mean_blue, round(se, 8) as se_mean from dm",
     "dominance_table": f"with {_DIP}, t as (select x.block_id, x.trait, x.h1 as allele_a, x.h2 as allele_b, a.m as aa, x.m as ab, b.m as bb from dm x join dm a on a.block_id = x.block_id and a.trait = x.trait and a.h1 = x.h1 and a.h2 = x.h1 join dm b on b.block_id = x.block_id and b.trait = x.trait and b.h1 = x.h2 and b.h2 = x.h2 where x.h1 <> x.h2) select block_id, trait, allele_a, allele_b, round(aa, 10) as mean_aa, round(ab, 10) as mean_ab, round(bb, 10) as mean_bb, round((bb - aa) / 2, 10) as a, round(ab - (aa + bb) / 2, 10) as d, coalesce(abs(bb - aa) / 2 > 1e-10 and abs((ab - (aa + bb) / 2) / ((bb - aa) / 2)) > 1, false) as overdominance from t",
     "diplotype_anova": f"with {_DIP}, g as (select block_id, trait, count(*) k, sum(n) n, sum(s) s, sum(ss) ss, sum(s * s / n) bt from dm group by all) select block_id, trait, k as n_diplotypes, round((bt - s * s / n) / (k - 1) / ((ss - bt) / (n - k)), 5) as f_stat, k - 1 as df1, (n - k)::bigint as df2 from g where k > 1 and n > k",
-    "concordance_ivw": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('grp < 5', '1')}, {_wald('grp >= 5', '2')}, n1 as (select block_id, trait, count(*) n from t1 group by all), n2 as (select block_id, trait, count(*) n from t2 group by all), s as (select a.block_id, a.trait, a.effect e1, b.effect e2, 1 / (a.se * a.se) w1, 1 / (b.se * b.se) w2 from t1 a join t2 b on a.block_id = b.block_id and a.trait = b.trait and a.allele = b.allele), b as (select *, (e1 * w1 + e2 * w2) / (w1 + w2) b from s), g as (select block_id, trait, count(*) k, avg((sign(e1) = sign(e2))::int) da, sum(b * (w1 + w2)) / sum(w1 + w2) me, sqrt(1 / sum(w1 + w2)) ms, sum(w1 * (e1 - b) ^ 2 + w2 * (e2 - b) ^ 2) q from b group by all) select g.block_id, g.trait, n1.n as n_alleles_pop1, n2.n as n_alleles_pop2, k as n_shared_alleles, round(da, 6) as direction_agreement, round(me, 4) as meta_effect, round(ms, 4) as meta_se, round(q, 4) as q_stat, round(case when q > 0 then 100 * greatest(0, (q - k) / q) else 0 end, 4) as i2 from g join n1 on g.block_id = n1.block_id and g.trait = n1.trait join n2 on g.block_id = n2.block_id and g.trait = n2.trait",
-    "stability_fw": f"with {_LOC}, {PHENO_SQL}, e as (select 'env' || (substr(sample_id, 4)::int % 4) as env, sample_id, y from pheno where trait = 'YLD'), x as (select env, avg(y) x from e group by 1), m as (select block_id, l.env, avg(v) y from (select block_id, v, env from loc join e on loc.sample_id = e.sample_id) l group by all), j as (select block_id, x, y from m join x on m.env = x.env), g as (select block_id, count(*) n, regr_sxx(y, x) sxx, regr_syy(y, x) syy, regr_sxy(y, x) sxy from j group by 1) select block_id, n, round(sxy / sxx, 5) as b, round(sxy * sxy / (sxx * syy), 5) as r2_fw, round(greatest(syy - sxy * sxy / sxx, 0) / (n - 2), 5) as s2d, round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx), 5) as b_se from g",
+    "concordance_ivw": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('grp < 5', '1')}, {_wald('grp >= 5', '2')}, n1 as (select block_id, trait, count(*) n from t1 group by all), n2 as (select block_id, trait, count(*) n from t2 group by all), s as (select a.block_id, a.trait, a.effect e1, b.effect e2, 1 / (a.se * a.se) w1, 1 / (b.se * b.se) w2 from t1 a join t2 b on a.block_id = b.block_id and a.trait = b.trait and a.allele = b.allele where a.se > 0 and b.se > 0), b as (select *, (e1 * w1 + e2 * w2) / (w1 + w2) b from s), g as (select block_id, trait, count(*) k, avg((sign(e1) = sign(e2))::int) da, sum(b * (w1 + w2)) / sum(w1 + w2) me, sqrt(1 / sum(w1 + w2)) ms, sum(w1 * (e1 - b) ^ 2 + w2 * (e2 - b) ^ 2) q from b group by all), h as (select coalesce(n1.block_id, n2.block_id) block_id, coalesce(n1.trait, n2.trait) trait, coalesce(n1.n, 0) a1, coalesce(n2.n, 0) a2 from n1 full join n2 on n1.block_id = n2.block_id and n1.trait = n2.trait) select h.block_id, h.trait, a1 as n_alleles_pop1, a2 as n_alleles_pop2, coalesce(k, 0) as n_shared_alleles, round(da, 6) as direction_agreement, round(me, 4) as meta_effect, round(ms, 4) as meta_se, round(q, 4) as q_stat, round(case when q > 0 then 100 * greatest(0, (q - (k - 1)) / q) when k is not null then 0 end, 4) as i2, coalesce(k - 1, -1) as q_df from h left join g on h.block_id = g.block_id and h.trait = g.trait",
+    "stability_fw": f"with {_LOC}, {PHENO_SQL}, e as (select 'env' || (try_cast(substr(sample_id, 4) as int) % 4) as env, sample_id, y from pheno where trait = 'YLD' and try_cast(substr(sample_id, 4) as int) is not null), x as (select env, avg(y) x from e group by 1), m as (select block_id, l.env, avg(v) y from (select block_id, v, env from loc join e on loc.sample_id = e.sample_id) l group by all), j as (select block_id, x, y from m join x on m.env = x.env), g as (select block_id, count(*) n, regr_sxx(y, x) sxx, regr_syy(y, x) syy, regr_sxy(y, x) sxy from j group by 1) select block_id, n, round(sxy / sxx, 5) as b, round(sxy * sxy / (sxx * syy), 5) as r2_fw, round(greatest(syy - sxy * sxy / sxx, 0) / (n - 2), 5) as s2d, round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx), 5) as b_se from g",
 }

@@ -206,7 +206,7 @@ def read_chunk(geno: DataFrame, chrom: str, start: int | None = None, end: int |
 
 def describe(geno: DataFrame) -> DataFrame:
     """Variants and samples per chromosome."""
-    return geno.groupBy("chr").agg(F.countDistinct("pos", "snp").alias("n_snps"), F.approx_count_distinct("sample_id").alias("n_samples"))
+    return geno.groupBy("chr").agg(F.countDistinct("pos", "snp").alias("n_snps"), F.countDistinct("sample_id").alias("n_samples"))
 
 
 def normalize_pheno(df: DataFrame, id_col: str, traits: list[str] | None = None) -> DataFrame:

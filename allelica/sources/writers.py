@@ -35,9 +35,11 @@ def haplotype_character(haps: DataFrame, decoded: DataFrame, samples: list[str])
 
 
 def vcf_lines(geno: DataFrame, samples: list[str]) -> DataFrame:
-    """Lines (value) of a VCF body, in order of chromosome and position; null dosages are ./., missing or equal alleles A and T."""
-    ref = F.coalesce("ref_allele", F.lit("A"))
-    alt = F.coalesce("alt_allele", F.when(ref == "T", "A").otherwise("T"))
+    """Lines (value) of a VCF body, in order of chromosome and position; null dosages are ./., missing,
+    empty or equal alleles A and T."""
+    some = lambda c: F.when(F.trim(c) != "", F.col(c))
+    ref = F.coalesce(some("ref_allele"), F.lit("A"))
+    alt = F.coalesce(some("alt_allele"), F.when(ref == "T", "A").otherwise("T"))
     alt = F.when(alt == ref, F.when(ref == "T", "A").otherwise("T")).otherwise(alt)
     gt = F.when(F.col("dosage") == 0, "0/0").when(F.col("dosage") == 1, "0/1").when(F.col("dosage") == 2, "1/1").otherwise("./.")
     d = geno.groupBy("chr", "pos", "snp", ref.alias("r"), alt.alias("a")).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", gt.alias("g")))).alias("m"))
@@ -47,7 +49,7 @@ def vcf_lines(geno: DataFrame, samples: list[str]) -> DataFrame:
 
 def write_vcf(geno: DataFrame, path: str, samples: list[str]) -> None:
     """Compressed text parts, sorted; the header lines are a part of their own."""
-    head = ["##fileformat=VCFv4.2", "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
     first = geno.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1)
     first.unionByName(vcf_lines(geno, samples)).write.mode("overwrite").option("compression", "gzip").text(path)
 
