@@ -18,7 +18,8 @@ from allelica.functions.keys import materialize
 from allelica.operators import ld
 from allelica.operators.relational import range_join, ranked, running_sum
 
-#: Maximal cliques that are listed before a piece falls back to communities: their number can be exponential.
+#: Maximal cliques that are listed at once; their number can be exponential. Where a piece has more, its densest
+#: neighbourhoods are taken out as groups first, and its blocks say so (``method``).
 CLIQUES_MAX = 20_000
 
 
@@ -96,9 +97,13 @@ def louvain(weight: np.ndarray) -> np.ndarray:
     return label
 
 
-def bins_of(r2: np.ndarray, pos: np.ndarray, cut: float = 0.5, mode: str = "density", gap: int = 40_000) -> list[list[int]]:
-    """Groups of variants in strong disequilibrium, disjoint. density: cliques by size / (span_kb + 1); maximal: by size;
-    louvain: communities with weight 1 / (distance_kb + 1). Groups are split where neighbours are more than ``gap`` apart."""
+def bins_of(r2: np.ndarray, pos: np.ndarray, cut: float = 0.5, mode: str = "density", gap: int = 40_000, most: int = CLIQUES_MAX) -> tuple[list[list[int]], str]:
+    """Groups of variants in strong disequilibrium, disjoint, and how they were made. density: cliques by size / (span_kb +
+    1); maximal: by size; louvain: communities with weight 1 / (distance_kb + 1). Groups are split where neighbours are more
+    than ``gap`` apart. While there are more than ``most`` maximal cliques, the neighbours of the variant whose neighbours are
+    most linked among each other (of the 30 % with most neighbours) are a group and leave the graph."""
+    if mode not in ("density", "maximal", "louvain"):
+        raise ValueError(f"unknown mode: {mode}")
     adj = r2 >= cut
     np.fill_diagonal(adj, False)
 
@@ -110,18 +115,28 @@ def bins_of(r2: np.ndarray, pos: np.ndarray, cut: float = 0.5, mode: str = "dens
             out[-1].append(b)
         return [x for x in out if len(x) > 1]
 
-    cliques = maximal_cliques(adj) if mode != "louvain" else None
-    if cliques is None:
+    if mode == "louvain":
         lab = louvain(np.where(adj, 1 / (np.abs(pos[:, None] - pos[None, :]) / 1000 + 1), 0))
-        return [s for c in sorted(set(lab.tolist())) for s in split(np.flatnonzero(lab == c).tolist())]
-    pool = [s for c in cliques for s in split(c)]
-    out = []
+        return [s for c in sorted(set(lab.tolist())) for s in split(np.flatnonzero(lab == c).tolist())], mode
+    out, left = [], np.arange(len(pos))
+    cliques = maximal_cliques(adj, most)
+    while cliques is None:
+        a = adj[np.ix_(left, left)].astype(float)
+        deg = a.sum(1)
+        dense = np.where((deg >= np.quantile(deg, 0.7)) & (deg > 1), (a @ a * a).sum(1) / np.maximum(1, deg * (deg - 1)), -1)
+        core = np.flatnonzero(a[int(dense.argmax())])
+        out += split(left[core].tolist())
+        left = np.delete(left, core)
+        mode_used = f"{mode}, cores first"
+        cliques = maximal_cliques(adj[np.ix_(left, left)], most)
+    made = mode if len(left) == len(pos) else mode_used
+    pool = [s for c in cliques for s in split(left[c].tolist())]
     while pool:
         score = [len(c) / ((pos[c[-1]] - pos[c[0]]) / 1000 + 1) if mode == "density" else len(c) for c in pool]
         best = set(pool[int(np.argmax(score))])
         out.append(sorted(best))
         pool = [c for c in ([v for v in c if v not in best] for c in pool) if len(c) > 1]
-    return out
+    return out, made
 
 
 def heaviest_disjoint(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -217,7 +232,7 @@ def cut_points(variants: DataFrame, cut: float = 0.5, leng: int = 200, longest:
     return r.select("chr", "pos", "snp", "rank", "run", F.concat_ws(":", "run", before).alias("piece"))
 
 
-_COLUMNS = {"chr": "string", "start_ix": "int", "end_ix": "int", "start_rsid": "string", "end_rsid": "string", "start_bp": "int", "end_bp": "int", "n_snps": "int", "length_bp": "int"}
+_COLUMNS = {"chr": "string", "start_ix": "int", "end_ix": "int", "start_rsid": "string", "end_rsid": "string", "start_bp": "int", "end_bp": "int", "n_snps": "int", "length_bp": "int", "method": "string"}
 _SCHEMA = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
 
 
@@ -225,13 +240,14 @@ def _blocks(pdf: pd.DataFrame, cut: float, mode: str, gap: int) -> list[tuple]:
     """Rows of ``_COLUMNS``: blocks of a piece's variants (in order of ix), in order."""
     x, _ = ld.matrix(pdf["sample_ids"].tolist(), pdf["dosages"].tolist())
     r2, pos, ix, snp = ld.r2_matrix(x), pdf["pos"].to_numpy(), pdf["ix"].to_numpy(), pdf["snp"].to_numpy()
-    found = resolve_overlap(blocks_of(bins_of(r2, pos, cut, mode, gap)), r2)
-    return [(pdf["chr"].iloc[0], int(ix[s]), int(ix[e]), snp[s], snp[e], int(pos[s]), int(pos[e]), e - s + 1, int(pos[e] - pos[s] + 1)) for s, e in found]
+    groups, made = bins_of(r2, pos, cut, mode, gap)
+    found = resolve_overlap(blocks_of(groups), r2)
+    return [(pdf["chr"].iloc[0], int(ix[s]), int(ix[e]), snp[s], snp[e], int(pos[s]), int(pos[e]), e - s + 1, int(pos[e] - pos[s] + 1), made) for s, e in found]
 
 
-def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000, pairs: DataFrame | None = None) -> DataFrame:
+def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng: int = 200, longest: int = 1500, gap: int = 40_000, maf: float = 0.05, max_bp: int = 5_000_000, pairs: DataFrame | None = None, metric: str = "r2") -> DataFrame:
     """Blocks: chr, start_ix, end_ix (over all variants of the chromosome, in order), start_rsid, end_rsid, start_bp,
-    end_bp, n_snps, length_bp. Variants below ``maf`` or without variance take part in no graph but count in the indices.
+    end_bp, n_snps, length_bp, method. ``metric``: r2, or rV2 (of the kept variants whitened by their kinship). Variants below ``maf`` or without variance take part in no graph but count in the indices.
     ``pairs``: r2 of pairs that are computed already, at least those with r2 >= cut."""
     if pairs is None:
         # read by the frequency filter, the pairs, the ranks and the pieces
@@ -239,6 +255,10 @@ def segment(variants: DataFrame, cut: float = 0.5, mode: str = "density", leng:
     ranks = ranked(variants, "ix")
     f = F.aggregate("dosages", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n")), lambda a: F.try_divide(a["s"], 2 * a["n"]))
     good = variants.withColumn("_f", f).where(F.least(F.col("_f"), 1 - F.col("_f")) >= maf).drop("_f")
+    if metric == "rV2":
+        good = materialize(ld.whitened(good), "whitened")
+    elif metric != "r2":
+        raise ValueError(f"unknown metric: {metric}")
     pieces = cut_points(good, cut, leng, longest, max_bp, pairs).select(F.col("chr").alias("_c"), F.col("snp").alias("_s"), "run", "piece")
     # read by the segmentation and by the search for forced cuts
     pieces = materialize(pieces.join(ranks.select("chr", "snp", "ix"), F.expr("chr = _c and snp = _s")).select("_c", "_s", "run", "piece", "ix"), "pieces")
@@ -350,3 +370,17 @@ def tune(variants: DataFrame, gwas: DataFrame, grid: list[dict], band: tuple[int
         return spark.createDataFrame([], "row int, params string, n_blocks long, n_outside long, n_forced long, n_unassigned long, median_block_bp double, penalty_bp double, best boolean")
     r = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("n_unassigned", "n_forced", "n_blocks", "penalty_bp", "row"))
     return out.withColumn("best", r == 1)
+
+
+#: Parameter sets that are tried where none are given.
+GRID = [{"cut": c, "leng": 1000, "longest": 10_000, "gap": 2_000_000} for c in (0.65, 0.70, 0.75, 0.80)]
+
+
+def tuned(variants: DataFrame, gwas: DataFrame, grid: list[dict] | None = None, band: tuple[int, int] = (50_000, 500_000)) -> tuple[DataFrame, DataFrame]:
+    """(scores of all parameter sets, blocks by the best)."""
+    grid = GRID if grid is None else grid
+    scores = materialize(tune(variants, gwas, grid, band), "scores")
+    best = scores.where("best").first()
+    if best is None:
+        raise ValueError("no parameter sets")
+    return scores, segment(variants, **grid[best["row"]])

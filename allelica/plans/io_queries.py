@@ -84,6 +84,7 @@ SQL = {
     "blocks_with_singletons": f"with {X.REAL_SNP_SQL}, {X.real_block_sql()} select chr, start_bp::int as start_bp, end_bp::int as end_bp, n_snps from blocks union all select chr, pos, pos, 1 from snps s where not exists (select 1 from blocks m where m.chr = s.chr and s.pos between m.start_bp and m.end_bp)",
     "export_biomart": f"with {_REG0} select chr || ':' || lead_pos || ':' || lead_pos as region from rg",
     "backend_summary": f"with {X.REAL_CALL_SQL} select chr, count(distinct (pos, snp)) as n_snps, count(distinct sample_id) as n_samples from geno group by 1",
+    "export_vcf_lines": f"with {X.GENO_SQL} select concat_ws(chr(9), g.chr, g.pos::varchar, g.snp, any_value(ref_allele), any_value(alt_allele), '.', 'PASS', '.', 'GT', string_agg(case dosage when 0 then '0/0' when 1 then '0/1' when 2 then '1/1' else './.' end, chr(9) order by sample_id)) as value from geno g join snps s on g.snp = s.snp group by g.chr, g.pos, g.snp",
     "pheno_long": "select 'trait1' as trait, count(*) as n, count(*) filter (not isnan(trait1)) as n_obs from example_phenotype union all select 'trait2', count(*), count(*) filter (not isnan(trait2)) from example_phenotype",
     "stream_plate_rates": "select plate, count(*) as n_calls, count(*) filter (not coalesce(regexp_matches(trim(split_part(gt, ':', 1)), '^[0-9]+[/|][0-9]+$'), false)) as n_missing from vcf_calls group by 1",
 }

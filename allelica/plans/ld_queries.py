@@ -10,6 +10,10 @@ from allelica.plans import fixtures as X
 from allelica.plans.fixtures import GENO_SQL, REAL_GWAS_SQL, REAL_SNP_SQL, real_block_sql
 
 
+#: The panel's blocks are planted: cliques find them, and the extension of the cliques adds nothing.
+_PLANTED = f"with {GENO_SQL} select chr, (j - (chr::int - 1) * v // 4 + 1)::int as start_ix, (j - (chr::int - 1) * v // 4 + 8)::int as end_ix, snp as start_rsid, 'rs' || (j + 7) as end_rsid, pos as start_bp, pos + 7000 as end_bp, 8 as n_snps, 7001 as length_bp from snps, nv where j % 8 = 0"
+
+
 def _v(spark, d):
     return ld.variant_major(X.geno(spark, d))
 
@@ -115,6 +119,7 @@ SQL = {
     "ld_col_r2": f"with {_R2} select s.snp, round(coalesce(r2, 0), 6) as r2 from snps s left join r2 on (snp_i = 'rs5' and snp_j = s.snp) or (snp_j = 'rs5' and snp_i = s.snp)",
     "ld_adjacency": f"with {_R2} select snp_i, snp_j from r2 where {_SAME} and r2 >= 0.5",
     "ld_boundary_scan": f"with {_R2} select snp, (not exists (select 1 from r2 where r2 >= 0.5 and r2.chr = r2.chr_j and r2.chr = s.chr and r2.i between s.j - 4 and s.j and r2.j between s.j + 1 and s.j + 5))::int as valid from snps s where s.j not in (select max(j) from snps group by chr)",
+    "ld_blocks_density": _PLANTED.replace("7001 as length_bp", "7001 as length_bp, 'density' as method"), "ld_blocks_extended": _PLANTED,
     "ld_band_pairs": f"with {REAL_SNP_SQL} select a.snp as snp_i, b.snp as snp_j, b.pos - a.pos as dist_bp from snps a join snps b on a.chr = b.chr and b.pos > a.pos and b.pos - a.pos <= 60000",
     "decay_bins": f"with {_BIN} select chr, bin, (bin + 0.5::double) * 10000 as dist_bp, round(m, 6) as r2_mean, round(md, 6) as r2_median, n as n_pairs from bn",
     "decay_crossing": f"with {_BIN}, k as (select *, (bin + 0.5::double) * 10000 x from bn), f as (select chr, min(bin) filter (m < 0.1) b, max(bin) filter (m >= 0.1) a, max(x) e from k group by 1) select f.chr, round(case when a is null or b is null then e when a < b then ka.x + (0.1 - ka.m) * (kb.x - ka.x) / (kb.m - ka.m) else kb.x end, 3) as decay_dist_bp, a is null or b is null as censored from f left join k kb on f.chr = kb.chr and f.b = kb.bin left join k ka on f.chr = ka.chr and f.a = ka.bin",

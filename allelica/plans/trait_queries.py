@@ -215,7 +215,8 @@ def effective_tests(spark, d):
 
 
 def qq_data(spark, d):
-    return A.qq_table(A.wald_scan(_feat(spark, d), X.pheno(spark, d)))
+    q = A.qq_table(A.wald_scan(_feat(spark, d), X.pheno(spark, d)))
+    return q.select("trait", "hap_id", F.round("expected", 9).alias("expected"), F.round("lambda_gc", 6).alias("lambda_gc"))
 
 
 def block_epistasis(spark, d):
@@ -278,6 +279,7 @@ SQL = {
     "stacking_index": f"with {_EFF}, s as (select sample_id as id, h.block_id, coalesce(allele_effect, 0) as sc from hap h left join eff e on h.block_id = e.block_id and h.hap = e.allele where not contains(hap, '.')), t as (select id, sum(sc) t, count(*) n, avg(sc) m from s group by 1) select id, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) + 0.0::double as stacking_index, n as n_blocks_scored, round(m, 6) + 0.0::double as mean_block_score from t",
     "parent_inventory": f"with {_EFF} select sample_id as id, h.block_id, e.allele, (h.hap = e.allele)::int as dosage, round(frequency, 6) as allele_freq, round(allele_effect, 6) as allele_effect, frequency < 0.1 as is_rare from hap h join eff e on h.block_id = e.block_id where not contains(h.hap, '.')",
     "wald_scan": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('true', '0')} select trait, hap_id, n, round(effect, 6) as effect, round(se, 6) as se, round(effect / se, 5) as t_stat from t0",
+    "qq_data": f"with {HAP_SQL}, {PHENO_SQL}, {_Y}, {_wald('true', '0')}, t as (select trait, hap_id, effect / se as t from t0), r as (select *, row_number() over (partition by trait order by abs(t) desc) i, count(*) over (partition by trait) n, median(t * t) over (partition by trait) m from t) select trait, hap_id, round(-log10(i / (n + 1.0::double)), 9) as expected, round(m / 0.4549364231195724, 6) as lambda_gc from r",
     "bh_fdr": f"with {REAL_GWAS_SQL}, r as (select *, count(*) over (partition by trait) n, count(*) over (partition by trait order by p range unbounded preceding) k from gwas where p is not null), a as (select rec_id, least(1, min(p * n / k) over (partition by trait order by p desc range unbounded preceding)) as p_fdr from r) select g.rec_id, trait, round(p_fdr, 9) as p_fdr from gwas g left join a on a.rec_id = g.rec_id",
     "bonferroni": f"with {REAL_GWAS_SQL}, t as (select * from gwas where trait is not null), r as (select *, count(*) over () n, count(*) over (order by p range unbounded preceding) k from t where p is not null), a as (select rec_id, least(1, min(p * n / k) over (order by p desc range unbounded preceding)) as p_fdr from r) select t.rec_id, round(least(1.0::double, p * count(p) over (partition by trait)), 9) as p_bonf, round(least(1.0::double, p * 123), 9) as p_simplem, round(1 - pow(1 - p, 123), 9) as p_simplem_sidak, round(p_fdr, 9) as p_fdr, coalesce(p_fdr <= 0.05, false) as significant from t left join a on a.rec_id = t.rec_id",
     "diplotype_means": f"with {_DIP} select block_id, trait, diplotype, n, nt::bigint as n_total, round(m, 10) as mean_blue, round(se, 8) as se_mean from dm",

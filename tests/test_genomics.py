@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelica.functions import distributions as D
-from allelica.operators import association, decay, gwas, haplotypes, ld, prediction, qc, relational, segmentation
+from allelica.operators import association, decay, gwas, ld, prediction, qc, relational, segmentation
+from allelica.operators import haplotypes as H
 from allelica.plans import pipeline
 from allelica.sources import readers, writers
 from tests.conftest import rows
@@ -87,8 +88,13 @@ def test_whitening():
     v = a @ a.T / 30
     for m in ("eigen", "chol"):
         w = ld.whitener(v, m)
-        bent = 0.99 * v + 0.01 * np.eye(12)
-        assert np.allclose(w @ bent @ w.T, np.eye(12), atol=1e-8)
+        assert np.allclose(w @ v @ w.T, np.eye(12), atol=1e-8)
+    # without full rank: the Cholesky factor of the bent matrix, the identity on the eigenvectors that are kept
+    low = a[:, :5] @ a[:, :5].T
+    w = ld.whitener(low, "chol")
+    assert np.allclose(w @ (0.99 * low + 0.01 * np.eye(12)) @ w.T, np.eye(12), atol=1e-8)
+    w = ld.whitener(low)
+    assert np.allclose(np.linalg.eigvalsh(w @ low @ w.T)[-5:], 1) and np.linalg.matrix_rank(w) == 5
 
 
 def test_segmentation_finds_planted_blocks(spark, geno):
@@ -169,28 +175,28 @@ BLOCKS = "block_id string, chr string, start_bp int, end_bp int, n_snps int"
 def test_haplotype_family(spark, geno, panel):
     x, info = panel
     b = spark.createDataFrame([("b1", "1", 1000, 8000, 8), ("b2", "1", 60000, 90000, 8)], BLOCKS)
-    h = haplotypes.extract(geno, b)
+    h = H.extract(geno, b)
     want = {f"ind{i + 1}": "".join("." if np.isnan(v) else str(int(v)) for v in x[i, :8]) for i in range(80)}
     assert {r["sample_id"]: r["hap"] for r in h.where("block_id = 'b1'").collect()} == want
     full = [v for v in want.values() if "." not in v]
     p = np.array(list(pd.Series(full).value_counts())) / len(full)
-    d = haplotypes.diversity(h).where("block_id = 'b1'").first()
+    d = H.diversity(h).where("block_id = 'b1'").first()
     assert d["he"] == pytest.approx(len(full) / (len(full) - 1) * (1 - (p**2).sum())) and d["shannon"] == pytest.approx(-(p * np.log(p)).sum())
-    g = haplotypes.relationship(haplotypes.features(h, haplotypes.alleles(h, 0.05)), cells=400)
+    g = H.relationship(H.features(h, H.alleles(h, 0.05)), cells=400)
     m, ids = prediction.square(g)
     assert len(ids) == 80 and g.count() == 80 * 81 // 2 and np.allclose(m, m.T) and np.linalg.eigvalsh(m).min() > -1e-8
     for how in ("nearest", "rare_to_other", "tree_based"):
-        c = haplotypes.collapse(h, 0.05, how)
+        c = H.collapse(h, 0.05, how)
         assert c.count() == h.count()
-    dip = haplotypes.diplotypes_unphased(h)
+    dip = H.diplotypes_unphased(h)
     assert dip.count() == h.count() and dip.where("missing and diplotype is not null and not phase_ambiguous").where("hap1 like '%.%'").count() == 0
-    assert haplotypes.extract(geno.limit(0), b).count() == 0
-    assert haplotypes.network(h).groupBy("block_id").count().count() == 2
+    assert H.extract(geno.limit(0), b).count() == 0
+    assert H.network(h).groupBy("block_id").count().count() == 2
 
 
 def test_unphased_resolution(spark):
     h = spark.createDataFrame([("b", "1", 1, 3, 3, s, v) for s, v in (("p", "000"), ("q", "222"), ("r", "111"), ("s", "0.1"))], "block_id string, chr string, start_bp int, end_bp int, n_snps int, sample_id string, hap string")
-    got = {r["id"]: r for r in haplotypes.diplotypes_unphased(h).collect()}
+    got = {r["id"]: r for r in H.diplotypes_unphased(h).collect()}
     assert (got["r"]["hap1"], got["r"]["hap2"], got["r"]["phase_ambiguous"]) == ("000", "111", False)
     assert got["p"]["diplotype"] == "000/000" and got["s"]["missing"] and got["s"]["hap1"] is None
 
@@ -231,8 +237,8 @@ def test_reml_satisfies_equations():
 
 def test_wald_matches_least_squares(spark, geno):
     b = spark.createDataFrame([("b1", "1", 1000, 8000, 8)], BLOCKS)
-    h = haplotypes.extract(geno, b)
-    f = haplotypes.features(h, haplotypes.alleles(h, 0.05))
+    h = H.extract(geno, b)
+    f = H.features(h, H.alleles(h, 0.05))
     y = spark.createDataFrame([(f"ind{i + 1}", "T", float((i * 7) % 11)) for i in range(80)], "sample_id string, trait string, y double")
     got = association.wald_scan(f, y).collect()
     wide = f.toPandas().pivot(index="sample_id", columns="hap_id", values="dose").astype(float)
@@ -279,7 +285,10 @@ def test_decay_curve_and_fits(spark, geno):
     assert f.count() == c.count() and f.where("r2_hw is null").count() == 0
     y, k = decay.hill_weir(np.array([1e4, 5e4, 1e5, 1e6]), decay.hill_weir(np.array([1e4, 5e4, 1e5, 1e6]), np.zeros(4), 80, np.ones(4))[0], 80, np.ones(4))
     assert np.isfinite(y).all() and k > 0
-    assert decay.decay_distance(c, 2.0).where("censored").count() == 0
+    # never at or above, never below, and a curve that crosses
+    assert decay.decay_distance(c, 2.0).where("not censored").count() == 0 and decay.decay_distance(c, -1.0).where("not censored").count() == 0
+    bumpy = spark.createDataFrame([("1", i, 10.0 * i, y) for i, y in enumerate([0.5, 0.3, 0.05, 0.2])] + [("2", i, 10.0 * i, y) for i, y in enumerate([0.5, 0.3, 0.1, 0.0])], "chr string, bin int, dist_bp double, r2_mean double")
+    assert {r["chr"]: (r["decay_dist_bp"], r["censored"]) for r in decay.decay_distance(bumpy, 0.15).collect()} == {"1": (20.0, False), "2": (pytest.approx(17.5), False)}
 
 
 def test_numeric_hapmap_vcf_round_trip(spark, geno, panel, tmp_path):
@@ -359,3 +368,77 @@ def test_stream_rates(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select n_calls from rates").first()[0] == 3
+
+
+def test_haplotypes_of_samples_without_a_row(spark):
+    rows_ = [("a", 1, 0), ("a", 3, 2), ("b", 1, 0), ("b", 2, 2), ("c", 1, 0), ("c", 2, 1), ("c", 3, None), ("d", 1, 1), ("d", 2, 1), ("d", 3, 1), ("d", 3, 1), ("e", 2, 2), ("e", 2, 0), ("e", 1, 0)]
+    g = spark.createDataFrame([(s, "1", p, f"v{p}", x) for s, p, x in rows_], "sample_id string, chr string, pos int, snp string, dosage int")
+    b = spark.createDataFrame([("k", "1", 1, 3)], "block_id string, chr string, start_bp int, end_bp int")
+    assert {r["sample_id"]: r["hap"] for r in H.extract(g, b).collect()} == {"a": "0.2", "b": "02.", "c": "01.", "d": "111", "e": "00."}
+
+
+def _haps(spark, rows_, more=""):
+    return spark.createDataFrame([("k", "1", 1, 3, 3, *r) for r in rows_], f"block_id string, chr string, start_bp int, end_bp int, n_snps long, sample_id string, hap string{more}")
+
+
+def test_rare_alleles_are_pooled_if_rare_in_both(spark):
+    rows_ = [(f"s{i}", "000", "x") for i in range(200)] + [("s300", "111", "x")] + [(f"t{i}", "222", "y") for i in range(2)] + [("t9", "000", "y")] + [("u1", "333", "z")]
+    h = _haps(spark, rows_, ", grp string")
+    r = H.compare_populations(h, "grp", "x", "y", 0.02, permutations=0).first()
+    # 222 is under 2 % of all, but not of y; 111 is rare in both
+    assert (r["n_alleles"], r["dominant_g2"]) == (3, "222") and abs(r["max_freq_diff"] - 2 / 3) < 1e-9
+    few = H.compare_populations(h, "grp", "x", "z", 0.02, permutations=10).first()
+    assert (few["n1"], few["n2"], few["fst_simple"], few["divergent"]) == (201, 1, None, False)
+
+
+def test_tree_collapse(spark):
+    def of(counts):
+        rows_ = [(f"s{i}_{h}", h) for h, n in counts.items() for i in range(n)]
+        return {r["hap"]: r["collapsed"] for r in H.collapse(_haps(spark, rows_), 0.05, "tree_based").collect()}
+
+    # one common allele: all rare ones end at it, also those cut off from its cluster
+    assert of({"000000": 50, "000001": 1, "111111": 1}) == {"000000": "000000", "000001": "000000", "111111": "000000"}
+    # two: by cluster, or to the nearest
+    got = of({"00000000": 40, "11110000": 40, "00000001": 1, "11111111": 1})
+    assert got["00000001"] == "00000000" and got["11111111"] == "11110000"
+
+
+def test_concordance_counts_freedom_and_keeps_blocks(spark):
+    cols = "block_id string, trait string, allele string, effect double, se double"
+    a = spark.createDataFrame([("k", "t", "0", 1.0, 0.5), ("k", "t", "1", 2.0, 0.5), ("m", "t", "0", 1.0, 0.5), ("n", "t", "0", 1.0, 0.5), ("o", "t", "5", 1.0, 0.1)], cols)
+    b = spark.createDataFrame([("k", "t", "0", 1.5, 0.5), ("k", "t", "1", 1.5, 0.5), ("m", "t", "0", 1.0, 0.5), ("p", "t", "0", 1.0, 0.5), ("o", "t", "6", 1.0, 0.1)], cols)
+    got = {r["block_id"]: r for r in gwas.compare_effects(a, b).collect()}
+    assert set(got) == {"k", "m", "n", "o", "p"}
+    assert (got["k"]["q_df"], got["k"]["replicated"]) == (1, True) and abs(got["k"]["q_stat"] - 1.0) < 1e-9 and got["k"]["i2"] == 0
+    assert (got["m"]["q_df"], got["m"]["q_p"], got["m"]["replicated"]) == (0, None, False)
+    assert [(got[k]["n_alleles_pop1"], got[k]["n_alleles_pop2"], got[k]["n_shared_alleles"], got[k]["q_df"]) for k in "nop"] == [(1, 0, 0, None), (1, 1, 0, None), (0, 1, 0, None)]
+
+
+def test_dense_cores_leave_first():
+    rng = np.random.default_rng(3)
+    r2 = (rng.random((40, 40)) < 0.6).astype(float)
+    r2 = np.maximum(r2, r2.T)
+    pos = np.arange(40) * 100
+    full, made = segmentation.bins_of(r2, pos, most=10**6)
+    assert made == "density"
+    cored, made = segmentation.bins_of(r2, pos, most=20)
+    assert made == "density, cores first" and len({v for g in cored for v in g}) == sum(map(len, cored))
+    with pytest.raises(ValueError):
+        segmentation.bins_of(r2, pos, mode="other")
+
+
+def test_decay_in_one_call(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 3, (60, 40))
+    rows_ = []
+    for c in ("1", "2"):
+        for j in range(40):
+            x = np.where(rng.random(60) < 0.8, base[:, j // 5 * 5], base[:, j])
+            rows_ += [(f"s{i}", c, 1000 * (j + 1), f"{c}_{j}", int(x[i])) for i in range(60)]
+    v = ld.variant_major(spark.createDataFrame(rows_, "sample_id string, chr string, pos int, snp string, dosage int"))
+    d = decay.decay(v, r2_threshold="both", n_pairs=200, max_dist=20_000, n_bins=10, n_unlinked=400)
+    assert {r["chr"] for r in d.distance.collect()} == {"1", "2", "GENOME"} and d.critical_r2 >= 0.1
+    n = {r["chr"]: r["count"] for r in d.pairs.groupBy("chr").count().collect()}
+    assert all(60 <= k <= 200 for k in n.values())
+    s = decay.decay(v, sampling="sliding", r2_threshold=None, n_pairs=100, max_dist=20_000, window=10, fit="none")
+    assert s.distance is None and s.curve.count() > 0
