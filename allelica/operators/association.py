@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from allelica.functions.distributions import f_upper, p_f, p_t, t_two_sided
+from allelica.functions.distributions import f_upper, p_f, p_t, q_norm, t_two_sided
 from allelica.functions.keys import materialize
 from allelica.operators.prediction import reml, square
-from allelica.operators.relational import bh_adjust, range_join
+from allelica.operators.relational import bh_adjust, range_join, running_sum
 
 
 def wald_scan(features: DataFrame, pheno: DataFrame, pvalues: bool = True) -> DataFrame:
@@ -34,53 +36,64 @@ def wald_scan(features: DataFrame, pheno: DataFrame, pvalues: bool = True) -> Da
     return out.withColumn("p_wald", p_t(F.col("t_stat"), F.col("df"))) if pvalues else out
 
 
-def residuals(pheno: DataFrame, grm: DataFrame, n_pcs: int = 0, bend: float = 1e-3) -> DataFrame:
-    """trait, sample_id, y: phenotypes minus fixed effects and polygenic values of the null mixed model (``n_pcs`` leading
-    eigenvectors as covariates; -1: as many as the BIC of 0..10 favours). Traits with fewer than 10 samples are left out."""
+NULL_MODEL = "trait string, n_pcs int, sample_id string, y double, bic double, h2 double"
+
+
+def null_models(pheno: DataFrame, grm: DataFrame, n_pcs: list[int], bend: float = 1e-3) -> DataFrame:
+    """trait, n_pcs, sample_id, y, bic, h2: phenotypes minus fixed effects and polygenic values of the null mixed model with
+    as many leading eigenvectors as covariates. Traits with fewer than 10 samples more than covariates are left out."""
     k, ids = square(grm)
     k = k + bend * np.eye(len(k))
-    val, vec = np.linalg.eigh(k)
-    shared = grm.sparkSession.sparkContext.broadcast((k, ids, vec[:, ::-1][:, :10]))
+    shared = grm.sparkSession.sparkContext.broadcast((k, ids, np.linalg.eigh(k)[1][:, ::-1][:, : max(n_pcs)].copy()))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k, ids, pcs = shared.value
-        y = pdf.groupby("sample_id")["y"].mean().reindex(ids).to_numpy(float)
+        m, y = int(pdf["n_pcs"].iloc[0]), pdf.groupby("sample_id")["y"].mean().reindex(ids).to_numpy(float)
         seen = np.isfinite(y)
         n = int(seen.sum())
-        if n < 10:
-            return pd.DataFrame(columns=["trait", "sample_id", "y"])
-        sub = k[np.ix_(seen, seen)]
+        if n < 10 + m:
+            return pd.DataFrame(columns=[c.split()[0] for c in NULL_MODEL.split(", ")])
+        x = np.column_stack([np.ones(n), pcs[seen, :m]])
+        f = reml(y[seen], k[np.ix_(seen, seen)], x)
+        bic = -2 * f["ll"] + (m + 3) * np.log(n)
+        return pd.DataFrame({"trait": pdf["trait"].iloc[0], "n_pcs": m, "sample_id": np.array(ids)[seen], "y": y[seen] - x @ f["beta"] - f["u"], "bic": bic, "h2": f["h2"]})
 
-        def fit(m: int) -> tuple[float, np.ndarray]:
-            x = np.column_stack([np.ones(n), pcs[seen, :m]])
-            f = reml(y[seen], sub, x)
-            return -2 * f["ll"] + (m + 3) * np.log(n), y[seen] - x @ f["beta"] - f["u"]
+    d = pheno.where("y is not null").select("trait", "sample_id", "y", F.explode(F.array(*[F.lit(m) for m in n_pcs])).alias("n_pcs"))
+    return d.groupBy("trait", "n_pcs").applyInPandas(run, NULL_MODEL)
 
-        res = min((fit(m) for m in range(0, 11)), key=lambda v: v[0])[1] if n_pcs < 0 else fit(n_pcs)[1]
-        return pd.DataFrame({"trait": pdf["trait"].iloc[0], "sample_id": np.array(ids)[seen], "y": res})
 
-    return pheno.where("y is not null").groupBy("trait").applyInPandas(run, "trait string, sample_id string, y double")
+def residuals(pheno: DataFrame, grm: DataFrame, n_pcs: int = 0, bend: float = 1e-3) -> DataFrame:
+    """trait, sample_id, y: residuals of the null mixed model (``n_pcs`` leading eigenvectors as covariates; -1: as many as
+    the BIC of 0..10 favours)."""
+    d = null_models(pheno, grm, list(range(11)) if n_pcs < 0 else [n_pcs], bend)
+    if n_pcs < 0:
+        d = materialize(d, "models")
+        best = d.groupBy(F.col("trait").alias("_t")).agg(F.min(F.struct("bic", "n_pcs"))["n_pcs"].alias("_k"))
+        d = d.join(F.broadcast(best), F.expr("trait = _t and n_pcs = _k"))
+    return d.select("trait", "sample_id", "y")
+
+
+def model_table(models: DataFrame, features: DataFrame, method: str = "bic_lambda") -> DataFrame:
+    """trait, n_pcs, bic, h2, lambda_gc, score, selected of ``null_models``: inflation from a scan of all alleles, and the
+    score by ``method`` (bic; lambda: distance of the inflation from 1; bic_lambda: that and a hundredth of the scaled BIC).
+    The least score is selected, ties go to fewer covariates."""
+    one = models.groupBy("trait", "n_pcs").agg(F.max("bic").alias("bic"), F.max("h2").alias("h2"))
+    key = F.concat_ws("\x1f", "trait", F.col("n_pcs").cast("string"))
+    scan = wald_scan(features, models.select(key.alias("trait"), "sample_id", "y"))
+    chi = F.pow(q_norm(F.col("p_wald") / 2), F.lit(2))
+    lam = scan.groupBy(F.col("trait").alias("_key")).agg((F.median(chi) / 0.4549364231195724).alias("lambda_gc"))
+    d = one.join(lam, key == F.col("_key"), "left").drop("_key")
+    w = W.partitionBy("trait")
+    low, high, off = F.min("bic").over(w), F.max("bic").over(w), F.abs(F.col("lambda_gc") - 1)
+    score = {"bic": F.col("bic"), "lambda": off, "bic_lambda": off + 0.01 * (F.col("bic") - low) / (high - low + 1e-10)}[method]
+    d = d.withColumn("score", score)
+    return d.withColumn("selected", F.row_number().over(w.orderBy(F.col("score").asc_nulls_last(), "n_pcs")) == 1)
 
 
 def pc_selection(pheno: DataFrame, grm: DataFrame, most: int = 10) -> DataFrame:
-    """trait, n_pcs, bic, h2, selected for 0..most leading eigenvectors as covariates."""
-    k, ids = square(grm)
-    k = k + 1e-3 * np.eye(len(k))
-    pcs = np.linalg.eigh(k)[1][:, ::-1][:, :most]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.groupby("sample_id")["y"].mean().reindex(ids).to_numpy(float)
-        seen = np.isfinite(y)
-        n = int(seen.sum())
-        rows = []
-        for m in range(most + 1) if n >= most + 10 else []:
-            f = reml(y[seen], k[np.ix_(seen, seen)], np.column_stack([np.ones(n), pcs[seen, :m]]))
-            rows.append((pdf["trait"].iloc[0], m, -2 * f["ll"] + (m + 3) * np.log(n), f["h2"]))
-        out = pd.DataFrame(rows, columns=["trait", "n_pcs", "bic", "h2"])
-        out["selected"] = out["bic"] == out["bic"].min()
-        return out
-
-    return pheno.where("y is not null").groupBy("trait").applyInPandas(run, "trait string, n_pcs int, bic double, h2 double, selected boolean")
+    """trait, n_pcs, bic, h2, selected (least BIC) for 0..most leading eigenvectors as covariates."""
+    d = null_models(pheno, grm, list(range(most + 1))).groupBy("trait", "n_pcs").agg(F.max("bic").alias("bic"), F.max("h2").alias("h2"))
+    return d.withColumn("selected", F.col("bic") == F.min("bic").over(W.partitionBy("trait")))
 
 
 def _pivot(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -135,6 +148,116 @@ def effective_tests(features: DataFrame, by: str = "block_id", cut: float = 0.99
     return features.groupBy(by).applyInPandas(run, f"{by} string, meff int")
 
 
+SCOPES = ("chromosome", "global", "block")
+METRICS = ("p_wald", "p_fdr", "p_simplem", "p_simplem_sidak")
+
+
+def scoped_meff(features: DataFrame, places: DataFrame, scope: str, cut: float = 0.995, most: int = 1000) -> DataFrame:
+    """trait, scope_id, meff: effective tests of the columns (trait, sample_id, hap_id, dose) of a scope. ``places`` has each
+    column's hap_id, block_id, chr and start_bp. Scopes are cut into chunks of ``most`` columns in order of their place, each
+    one task, and the chunks' numbers are added up."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope: {scope}")
+    p = running_sum(places.select("hap_id", "block_id", "chr", "start_bp").distinct(), "chr", "start_bp", ["start_bp", "hap_id"], F.lit(1), "_rank")
+    if scope == "global":
+        n = p.groupBy(F.col("chr").alias("_c")).agg(F.max("_rank").alias("_n"))
+        # one row a chromosome
+        n = n.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        p = p.join(F.broadcast(n), F.expr("chr = _c")).withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("scope_id", F.lit("all"))
+    else:
+        p = p.withColumn("scope_id", F.col("chr" if scope == "chromosome" else "block_id"))
+    p = p.select(F.col("hap_id").alias("_h"), "scope_id", F.floor((F.col("_rank") - 1) / most).alias("_chunk"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, _, names = _pivot(pdf.drop(columns=["y"], errors="ignore"))
+        n = 0
+        if names:
+            r = np.nan_to_num(np.atleast_2d(np.corrcoef(x, rowvar=False)))
+            np.fill_diagonal(r, 1.0)
+            val = np.sort(np.abs(np.linalg.eigvalsh(r)))[::-1]
+            n = int(np.searchsorted(np.cumsum(val) / val.sum(), cut - 1e-12) + 1)
+        return pd.DataFrame({"trait": [pdf["trait"].iloc[0]], "scope_id": [pdf["scope_id"].iloc[0]], "meff": [n]})
+
+    d = features.join(p, F.col("hap_id") == F.col("_h")).select("trait", "scope_id", "_chunk", "sample_id", "hap_id", F.col("dose").cast("double").alias("dose"))
+    d = d.groupBy("trait", "scope_id", "_chunk").applyInPandas(run, "trait string, scope_id string, meff int")
+    return d.groupBy("trait", "scope_id").agg(F.greatest(F.sum("meff"), F.lit(1)).cast("int").alias("meff"))
+
+
+def block_scores(features: DataFrame) -> DataFrame:
+    """trait, sample_id, hap_id (the block's id), dose: first principal component of a block's alleles (trait, block_id,
+    sample_id, hap_id, dose); the allele itself where there is one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = pdf.pivot_table(index="sample_id", columns="hap_id", values="dose", aggfunc="first", dropna=False).sort_index(axis=1)
+        x = w.to_numpy(float)
+        if x.shape[1] > 1:
+            x = np.nan_to_num(x - np.nanmean(x, 0))
+            x = x @ np.linalg.svd(x, full_matrices=False)[2][:1].T
+        return pd.DataFrame({"trait": pdf["trait"].iloc[0], "sample_id": w.index, "hap_id": pdf["block_id"].iloc[0], "dose": x[:, 0]})
+
+    d = features.select("trait", "block_id", "sample_id", "hap_id", F.col("dose").cast("double").alias("dose"))
+    return d.groupBy("trait", "block_id").applyInPandas(run, "trait string, sample_id string, hap_id string, dose double")
+
+
+def _levels(tests: DataFrame, meff: DataFrame, key: str, p: str, out: str, alpha: float) -> DataFrame:
+    """Adds meff, the level and the p-values by it (Bonferroni and Sidak), and the FDR over all tests."""
+    d = bh_adjust(materialize(tests, "tests"), p, f"{out}fdr")
+    d = d.join(meff.select(F.col("trait").alias("_t"), F.col("scope_id").alias("_s"), "meff"), F.expr(f"trait = _t and {key} = _s"), "left").drop("_t", "_s", key).withColumn("meff", F.coalesce("meff", F.lit(1)))
+    d = d.withColumn("alpha_simplem", alpha / F.col("meff")).withColumn("alpha_simplem_sidak", 1 - F.pow(F.lit(1 - alpha), 1 / F.col("meff")))
+    return d.withColumn(f"{out}simplem", F.least(F.lit(1.0), F.col(p) * F.col("meff"))).withColumn(f"{out}simplem_sidak", 1 - F.pow(1 - F.col(p), F.col("meff")))
+
+
+@dataclass(frozen=True)
+class BlockTests:
+    alleles: DataFrame
+    blocks: DataFrame
+    models: DataFrame
+
+
+def test_blocks(
+    haps: DataFrame, pheno: DataFrame, n_pcs: int | None = 0, top_n: int | None = None, min_freq: float = 0.05, alpha: float = 0.05, metric: str = "p_wald", scope: str = "chromosome", cut: float = 0.995,
+    most: int = 1000, pcs_most: int = 10, select_by: str = "bic_lambda", phased: bool = False,
+) -> BlockTests:
+    """Association of block haplotypes with traits in one call.
+
+    alleles: every allele's regression on the residuals of the null mixed model (haplotype relationship, ``n_pcs`` leading
+    eigenvectors; None searches 0..``pcs_most`` per trait by ``select_by``) with p_wald, p_fdr, meff, alpha_simplem(_sidak),
+    p_simplem, p_simplem_sidak and ``significant``: the p-value named by ``metric`` is at most ``alpha``. blocks: the same for
+    the joint test of a block's alleles (p_omnibus...). models: the search's table. Effective tests are counted per
+    ``scope`` among the samples with the trait; at block scope a block's joint test is one. Without alleles or phenotypes
+    (10 samples at least) all tables are empty with their columns.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    from allelica.operators import haplotypes as H
+
+    kept = materialize(H.alleles(haps, min_freq, top_n), "kept")
+    feats = materialize(H.features(haps, kept), "features")
+    grm = materialize(H.relationship(feats, phased, bend=True), "grm")
+    models = materialize(null_models(pheno, grm, [n_pcs] if n_pcs is not None else list(range(pcs_most + 1))), "models")
+    table = materialize(model_table(models, feats, select_by), "model_table")
+    best = table.where("selected").select(F.col("trait").alias("_t"), F.col("n_pcs").alias("_k"))
+    resid = models.join(F.broadcast(best), F.expr("trait = _t and n_pcs = _k")).select("trait", "sample_id", "y")
+    places = kept.select("hap_id", "block_id", "chr", "start_bp", "end_bp", F.col("hap").alias("allele"), F.col("freq").alias("allele_freq"))
+    x = feats.join(resid.select("trait", "sample_id"), "sample_id")
+    key = {"chromosome": F.col("chr"), "global": F.lit("all"), "block": F.col("block_id")}[scope]
+
+    a = wald_scan(feats, resid).drop("block_id").join(places, "hap_id").withColumn("_key", key)
+    a = _levels(a, scoped_meff(x, places, scope, cut, most), "_key", "p_wald", "p_", alpha).withColumn("significant", F.coalesce(F.col(metric) <= alpha, F.lit(False)))
+    where = places.select("block_id", "chr", "start_bp", "end_bp").distinct()
+    b = block_tests(feats, resid).join(where, "block_id").withColumn("_key", key)
+    if scope == "block":
+        n = b.select("trait", F.col("block_id").alias("scope_id"), F.lit(1).alias("meff"))
+    else:
+        n = scoped_meff(block_scores(x), where.select(F.col("block_id").alias("hap_id"), "block_id", "chr", "start_bp"), scope, cut, most)
+    b = _levels(b, n, "_key", "p_omnibus", "p_omnibus_", alpha)
+    b = b.withColumn("significant_omnibus", F.coalesce(F.col("p_omnibus" if metric == "p_wald" else metric.replace("p_", "p_omnibus_", 1)) <= alpha, F.lit(False)))
+    return BlockTests(a, b, table)
+
+
+test_blocks.__test__ = False  # not a test case
+
+
 def adjusted(tests: DataFrame, meff: DataFrame, p: str = "p_wald", alpha: float = 0.05) -> DataFrame:
     """Adds p_fdr (over all tests), p_bonf (per trait), meff, p_simplem = p meff, p_simplem_sidak = 1 - (1 - p)^meff, significant."""
     # ranking reads the tests several times

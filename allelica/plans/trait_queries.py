@@ -206,6 +206,18 @@ def allele_tests(spark, d):
     return A.adjusted(A.wald_scan(f, A.residuals(X.pheno(spark, d), _grm(spark, d))), A.effective_tests(f))
 
 
+def _block_tests(spark, d):
+    return A.test_blocks(_haps(spark, d), X.pheno(spark, d), n_pcs=None, metric="p_simplem", scope="chromosome", pcs_most=2)
+
+
+def block_haplotype_alleles(spark, d):
+    return _block_tests(spark, d).alleles
+
+
+def block_haplotype_blocks(spark, d):
+    return _block_tests(spark, d).blocks
+
+
 def pc_model_selection(spark, d):
     return A.pc_selection(X.pheno(spark, d), _grm(spark, d), 5)
 
@@ -232,7 +244,7 @@ def fine_map_lasso(spark, d):
     return A.fine_map(X.geno(spark, d), ("1", 1000, 8000), X.pheno(spark, d).where("trait = 'YLD'"), "lasso")
 
 
-QUERIES = {f.__name__: f for f in (qtl_regions, qtl_regions_decay, qtl_primary_hits, export_bed, local_gebv, block_importance, rank_blocks, rank_blocks_diversity, integrate_priority, decompose_effects, stacking_index, parent_inventory, wald_scan, bh_fdr, bonferroni, diplotype_means, dominance_table, diplotype_anova, diplotype_omnibus, concordance_ivw, concordance_full, concordance_gwas, stability_fw, stability_tests, gblup, cv_prediction, backsolved_effects, block_omnibus, allele_tests, pc_model_selection, effective_tests, qq_data, block_epistasis, block_by_block_epistasis, fine_map_lasso)}
+QUERIES = {f.__name__: f for f in (qtl_regions, qtl_regions_decay, qtl_primary_hits, export_bed, local_gebv, block_importance, rank_blocks, rank_blocks_diversity, integrate_priority, decompose_effects, stacking_index, parent_inventory, wald_scan, bh_fdr, bonferroni, diplotype_means, dominance_table, diplotype_anova, diplotype_omnibus, concordance_ivw, concordance_full, concordance_gwas, stability_fw, stability_tests, gblup, cv_prediction, backsolved_effects, block_omnibus, allele_tests, block_haplotype_alleles, block_haplotype_blocks, pc_model_selection, effective_tests, qq_data, block_epistasis, block_by_block_epistasis, fine_map_lasso)}
 
 
 def _reg(ext: str) -> str:

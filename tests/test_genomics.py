@@ -442,3 +442,30 @@ def test_decay_in_one_call(spark):
     assert all(60 <= k <= 200 for k in n.values())
     s = decay.decay(v, sampling="sliding", r2_threshold=None, n_pairs=100, max_dist=20_000, window=10, fit="none")
     assert s.distance is None and s.curve.count() > 0
+
+
+def test_block_haplotypes_in_one_call(spark):
+    rng = np.random.default_rng(8)
+    haps_, y = [], {}
+    for i in range(60):
+        y[f"s{i}"] = float(rng.normal())
+        for k in range(6):
+            h = str(rng.integers(0, 3)) * 3
+            y[f"s{i}"] += 3.0 * (k == 2 and h == "000")
+            haps_.append((f"b{k}", str(1 + k // 3), 100 * k, 100 * k + 50, 3, f"s{i}", h))
+    haps = spark.createDataFrame(haps_, "block_id string, chr string, start_bp int, end_bp int, n_snps long, sample_id string, hap string")
+    pheno = spark.createDataFrame([(s, "t", v) for s, v in y.items()], "sample_id string, trait string, y double")
+    for scope in association.SCOPES:
+        r = association.test_blocks(haps, pheno, metric="p_simplem_sidak", scope=scope)
+        a = r.alleles.toPandas()
+        assert len(a) == 18 and ((a["p_simplem_sidak"] <= 0.05) == a["significant"]).all() and (a["p_simplem"] >= a["p_wald"]).all()
+        b = r.blocks.toPandas().set_index("block_id")
+        assert b["p_omnibus"].idxmin() == "b2" and ((b["p_omnibus_simplem_sidak"] <= 0.05) == b["significant_omnibus"]).all()
+        # three alleles of a block sum to one: two tests
+        assert (a["meff"] == {"chromosome": 6, "global": 12, "block": 2}[scope]).all() and (b["meff"] == {"chromosome": 3, "global": 6, "block": 1}[scope]).all()
+    m = association.test_blocks(haps, pheno, n_pcs=None, pcs_most=2).models.toPandas()
+    assert list(m.sort_values("n_pcs")["n_pcs"]) == [0, 1, 2] and m["selected"].sum() == 1 and m["lambda_gc"].notna().all()
+    none = association.test_blocks(haps, pheno.limit(5))
+    assert none.alleles.count() == 0 and none.blocks.count() == 0 and "p_simplem" in none.alleles.columns
+    with pytest.raises(ValueError):
+        association.test_blocks(haps, pheno, metric="p")
