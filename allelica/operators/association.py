@@ -307,38 +307,57 @@ def _anova_groups(dips: DataFrame, pheno: DataFrame, min_n: int) -> DataFrame:
 
 
 def interaction_scan(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
-    """(i, j, effect, se, t, p) of the product term of each column pair in y ~ 1 + xi + xj + xi xj (centred product)."""
-    n, out = len(y), []
-    for i in range(x.shape[1]):
-        for j in range(i + 1, x.shape[1]):
-            z = (x[:, i] - x[:, i].mean()) * (x[:, j] - x[:, j].mean())
-            if min(x[:, i].var(), x[:, j].var(), z.var()) < 1e-10 or n <= 4:
-                continue
-            a = np.column_stack([np.ones(n), x[:, i], x[:, j], z])
-            q = a.T @ a
-            if np.linalg.cond(q) > 1e12:
-                continue
-            inv = np.linalg.inv(q)
-            b = inv @ (a.T @ y)
-            s2 = ((y - a @ b) ** 2).sum() / (n - 4)
-            se = float(np.sqrt(max(s2 * inv[3, 3], 0)))
-            if se > 0:
-                out.append((i, j, float(b[3]), se, float(b[3] / se), float(t_two_sided(np.array([b[3] / se]), n - 4)[0])))
+    """(i, j, effect, se, t, p) of the product term of each column pair in y ~ 1 + xi + xj + xi xj (centred product). The
+    normal equations of one column with all later ones are solved as a stack."""
+    n, p, out = len(y), x.shape[1], []
+    if n <= 4 or p < 2:
+        return out
+    c, yc = x - x.mean(0), y - y.mean()
+    var = x.var(0)
+    for i in range(p - 1):
+        js = np.flatnonzero((var >= 1e-10) & (np.arange(p) > i))
+        if var[i] < 1e-10 or not len(js):
+            continue
+        z = c[:, [i]] * c[:, js]
+        js, z = js[z.var(0) >= 1e-10], z[:, z.var(0) >= 1e-10]
+        # all columns centred: the constant drops out of the equations
+        zc, m = z - z.mean(0), len(js)
+        ci, cj = c[:, i], c[:, js]
+        q, r = np.empty((m, 3, 3)), np.empty((m, 3))
+        q[:, 0, 0], q[:, 1, 1], q[:, 2, 2] = ci @ ci, (cj * cj).sum(0), (zc * zc).sum(0)
+        q[:, 0, 1] = q[:, 1, 0] = ci @ cj
+        q[:, 0, 2] = q[:, 2, 0] = ci @ zc
+        q[:, 1, 2] = q[:, 2, 1] = (cj * zc).sum(0)
+        r[:, 0], r[:, 1], r[:, 2] = ci @ yc, cj.T @ yc, zc.T @ yc
+        ok = np.linalg.cond(q) <= 1e12 if m else np.zeros(0, bool)
+        if not ok.any():
+            continue
+        js, q, r = js[ok], q[ok], r[ok]
+        inv = np.linalg.inv(q)
+        b = np.einsum("mij,mj->mi", inv, r)
+        s2 = np.maximum(yc @ yc - (b * r).sum(1), 0) / (n - 4)
+        se = np.sqrt(np.maximum(s2 * inv[:, 2, 2], 0))
+        good = se > 0
+        t = b[good, 2] / se[good]
+        pv = t_two_sided(t, n - 4) if len(t) else t
+        out += [(i, int(j), float(e), float(s), float(v), float(w)) for j, e, s, v, w in zip(js[good], b[good, 2], se[good], t, pv)]
     return out
 
 
 EPISTASIS = "block_id string, trait string, snp_i string, snp_j string, pos_i int, pos_j int, dist_bp int, aa_effect double, se double, t_stat double, p_wald double, meff int, p_bonf double, p_simplem double"
 
 
-def block_epistasis(geno: DataFrame, blocks: DataFrame, pheno: DataFrame, maf: float = 0.05, most: int = 300, seed: int = 42) -> DataFrame:
+def block_epistasis(geno: DataFrame, blocks: DataFrame, pheno: DataFrame, maf: float = 0.05, most: int | None = None, seed: int = 42) -> DataFrame:
     """Interactions of variant pairs within each block, with Bonferroni, effective-test and FDR values per block and trait.
 
-    Variants below ``maf`` are left out; of more than ``most`` in a block that many are drawn by hash (the operator's own
-    limit, for pairs grow with its square). One task handles one block and trait.
+    Variants below ``maf`` are left out. With ``most`` a block with more variants has that many drawn by hash; without it all
+    pairs are tested. One task handles one block and trait.
     """
     snps = geno.groupBy("chr", "pos", "snp").agg((F.avg("dosage") / 2).alias("f")).where(F.least(F.col("f"), 1 - F.col("f")) >= maf).drop("f")
     b = range_join(snps, blocks.select("block_id", "chr", "start_bp", "end_bp"))
-    b = b.withColumn("_r", F.row_number().over(W.partitionBy("block_id").orderBy(F.xxhash64("snp", F.lit(seed)), "snp"))).where(F.col("_r") <= most).select("block_id", F.col("snp").alias("_s"), F.col("chr").alias("_c"))
+    if most is not None:
+        b = b.withColumn("_r", F.row_number().over(W.partitionBy("block_id").orderBy(F.xxhash64("snp", F.lit(seed)), "snp"))).where(F.col("_r") <= most)
+    b = b.select("block_id", F.col("snp").alias("_s"), F.col("chr").alias("_c"))
     y = pheno.where("y is not null").groupBy("trait", "sample_id").agg(F.avg("y").alias("y"))
     d = geno.join(b, (F.col("snp") == F.col("_s")) & (F.col("chr") == F.col("_c"))).join(y, "sample_id").select("block_id", "trait", "sample_id", "pos", "snp", "dosage", "y")
 

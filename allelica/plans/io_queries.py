@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from allelica.functions.keys import table
+from allelica.functions.keys import shared_dir, table
 from allelica.operators import gwas, prediction, segmentation
 from allelica.operators import haplotypes as H
 from allelica.plans import fixtures as X
@@ -39,6 +41,35 @@ def export_vcf_lines(spark, d):
     return writers.vcf_lines(_full(spark, d), _samples(spark, d))
 
 
+_LONG = ["sample_id", "snp", "chr", "pos", "ref_allele", "alt_allele", "dosage"]
+
+
+def _known(geno):
+    return geno.select(*_LONG[:-1], F.coalesce("dosage", F.lit(-1)).alias("dosage"))
+
+
+def source_vcf(spark, d):
+    """The panel written as VCF to the shared folder and read again."""
+    at = f"{shared_dir(spark)}/allelica/{uuid.uuid4().hex}.vcf"
+    writers.write_vcf(_full(spark, d), at, _samples(spark, d))
+    return _known(readers.read_genotypes(spark, at))
+
+
+def source_numeric(spark, d):
+    """The panel as a numeric table of one column per sample, likewise."""
+    at = f"{shared_dir(spark)}/allelica/{uuid.uuid4().hex}.csv"
+    g = _full(spark, d).groupBy("snp", "chr", "pos", "ref_allele", "alt_allele").agg(F.array_sort(F.collect_list(F.struct("sample_id", F.coalesce(F.col("dosage").cast("string"), F.lit("NA")).alias("v")))).alias("_a"))
+    lines = g.select(F.concat_ws(",", "snp", "chr", F.col("pos").cast("string"), "ref_allele", "alt_allele", F.array_join("_a.v", ",")).alias("value"))
+    head = spark.createDataFrame([(",".join(["SNP", "CHR", "POS", "REF", "ALT", *_samples(spark, d)]),)], "value string").coalesce(1)
+    head.unionByName(lines).write.text(at)
+    return _known(readers.read_genotypes(spark, at))
+
+
+def source_store(spark, d):
+    """The panel's store, one stretch of a chromosome read."""
+    return _known(readers.read_chunk(readers.store(_full(spark, d).select(*_LONG), f"{shared_dir(spark)}/allelica/store-{uuid.uuid4().hex}"), "2", 1000, 6_000_000))
+
+
 def pipeline_diversity(spark, d):
     return pipeline.run(spark, _full(spark, d)).diversity
 
@@ -79,8 +110,10 @@ def stream_plate_rates(spark, d):
     return calls.plate_rates(table(spark, d, "vcf_calls")).groupBy("plate").agg(F.sum("n_calls").alias("n_calls"), F.sum("n_missing").alias("n_missing"))
 
 
-QUERIES = {f.__name__: f for f in (haplotype_prediction, blocks_with_singletons, export_biomart, stacking_scores, export_hap_numeric, export_hap_character, export_vcf_lines, pipeline_diversity, pipeline_features, backend_summary, pheno_long, stream_plate_rates)}
+QUERIES = {f.__name__: f for f in (haplotype_prediction, blocks_with_singletons, export_biomart, stacking_scores, export_hap_numeric, export_hap_character, export_vcf_lines, source_vcf, source_numeric, source_store, pipeline_diversity, pipeline_features, backend_summary, pheno_long, stream_plate_rates)}
+_PANEL = f"with {X.GENO_SQL} select sample_id, g.snp, g.chr, g.pos, ref_allele, alt_allele, coalesce(dosage, -1) as dosage from geno g join snps s on g.snp = s.snp"
 SQL = {
+    "source_vcf": _PANEL, "source_numeric": _PANEL, "source_store": _PANEL + " where g.chr = '2' and g.pos between 1000 and 6000000",
     "blocks_with_singletons": f"with {X.REAL_SNP_SQL}, {X.real_block_sql()} select chr, start_bp::int as start_bp, end_bp::int as end_bp, n_snps from blocks union all select chr, pos, pos, 1 from snps s where not exists (select 1 from blocks m where m.chr = s.chr and s.pos between m.start_bp and m.end_bp)",
     "export_biomart": f"with {_REG0} select chr || ':' || lead_pos || ':' || lead_pos as region from rg",
     "backend_summary": f"with {X.REAL_CALL_SQL} select chr, count(distinct (pos, snp)) as n_snps, count(distinct sample_id) as n_samples from geno group by 1",

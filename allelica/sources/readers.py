@@ -39,11 +39,14 @@ def read_genotypes(spark: SparkSession, path: str, format: str | None = None, **
     return {"hapmap": read_hapmap, "vcf": read_vcf, "bed": read_bed, "numeric": read_numeric}[kind](spark, path, **options)
 
 
-def _lines(spark: SparkSession, path: str, sep: str, mark: str = "") -> tuple[DataFrame, list[str]]:
-    """Lines without the header, and the header's fields. The header is the first line, or where a format marks it, the
-    first that starts with ``mark`` in any part of the file."""
+def _lines(spark: SparkSession, path: str, sep: str, mark: str = "", need: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Lines without the header, and the header's fields. The header is the first line, or in any part of the file the first
+    that starts with ``mark`` and has the fields ``need``."""
     lines = spark.read.text(path)
-    first = lines.where(~F.startswith("value", F.lit("##")) & (F.trim("value") != "") & F.startswith("value", F.lit(mark))).first()
+    some = lines.where(~F.startswith("value", F.lit("##")) & (F.trim("value") != "") & F.startswith("value", F.lit(mark)))
+    names = F.transform(F.split(F.upper(F.regexp_replace("value", "\r$", "")), f"\\Q{sep}\\E"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    first = some.where(F.array_size(F.array_intersect(names, F.array(*[F.lit(n) for n in need]))) == len(need)).first() if need else None
+    first = first or some.first()
     if first is None:
         raise ValueError(f"no header in {path}")
     head = first["value"].rstrip("\r")
@@ -58,6 +61,14 @@ def clean_rows(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFra
     return body.where(ok), body.agg(F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("removed"), F.count_if(ok).alias("kept"))
 
 
+def _of_width(body: DataFrame, n: int, clean: bool) -> DataFrame:
+    """Lines of ``n`` fields. A line of another width is an error, or is left out if ``clean``."""
+    if clean:
+        return body.where(F.size("f") == n)
+    text = F.concat(F.lit(f"a line of another width than the header's {n}: "), F.substring(F.array_join("f", " "), 1, 80))
+    return body.where(F.when(F.size("f") == n, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+
+
 def _samples(ids: list[str], first: int) -> Column:
     """Rows of a line's sample columns: exploded pairs of sample id and value."""
     names = F.array(*[F.lit(s) for s in ids])
@@ -73,27 +84,28 @@ def _get(i: int) -> Column:
     return F.get("f", F.lit(i))
 
 
-def read_numeric(spark: SparkSession, path: str, sep: str = ",", na: tuple[str, ...] = MISSING, sample_ids: list[str] | None = None) -> DataFrame:
-    """SNP, CHR, POS[, REF, ALT], then one dosage column per sample. Lines of another width are dropped."""
-    body, head = _lines(spark, path, sep)
+def read_numeric(spark: SparkSession, path: str, sep: str = ",", na: tuple[str, ...] = MISSING, sample_ids: list[str] | None = None, clean: bool = False) -> DataFrame:
+    """SNP, CHR, POS[, REF, ALT], then one dosage column per sample. A line of another width than the header's is an error,
+    with ``clean`` it is left out (``clean_rows`` counts such lines)."""
+    body, head = _lines(spark, path, sep, need=("SNP", "CHR", "POS"))
     up = [h.upper() for h in head]
     for need in ("SNP", "CHR", "POS"):
         if need not in up:
             raise ValueError(f"missing column {need} in {path}")
     first = 1 + max(up.index(c) for c in ("SNP", "CHR", "POS", "REF", "ALT") if c in up)
     at = lambda c: _get(up.index(c)) if c in up else F.lit(None).cast("string")
-    d = body.where(F.size("f") == len(head)).select(*_base(at("SNP"), at("CHR"), at("POS"), at("REF"), at("ALT")), _samples(sample_ids or head[first:], first))
+    d = _of_width(body, len(head), clean).select(*_base(at("SNP"), at("CHR"), at("POS"), at("REF"), at("ALT")), _samples(sample_ids or head[first:], first))
     v = F.trim("s.v")
     return d.select("*", F.col("s.sample_id").alias("sample_id"), F.when(~v.isin(*na), F.expr("try_cast(trim(s.v) as double)")).cast("int").alias("dosage")).select(*OUT)
 
 
-def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = None, strict: bool = False) -> DataFrame:
+def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = None, strict: bool = False, clean: bool = False) -> DataFrame:
     """Eleven leading columns, then two-letter calls; the dosage counts letters equal to ALT (second of ``alleles``).
-    ``strict``: calls with any other letter than REF and ALT are missing."""
+    ``strict``: calls with any other letter than REF and ALT are missing. ``clean``: as in ``read_numeric``."""
     body, head = _lines(spark, path, "\t")
     alleles = F.split(_get(1), "/")
     ref, alt = F.get(alleles, F.lit(0)), F.get(alleles, F.lit(1))
-    d = body.where(F.size("f") == len(head)).select(*_base(_get(0), _get(2), _get(3), ref, alt), _samples(sample_ids or head[len(HAPMAP) :], len(HAPMAP)))
+    d = _of_width(body, len(head), clean).select(*_base(_get(0), _get(2), _get(3), ref, alt), _samples(sample_ids or head[len(HAPMAP) :], len(HAPMAP)))
     v = F.upper(F.trim("s.v"))
     n = (F.substring(v, 1, 1) == F.col("alt_allele")).cast("int") + (F.substring(v, 2, 1) == F.col("alt_allele")).cast("int")
     ok = ~v.isin(*MISSING) & (F.length(v) == 2)
@@ -102,17 +114,18 @@ def read_hapmap(spark: SparkSession, path: str, sample_ids: list[str] | None = N
     return d.select("*", F.col("s.sample_id").alias("sample_id"), F.when(ok, n).alias("dosage")).select(*OUT)
 
 
-def _vcf(spark: SparkSession, path: str) -> DataFrame:
+def _vcf(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
     body, head = _lines(spark, path, "\t", "#CHROM\t")
     if len(head) < 10:
         raise ValueError(f"no VCF header with samples in {path}")
-    d = body.where(F.size("f") == len(head)).select(*_base(_get(2), _get(0), _get(1), _get(3), _get(4)), _samples(head[9:], 9))
+    d = _of_width(body, len(head), clean).select(*_base(_get(2), _get(0), _get(1), _get(3), _get(4)), _samples(head[9:], 9))
     return d.select("*", F.col("s.sample_id").alias("sample_id"), F.substring_index("s.v", ":", 1).alias("gt"))
 
 
-def read_vcf(spark: SparkSession, path: str, biallelic_only: bool = False) -> DataFrame:
-    """Number of non-zero alleles of each call; null unless every allele is a number. Haploid calls count as they are."""
-    d = _vcf(spark, path)
+def read_vcf(spark: SparkSession, path: str, biallelic_only: bool = False, clean: bool = False) -> DataFrame:
+    """Number of non-zero alleles of each call; null unless every allele is a number. Haploid calls count as they are.
+    ``clean``: as in ``read_numeric``."""
+    d = _vcf(spark, path, clean)
     if biallelic_only:
         d = d.where(~F.contains("alt_allele", F.lit(",")))
     parts = F.split("gt", "[/|]")
@@ -192,7 +205,7 @@ def from_matrix(spark: SparkSession, matrix, snp_info, sample_ids: list[str] | N
 
 def store(geno: DataFrame, path: str) -> DataFrame:
     """Parquet copy partitioned by chromosome, reopened: chromosome and position filters then prune files and row groups."""
-    geno.repartition("chr").sortWithinPartitions("pos").write.mode("overwrite").partitionBy("chr").parquet(path)
+    geno.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos").write.mode("overwrite").partitionBy("chr").parquet(path)
     return geno.sparkSession.read.option("inferPartitionColumnTypes", "false").schema(geno.schema).parquet(path)
 
 

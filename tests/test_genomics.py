@@ -299,7 +299,7 @@ def test_numeric_hapmap_vcf_round_trip(spark, geno, panel, tmp_path):
     csv = tmp_path / "g.csv"
     csv.write_text("SNP,CHR,POS,REF,ALT," + ",".join(ids) + "\n" + "".join(",".join([*map(str, info.iloc[j]), *[cell(x[i, j], "NA") for i in range(n)]]) + "\n" for j in range(24)) + "bad,1,2\n")
     want = rows(geno.where(F.col("sample_id").isin(ids)).select("sample_id", "snp", "chr", "pos", "dosage"))
-    assert rows(readers.read_genotypes(spark, str(csv)).select("sample_id", "snp", "chr", "pos", "dosage")) == want
+    assert rows(readers.read_genotypes(spark, str(csv), clean=True).select("sample_id", "snp", "chr", "pos", "dosage")) == want
     hmp = tmp_path / "g.hmp.txt"
     two = lambda j, v: "NN" if np.isnan(v) else info["REF"][j] * (2 - int(v)) + info["ALT"][j] * int(v)
     hmp.write_text("\t".join(readers.HAPMAP + ids) + "\n" + "".join("\t".join([info["SNP"][j], f"{info['REF'][j]}/{info['ALT'][j]}", info["CHR"][j], str(info["POS"][j]), *["x"] * 7, *[two(j, x[i, j]) for i in range(n)]]) + "\n" for j in range(24)))
@@ -469,3 +469,25 @@ def test_block_haplotypes_in_one_call(spark):
     assert none.alleles.count() == 0 and none.blocks.count() == 0 and "p_simplem" in none.alleles.columns
     with pytest.raises(ValueError):
         association.test_blocks(haps, pheno, metric="p")
+
+
+def test_interactions_match_single_regressions():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (50, 7)).astype(float)
+    x[:, 5], x[:, 6] = x[:, 0], 1.0
+    y = rng.normal(size=50) + x[:, 1] * x[:, 3]
+    got = {(i, j): (e, s) for i, j, e, s, _, _ in association.interaction_scan(x, y)}
+    assert not any(6 in k for k in got) and (0, 5) not in got
+    for (i, j), (e, s) in got.items():
+        a = np.column_stack([np.ones(50), x[:, i], x[:, j], (x[:, i] - x[:, i].mean()) * (x[:, j] - x[:, j].mean())])
+        b = np.linalg.lstsq(a, y, rcond=None)[0]
+        se = np.sqrt(((y - a @ b) ** 2).sum() / 46 * np.linalg.inv(a.T @ a)[3, 3])
+        assert np.allclose((e, s), (b[3], se))
+    assert set(got) == {(i, j) for i in range(6) for j in range(i + 1, 6)} - {(0, 5)}
+
+
+def test_lines_of_another_width(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("SNP,CHR,POS,REF,ALT,a,b\nv1,1,5,A,T,0,2\nv2,1,9,A,T,1\n")
+    with pytest.raises(Exception, match="another width"):
+        readers.read_numeric(spark, str(tmp_path / "g.csv")).collect()
+    assert readers.read_numeric(spark, str(tmp_path / "g.csv"), clean=True).count() == 2
