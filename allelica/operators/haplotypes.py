@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from allelica.functions.keys import materialize
 from allelica.operators.relational import range_join
 
 BLOCK = ["block_id", "chr", "start_bp", "end_bp"]
@@ -131,6 +132,8 @@ def relationship(features: DataFrame, phased: bool = False, bend: bool = False,
     cut into tiles and each pair of tiles is one matrix product in one task, whose size ``cells`` bounds; pairs of
     samples are only ever made as output.
     """
+    # read by the statistics and by the tiles
+    features = materialize(features.select("sample_id", "hap_id", "dose"), "doses")
     s = 2 if phased or features.where("dose > 1").limit(1).count() else 1
     stats = features.groupBy("hap_id").agg(F.avg("dose").alias("_m"), F.min("dose").alias("_lo"), F.max("dose").alias("_hi")).where("_lo < _hi")
     p = F.least(F.greatest(F.col("_m") / s, F.lit(1e-6)), F.lit(1 - 1e-6))
