@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelica.functions.keys import materialize
-from allelica.operators.relational import range_join
+from allelica.operators.relational import interval_ranks, range_join
 
 BLOCK = ["block_id", "chr", "start_bp", "end_bp"]
 # Two-base codes of heterozygous calls.
@@ -30,6 +30,12 @@ def block_variants(snps: DataFrame, blocks: DataFrame, min_snps: int = 1) -> Dat
     return d.join(n, "block_id")
 
 
+def block_ranges(snps: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block_id, first_pos, last_pos, n_snps of each block that holds a variant, without pairing blocks and variants."""
+    v = interval_ranks(snps, blocks.select("block_id", "chr", "start_bp", "end_bp"))
+    return v.groupBy("block_id").agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum(F.col("through") - F.col("before")).alias("n_snps"))
+
+
 def extract(geno: DataFrame, blocks: DataFrame, min_snps: int = 3, na: str = ".") -> DataFrame:
     """block columns, n_snps, sample_id, hap: one row per block and sample.
 

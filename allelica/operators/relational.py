@@ -45,6 +45,36 @@ def range_join(points: DataFrame, intervals: DataFrame, pos: str = "pos", start:
     return p.join(hit.select("_pid", *own), "_pid", "left").drop("_pid")
 
 
+def interval_ranks(points: DataFrame, intervals: DataFrame, pos: str = "pos", start: str = "start_bp", end: str = "end_bp") -> DataFrame:
+    """Intervals that hold a point of their ``chr`` (start <= pos <= end, closed), with ``before`` (points below the start),
+    ``through`` (points up to the end), ``first_pos`` and ``last_pos``: the points inside are those of ranks before + 1 to
+    through of the chromosome, and no pair of a point and an interval is formed.
+
+    A sweep over points and bounds in tiles of 2^20 positions; counts and neighbours of whole tiles come from a small table
+    of tiles. Joins are merges by hint: Spark's estimates are too low here for it to choose a broadcast through the driver.
+    Null chromosomes, positions or bounds match nothing.
+    """
+    tile = F.expr("shiftright(cast(_p as long) + 2147483648L, 20)")
+    iv = intervals.where(F.col("chr").isNotNull() & (F.col(end) >= F.col(start)))
+    bounds = iv.select("chr", F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    bounds = bounds.select("chr", "_s", "_e", F.explode(F.array(F.struct(F.col("_s").alias("_p"), F.lit(0).alias("_o")), F.struct(F.col("_e").alias("_p"), F.lit(2).alias("_o")))).alias("_b")).select("chr", F.col("_b._p").alias("_p"), F.col("_b._o").alias("_o"), "_s", "_e")
+    own = points.where(F.col("chr").isNotNull() & F.col(pos).isNotNull()).select("chr", F.col(pos).alias("_p"), F.lit(1).alias("_o"))
+    allr = own.unionByName(bounds, allowMissingColumns=True).withColumn("_tile", tile)
+    at = F.when(F.col("_o") == 1, F.col("_p"))
+    up, down = (W.partitionBy("_c").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("_t"), F.desc("_t")))
+    edge = allr.groupBy(F.col("chr").alias("_c"), F.col("_tile").alias("_t")).agg(F.count(at).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    edge = edge.select("_c", "_t", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_off"), F.max("_hi").over(up).alias("_below"), F.min("_lo").over(down).alias("_above"))
+    up, down = (W.partitionBy("chr", "_tile").orderBy(*o).rowsBetween(W.unboundedPreceding, 0) for o in ((F.asc("_p"), F.asc("_o")), (F.desc("_p"), F.desc("_o"))))
+    swept = allr.select("chr", "_tile", "_o", "_s", "_e", F.count(at).over(up).alias("_k"), F.max(at).over(up).alias("_left"), F.min(at).over(down).alias("_right")).where("_o <> 1")
+    swept = swept.join(edge.hint("merge"), (F.col("chr") == F.col("_c")) & (F.col("_tile") == F.col("_t")))
+    opened, k = F.col("_o") == 0, F.col("_off") + F.col("_k")
+    g = swept.groupBy(F.col("chr").alias("_chr"), "_s", "_e").agg(
+        F.max(F.when(opened, k)).alias("before"), F.max(F.when(~opened, k)).alias("through"),
+        F.max(F.when(opened, F.coalesce("_right", "_above"))).alias("first_pos"), F.max(F.when(~opened, F.coalesce("_left", "_below"))).alias("last_pos"),
+    ).where("through > before")
+    return iv.join(g.hint("merge"), (F.col("chr") == F.col("_chr")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))).drop("_chr", "_s", "_e")
+
+
 def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of intervals (chr, s1, e1, ...) and (chr, s2, e2, ...) of one chromosome that share a position. Each pair is
     found once: through the start of one inside the other."""

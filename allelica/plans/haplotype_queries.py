@@ -39,8 +39,7 @@ def qc_sample_stats(spark, d):
 
 
 def block_snp_ranges(spark, d):
-    v = H.block_variants(X.real_snps(spark, d), X.real_blocks(spark, d))
-    return v.groupBy("block_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_snps"))
+    return H.block_ranges(X.real_snps(spark, d), X.real_blocks(spark, d))
 
 
 def hap_extract(spark, d):

@@ -491,3 +491,41 @@ def test_lines_of_another_width(spark, tmp_path):
     with pytest.raises(Exception, match="another width"):
         readers.read_numeric(spark, str(tmp_path / "g.csv")).collect()
     assert readers.read_numeric(spark, str(tmp_path / "g.csv"), clean=True).count() == 2
+
+
+def most_rows(df):
+    """Rows of the collected ``df``, and the most that any operator of its plan put out."""
+    got, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind, m = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return got, most
+
+
+def test_block_ranges_without_pairs(spark, tmp_path):
+    """Nested blocks over all variants: 400 x 400 pairs, none of which is formed."""
+    from allelica.plans import haplotype_queries
+
+    tile = 1 << 20
+    places = [("1", 5000 * i) for i in range(400)] + [("2", 7), ("2", 9), ("2", 5 * tile), (None, 8), ("2", None)]
+    snps = spark.createDataFrame([(f"s{i}", c, p, "A", "C") for i, (c, p) in enumerate(places)], "snp string, chr string, pos int, ref_allele string, alt_allele string")
+    bounds = [("1", 5000 * i, 5000 * (799 - i)) for i in range(400)] + [("2", 7, 7), ("2", 8, 8), ("2", 9, 7), ("2", 8, 6 * tile), ("2", tile, 4 * tile), ("3", 1, 9), ("2", 10, 5 * tile), (None, 1, 9), ("2", None, 9)]
+    blocks = spark.createDataFrame([("panel1", c, s, e, 1) for c, s, e in bounds], "panel string, chr string, start_bp int, end_bp int, n_snps int")
+    snps.write.parquet(f"{tmp_path}/snp_info.parquet")
+    blocks.write.parquet(f"{tmp_path}/ld_blocks.parquet")
+    want = set()
+    for c, s, e in bounds:
+        inside = [p for k, p in places if None not in (c, k, p, s, e) and k == c and min(s, e) <= p <= max(s, e)]
+        if inside:
+            want.add((f"block_{c}_{min(s, e)}_{max(s, e)}", min(inside), max(inside), len(inside)))
+    df = haplotype_queries.block_snp_ranges(spark, str(tmp_path))
+    got, most = most_rows(df)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert 400 <= most < 10_000 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
