@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelica.functions.distributions import p_chi2, p_norm, q_norm
-from allelica.operators.relational import iou_match, range_join
+from allelica.operators.relational import interval_ranks, iou_match, running_sum
 
 
 def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold: float | None = 5e-8, min_snps: int = 3, decay: DataFrame | None = None) -> DataFrame:
@@ -27,19 +27,43 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
         b = b.join(own, F.col("chr") == F.col("_c"), "left").join(F.broadcast(all_)).withColumn("ld_decay_bp", F.coalesce("_d", "_g", F.lit(0)).cast("int")).drop("_c", "_d", "_g")
     else:
         b = b.withColumn("ld_decay_bp", F.lit(0))
-    n = range_join(snps.select("chr", "pos", "snp"), b.select("chr", "start_bp", "end_bp", "block_id")).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_snps_block")).where(F.col("n_snps_block") >= min_snps)
-    b = b.join(n, "block_id").withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp"))
-    x = range_join(hits, b, "pos", "search_start", "search_end")
-    g = x.groupBy("block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block").agg(
-        F.countDistinct("snp").alias("n_sig_markers"), F.min(F.struct("p", "pos", "snp", "beta")).alias("lead"),
-        F.array_sort(F.collect_set(F.struct("pos", "snp", "beta"))).alias("_m"), F.array_sort(F.collect_set("trait")).alias("_t"),
-    )
+    n = interval_ranks(snps, b.select("chr", "start_bp", "end_bp", "block_id")).groupBy("block_id").agg(F.sum(F.col("through") - F.col("before")).alias("n_snps_block")).where(F.col("n_snps_block") >= min_snps)
+    b = b.join(n.hint("merge"), "block_id").withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp")).distinct()
+    g = _over_hits(hits, b)
     lo, hi = F.greatest(F.col("lead.pos") - F.col("ld_decay_bp"), F.lit(1)), F.col("lead.pos") + F.col("ld_decay_bp")
     return g.select(
         "block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block", "n_sig_markers", F.col("lead.snp").alias("lead_marker"), F.col("lead.p").alias("lead_p"),
         lo.alias("candidate_region_start"), hi.alias("candidate_region_end"), ((hi - lo + 1) / 1000).alias("candidate_region_size_kb"), F.col("lead.beta").alias("lead_beta"),
-        F.array_join("_m.snp", ";").alias("sig_markers"), F.array_join(F.transform("_m", lambda m: F.format_number(m["beta"], 2)), ";").alias("sig_betas"), F.array_join("_t", ",").alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
+        F.array_join("_s", ";").alias("sig_markers"), F.array_join(F.transform("_b", lambda x: F.format_number(x, 2)), ";").alias("sig_betas"), F.array_join("_t", ",").alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
+    )
+
+
+def _over_hits(hits: DataFrame, b: DataFrame) -> DataFrame:
+    """Blocks with hits in search_start..search_end: n_sig_markers, lead (the least p, pos, snp, beta), markers _s and betas _b
+    of distinct hits in order of position, traits _t.
+
+    Positions with hits are numbered on their chromosome and summed up in nodes of 1, 2, 4, ... numbers; a window is put
+    together from the few nodes that tile its numbers, not from all of its hits.
+    """
+    hit = F.struct("pos", "snp", "beta")
+    at = hits.where("chr is not null and pos is not null").groupBy("chr", "pos").agg(F.min(F.struct("p", "pos", "snp", "beta")).alias("lead"), F.array_sort(F.collect_set(hit)).alias("m"), F.collect_set("trait").alias("t"))
+    most = at.groupBy(F.col("chr").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    nodes = running_sum(at, "chr", "pos", ["pos"], F.lit(1), "_r").join(most.hint("merge"), F.col("chr") == F.col("_c"))
+    nodes = nodes.withColumn("_r", F.col("_r").cast("long") - 1).withColumn("_k", F.explode(F.expr("sequence(0, cast(floor(log2(_n)) as int))")))
+    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(c).alias("v")))), lambda x: x["v"]))
+    nodes = nodes.withColumn("s", F.col("m.snp")).withColumn("b", F.col("m.beta")).groupBy("chr", "_k", F.expr("shiftright(_r, _k)").alias("_i")).agg(
+        F.min("lead").alias("lead"), joined("s").alias("s"), joined("b").alias("b"), F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"),
     )
+    nodes = nodes.select(F.col("chr").alias("_nc"), F.col("_k").alias("_nk"), F.col("_i").alias("_ni"), "lead", "s", "b", "t")
+    # of each size at most one node at either end: the numbers before..through - 1 from the outside in
+    tiles = """flatten(transform(sequence(0, cast(floor(log2(through - before)) as int)), k -> filter(array(
+      struct(k, shiftright(before + shiftleft(1L, k) - 1, k) as i, shiftright(before + shiftleft(1L, k) - 1, k) % 2 = 1 as own), struct(k, shiftright(through, k) - 1 as i, shiftright(through, k) % 2 = 1 as own)),
+      x -> x.own and shiftright(before + shiftleft(1L, k) - 1, k) < shiftright(through, k))))"""
+    key = ["block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block"]
+    x = interval_ranks(at, b, "pos", "search_start", "search_end").select(*key, F.explode(F.expr(tiles)).alias("_x")).select(*key, F.col("_x.k").alias("_k"), F.col("_x.i").alias("_i"))
+    x = x.withColumn("_r", F.expr("shiftleft(_i, _k)")).join(nodes.hint("merge"), F.expr("chr = _nc and _k = _nk and _i = _ni"))
+    g = x.groupBy(*key).agg(F.min("lead").alias("lead"), joined("s").alias("_s"), joined("b").alias("_b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))).alias("_t"))
+    return g.withColumn("n_sig_markers", F.size(F.array_distinct(F.filter("_s", lambda s: s.isNotNull()))).cast("long"))
 
 
 def primary_hits(regions: DataFrame) -> DataFrame:

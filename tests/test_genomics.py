@@ -3,6 +3,7 @@
 import itertools
 import math
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -529,3 +530,46 @@ def test_block_ranges_without_pairs(spark, tmp_path):
     got, most = most_rows(df)
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert 400 <= most < 10_000 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def crowded(spark, path):
+    """300 hits in 300 nested blocks and a few odd rows as tables in ``path``: hits, variants and blocks."""
+    snps = [("1", 5000 * i + 5) for i in range(300)] + [("2", p) for p in (7, 9, 11)]
+    hits = [("1", 5000 * i + 5, f"s{i % 250}", 0.1 * (i % 7), 1e-9 * (1 + i * 37 % 101), "TraitA" if i % 3 else "TraitB") for i in range(300)]
+    hits += [("1", 50_000, None, None, 1e-9, None), ("1", 50_000, "s10", 0.3, 1e-9, "TraitC"), ("1", 50_000, "a", None, 1e-6, "TraitA"), ("2", 20_011, "t", 0.5, 1e-5, None), ("2", 5, None, 0.5, 1e-5, None), ("2", 9, "u", 0.5, 0.5, "TraitA"), ("2", 9, "u", 0.5, None, "TraitA"), (None, 9, "v", 0.5, 1e-9, "TraitA"), ("2", None, "v", 0.5, 1e-9, "TraitA")]
+    blocks = [("1", 5000 * i + 5, 5000 * (599 - i)) for i in range(299)] + [("2", 6, 11), ("2", 7, 9), ("2", 5, 11), ("1", 400, 4900), ("3", 1, 9), ("2", None, 9)]
+    spark.createDataFrame([(f"s{i}", c, p, "A", "C") for i, (c, p) in enumerate(snps)], "snp string, chr string, pos int, ref_allele string, alt_allele string").write.parquet(f"{path}/snp_info.parquet")
+    spark.createDataFrame([("panel1", c, s, e, 1) for c, s, e in blocks], "panel string, chr string, start_bp int, end_bp int, n_snps int").write.parquet(f"{path}/ld_blocks.parquet")
+    spark.createDataFrame([(i, m, c, p, b, 0.1, q, t) for i, (c, p, m, b, q, t) in enumerate(hits)], "rec_id int, marker string, chr string, pos int, beta double, se double, p double, trait string").write.parquet(f"{path}/example_gwas.parquet")
+    return hits, snps, blocks
+
+
+def brute_regions(hits, snps, blocks, decay):
+    """Per block with hits: chr, bounds, widening, lead, distinct markers in order, traits, by pairs of all."""
+    first = lambda x: (x is not None, x)
+    out = {}
+    for c, s, e in blocks:
+        d = (60_000 if c == "1" else 20_000) if decay else 0
+        if s is None or sum(k == c and s <= p <= e for k, p in snps) < 3:
+            continue
+        own = [h for h in hits if None not in (h[0], h[1], h[4]) and h[0] == c and h[4] <= 1e-4 and s - d <= h[1] <= e + d]
+        if own:
+            lead = min(((p, pos, first(m), first(b)) for _, pos, m, b, p, _ in own))
+            marks = sorted({(pos, first(m), first(b)) for _, pos, m, b, _, _ in own})
+            out[f"block_{c}_{s}_{e}"] = (c, s, e, d, sum(k == c and s <= p <= e for k, p in snps), lead, [m[1][1] for m in marks], sorted({t for *_, t in own if t is not None}))
+    return out
+
+
+def in_few_rows(df, want):
+    got, most = most_rows(df)
+    assert len(got) == len(want) and {tuple(r) for r in got} == set(want)
+    assert most < 30_000  # 300 x 300 pairs would be 90,000
+
+
+def test_export_biomart_without_pairs(spark, tmp_path):
+    from allelica.plans import io_queries
+
+    x = brute_regions(*crowded(spark, tmp_path), False)
+    assert len(x) > 290
+    places = Counter(f"{v[0]}:{v[5][1]}:{v[5][1]}" for v in x.values())
+    in_few_rows(io_queries.export_biomart(spark, str(tmp_path)).groupBy("region").count(), places.items())
