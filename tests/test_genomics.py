@@ -573,3 +573,13 @@ def test_export_biomart_without_pairs(spark, tmp_path):
     assert len(x) > 290
     places = Counter(f"{v[0]}:{v[5][1]}:{v[5][1]}" for v in x.values())
     in_few_rows(io_queries.export_biomart(spark, str(tmp_path)).groupBy("region").count(), places.items())
+
+
+def test_primary_hits_without_pairs(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    groups = {}
+    for k, v in brute_regions(*crowded(spark, tmp_path), True).items():
+        lo, hi = max(v[5][1] - v[3], 1), v[5][1] + v[3]
+        groups.setdefault((v[0], v[5][2][1]), []).append((abs((v[1] + v[2]) / 2 - (lo + hi) / 2), k))
+    in_few_rows(trait_queries.qtl_primary_hits(spark, str(tmp_path)), [(k, m, len(g), (a, k) == min(g)) for (_, m), g in groups.items() for a, k in g])
