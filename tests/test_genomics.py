@@ -583,3 +583,10 @@ def test_primary_hits_without_pairs(spark, tmp_path):
         lo, hi = max(v[5][1] - v[3], 1), v[5][1] + v[3]
         groups.setdefault((v[0], v[5][2][1]), []).append((abs((v[1] + v[2]) / 2 - (lo + hi) / 2), k))
     in_few_rows(trait_queries.qtl_primary_hits(spark, str(tmp_path)), [(k, m, len(g), (a, k) == min(g)) for (_, m), g in groups.items() for a, k in g])
+
+
+def test_export_bed_without_pairs(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    x = brute_regions(*crowded(spark, tmp_path), True)
+    in_few_rows(trait_queries.export_bed(spark, str(tmp_path)), [(f"chr{v[0]}", max(0, max(v[5][1] - v[3], 1) - 501), v[5][1] + v[3] + 500, k, min(1000, int(-math.log10(v[5][0]) * 10 + 0.5)), ".") for k, v in x.items()])
