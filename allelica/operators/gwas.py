@@ -15,7 +15,7 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
     ``decay`` (chr, decay_dist_bp; GENOME as fallback) is given).
 
     Per block: hits, lead marker (least p, then position), its p and beta, candidate region (lead +/- decay), markers and
-    betas joined by ``;`` in order of position, traits by ``,``, n_traits, pleiotropic. Blocks with fewer than
+    betas joined by ``;`` in order of position, traits by ``,`` (null if none is known), n_traits, pleiotropic. Blocks with fewer than
     ``min_snps`` variants are left out; a null p is no hit.
     """
     hits = gwas.where(F.col("p").isNotNull() & ((F.col("p") <= p_threshold) if p_threshold is not None else F.lit(True)))
@@ -34,7 +34,7 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
     return g.select(
         "block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block", "n_sig_markers", F.col("lead.snp").alias("lead_marker"), F.col("lead.p").alias("lead_p"),
         lo.alias("candidate_region_start"), hi.alias("candidate_region_end"), ((hi - lo + 1) / 1000).alias("candidate_region_size_kb"), F.col("lead.beta").alias("lead_beta"),
-        F.array_join("_s", ";").alias("sig_markers"), F.array_join(F.transform("_b", lambda x: F.format_number(x, 2)), ";").alias("sig_betas"), F.array_join("_t", ",").alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
+        F.array_join("_s", ";").alias("sig_markers"), F.array_join(F.transform("_b", lambda x: F.format_number(x, 2)), ";").alias("sig_betas"), F.when(F.size("_t") > 0, F.array_join("_t", ",")).alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
     )
 
 

@@ -590,3 +590,14 @@ def test_export_bed_without_pairs(spark, tmp_path):
 
     x = brute_regions(*crowded(spark, tmp_path), True)
     in_few_rows(trait_queries.export_bed(spark, str(tmp_path)), [(f"chr{v[0]}", max(0, max(v[5][1] - v[3], 1) - 501), v[5][1] + v[3] + 500, k, min(1000, int(-math.log10(v[5][0]) * 10 + 0.5)), ".") for k, v in x.items()])
+
+
+def region_rows(x):
+    return [(k, v[1] - v[3], v[2] + v[3], v[4], len({m for m in v[6] if m is not None}), v[5][2][1], v[5][0], max(v[5][1] - v[3], 1), v[5][1] + v[3], v[5][3][1], ";".join(m for m in v[6] if m is not None), ",".join(v[7]) or None, len(v[7]), len(v[7]) > 1) for k, v in x.items()]
+
+
+def test_regions_decay_without_pairs(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    x = brute_regions(*crowded(spark, tmp_path), True)
+    in_few_rows(trait_queries.qtl_regions_decay(spark, str(tmp_path)), region_rows(x))
