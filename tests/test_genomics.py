@@ -601,3 +601,10 @@ def test_regions_decay_without_pairs(spark, tmp_path):
 
     x = brute_regions(*crowded(spark, tmp_path), True)
     in_few_rows(trait_queries.qtl_regions_decay(spark, str(tmp_path)), region_rows(x))
+
+
+def test_regions_without_pairs(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    x = brute_regions(*crowded(spark, tmp_path), False)
+    in_few_rows(trait_queries.qtl_regions(spark, str(tmp_path)), region_rows(x))
