@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelica.functions.distributions import p_chi2, p_norm, q_norm
+from allelica.functions.keys import materialize
 from allelica.operators.relational import interval_ranks, iou_match, running_sum
 
 
@@ -21,14 +22,17 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
     hits = gwas.where(F.col("p").isNotNull() & ((F.col("p") <= p_threshold) if p_threshold is not None else F.lit(True)))
     hits = hits.select("chr", "pos", "snp", "beta", "p", "trait")
     b = blocks.select("block_id", "chr", "start_bp", "end_bp")
+    n = interval_ranks(snps, b).groupBy("block_id").agg(F.sum(F.col("through") - F.col("before")).alias("n_snps_block")).where(F.col("n_snps_block") >= min_snps)
+    b = b.join(n.hint("merge"), "block_id").distinct()
     if decay is not None:
         own = decay.where("chr <> 'GENOME'").select(F.col("chr").alias("_c"), F.col("decay_dist_bp").alias("_d"))
         all_ = decay.where("chr = 'GENOME'").agg(F.max("decay_dist_bp").alias("_g"))
         b = b.join(own, F.col("chr") == F.col("_c"), "left").join(F.broadcast(all_)).withColumn("ld_decay_bp", F.coalesce("_d", "_g", F.lit(0)).cast("int")).drop("_c", "_d", "_g")
     else:
         b = b.withColumn("ld_decay_bp", F.lit(0))
-    n = interval_ranks(snps, b.select("chr", "start_bp", "end_bp", "block_id")).groupBy("block_id").agg(F.sum(F.col("through") - F.col("before")).alias("n_snps_block")).where(F.col("n_snps_block") >= min_snps)
-    b = b.join(n.hint("merge"), "block_id").withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp")).distinct()
+    b = b.withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp"))
+    # windows and places of hits are read several times; written once, no plan is so long that it fills the driver
+    b = materialize(b, "windows")
     g = _over_hits(hits, b)
     lo, hi = F.greatest(F.col("lead.pos") - F.col("ld_decay_bp"), F.lit(1)), F.col("lead.pos") + F.col("ld_decay_bp")
     return g.select(
@@ -47,6 +51,7 @@ def _over_hits(hits: DataFrame, b: DataFrame) -> DataFrame:
     """
     hit = F.struct("pos", "snp", "beta")
     at = hits.where("chr is not null and pos is not null").groupBy("chr", "pos").agg(F.min(F.struct("p", "pos", "snp", "beta")).alias("lead"), F.array_sort(F.collect_set(hit)).alias("m"), F.collect_set("trait").alias("t"))
+    at = materialize(at, "hits")
     most = at.groupBy(F.col("chr").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     nodes = running_sum(at, "chr", "pos", ["pos"], F.lit(1), "_r").join(most.hint("merge"), F.col("chr") == F.col("_c"))
     nodes = nodes.withColumn("_r", F.col("_r").cast("long") - 1).withColumn("_k", F.explode(F.expr("sequence(0, cast(floor(log2(_n)) as int))")))

@@ -608,3 +608,15 @@ def test_regions_without_pairs(spark, tmp_path):
 
     x = brute_regions(*crowded(spark, tmp_path), False)
     in_few_rows(trait_queries.qtl_regions(spark, str(tmp_path)), region_rows(x))
+
+
+def exchanges(df):
+    """Shuffles and broadcasts of the plan, each as often as it is planned, before any is found to be the same as another."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_primary_hits_short_plan(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    crowded(spark, tmp_path)
+    assert exchanges(trait_queries.qtl_primary_hits(spark, str(tmp_path))) < 20
