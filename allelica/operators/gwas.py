@@ -38,28 +38,35 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
     return g.select(
         "block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block", "n_sig_markers", F.col("lead.snp").alias("lead_marker"), F.col("lead.p").alias("lead_p"),
         lo.alias("candidate_region_start"), hi.alias("candidate_region_end"), ((hi - lo + 1) / 1000).alias("candidate_region_size_kb"), F.col("lead.beta").alias("lead_beta"),
-        F.array_join("_s", ";").alias("sig_markers"), F.array_join(F.transform("_b", lambda x: F.format_number(x, 2)), ";").alias("sig_betas"), F.when(F.size("_t") > 0, F.array_join("_t", ",")).alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
+        F.col("_s").alias("sig_markers"), F.col("_b").alias("sig_betas"), F.when(F.size("_t") > 0, F.array_join("_t", ",")).alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
     )
 
 
 def _over_hits(hits: DataFrame, b: DataFrame) -> DataFrame:
     """Blocks with hits in search_start..search_end: n_sig_markers, lead (the least p, pos, snp, beta), markers _s and betas _b
-    of distinct hits in order of position, traits _t.
+    of distinct hits in order of position, joined by ``;``, traits _t.
 
     Positions with hits are numbered on their chromosome and summed up in nodes of 1, 2, 4, ... numbers; a window is put
-    together from the few nodes that tile its numbers, not from all of its hits.
+    together from the few nodes that tile its numbers, not from all of its hits. Markers of one place only are counted,
+    those of several are kept by name, as they count once.
     """
-    hit = F.struct("pos", "snp", "beta")
-    at = hits.where("chr is not null and pos is not null").groupBy("chr", "pos").agg(F.min(F.struct("p", "pos", "snp", "beta")).alias("lead"), F.array_sort(F.collect_set(hit)).alias("m"), F.collect_set("trait").alias("t"))
-    at = materialize(at, "hits")
+    hit, here = F.struct("pos", "snp", "beta"), hits.where("chr is not null and pos is not null")
+    at = here.groupBy("chr", "pos").agg(F.min(F.struct("p", "pos", "snp", "beta")).alias("lead"), F.array_sort(F.collect_set(hit)).alias("m"), F.collect_set("trait").alias("t"))
+    text = lambda a: F.when(F.exists(a, lambda x: x.isNotNull()), F.array_join(a, ";"))
+    at = at.select("chr", "pos", "lead", text(F.col("m.snp")).alias("s"), text(F.transform("m.beta", lambda x: F.format_number(x, 2))).alias("b"), "t")
+    names = here.where("snp is not null").select("chr", "pos", "snp").distinct().withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("chr", "snp")))
+    names = names.groupBy(F.col("chr").alias("_c"), F.col("pos").alias("_p")).agg(F.count_if(F.col("_n") == 1).alias("u"), F.collect_list(F.when(F.col("_n") > 1, F.col("snp"))).alias("d"))
+    at = materialize(at.join(names.hint("merge"), F.expr("chr = _c and pos = _p"), "left").drop("_c", "_p"), "hits")
     most = at.groupBy(F.col("chr").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     nodes = running_sum(at, "chr", "pos", ["pos"], F.lit(1), "_r").join(most.hint("merge"), F.col("chr") == F.col("_c"))
     nodes = nodes.withColumn("_r", F.col("_r").cast("long") - 1).withColumn("_k", F.explode(F.expr("sequence(0, cast(floor(log2(_n)) as int))")))
-    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(c).alias("v")))), lambda x: x["v"]))
-    nodes = nodes.withColumn("s", F.col("m.snp")).withColumn("b", F.col("m.beta")).groupBy("chr", "_k", F.expr("shiftright(_r, _k)").alias("_i")).agg(
-        F.min("lead").alias("lead"), joined("s").alias("s"), joined("b").alias("b"), F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"),
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(c).alias("v")))), lambda x: x["v"]), ";")
+    any_of = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    some = lambda c: F.when(F.count(c) > 0, joined(c))
+    nodes = nodes.groupBy("chr", "_k", F.expr("shiftright(_r, _k)").alias("_i")).agg(
+        F.min("lead").alias("lead"), some("s").alias("s"), some("b").alias("b"), F.sum("u").alias("u"), any_of("d").alias("d"), any_of("t").alias("t"),
     )
-    nodes = nodes.select(F.col("chr").alias("_nc"), F.col("_k").alias("_nk"), F.col("_i").alias("_ni"), "lead", "s", "b", "t")
+    nodes = nodes.select(F.col("chr").alias("_nc"), F.col("_k").alias("_nk"), F.col("_i").alias("_ni"), "lead", "s", "b", "u", "d", "t")
     # of each size at most one node at either end: the numbers before..through - 1 from the outside in
     tiles = """flatten(transform(sequence(0, cast(floor(log2(through - before)) as int)), k -> filter(array(
       struct(k, shiftright(before + shiftleft(1L, k) - 1, k) as i, shiftright(before + shiftleft(1L, k) - 1, k) % 2 = 1 as own), struct(k, shiftright(through, k) - 1 as i, shiftright(through, k) % 2 = 1 as own)),
@@ -67,8 +74,8 @@ def _over_hits(hits: DataFrame, b: DataFrame) -> DataFrame:
     key = ["block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block"]
     x = interval_ranks(at, b, "pos", "search_start", "search_end").select(*key, F.explode(F.expr(tiles)).alias("_x")).select(*key, F.col("_x.k").alias("_k"), F.col("_x.i").alias("_i"))
     x = x.withColumn("_r", F.expr("shiftleft(_i, _k)")).join(nodes.hint("merge"), F.expr("chr = _nc and _k = _nk and _i = _ni"))
-    g = x.groupBy(*key).agg(F.min("lead").alias("lead"), joined("s").alias("_s"), joined("b").alias("_b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))).alias("_t"))
-    return g.withColumn("n_sig_markers", F.size(F.array_distinct(F.filter("_s", lambda s: s.isNotNull()))).cast("long"))
+    n = F.coalesce(F.sum("u"), F.lit(0)) + F.size(any_of("d"))
+    return x.groupBy(*key).agg(F.min("lead").alias("lead"), joined("s").alias("_s"), joined("b").alias("_b"), F.array_sort(any_of("t")).alias("_t"), n.alias("n_sig_markers"))
 
 
 def primary_hits(regions: DataFrame) -> DataFrame:

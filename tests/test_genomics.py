@@ -627,3 +627,10 @@ def test_export_bed_short_plan(spark, tmp_path):
 
     crowded(spark, tmp_path)
     assert exchanges(trait_queries.export_bed(spark, str(tmp_path))) < 20
+
+
+def test_regions_short_plan(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    crowded(spark, tmp_path)
+    assert exchanges(trait_queries.qtl_regions(spark, str(tmp_path))) < 20
