@@ -19,27 +19,64 @@ def qtl_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold
     betas joined by ``;`` in order of position, traits by ``,`` (null if none is known), n_traits, pleiotropic. Blocks with fewer than
     ``min_snps`` variants are left out; a null p is no hit.
     """
-    hits = gwas.where(F.col("p").isNotNull() & ((F.col("p") <= p_threshold) if p_threshold is not None else F.lit(True)))
-    hits = hits.select("chr", "pos", "snp", "beta", "p", "trait")
+    b = _windows(blocks, snps, min_snps, decay)
+    g = _over_hits(_hits(gwas, p_threshold).select("chr", "pos", "snp", "beta", "p", "trait"), b)
+    lo, hi = _candidate()
+    return g.select(
+        "block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block", "n_sig_markers", F.col("lead.snp").alias("lead_marker"), F.col("lead.p").alias("lead_p"),
+        lo.alias("candidate_region_start"), hi.alias("candidate_region_end"), ((hi - lo + 1) / 1000).alias("candidate_region_size_kb"), F.col("lead.beta").alias("lead_beta"),
+        F.col("_s").alias("sig_markers"), F.col("_b").alias("sig_betas"), F.when(F.size("_t") > 0, F.array_join("_t", ",")).alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
+    )
+
+
+def lead_regions(gwas: DataFrame, blocks: DataFrame, snps: DataFrame, p_threshold: float | None = 5e-8, min_snps: int = 3, decay: DataFrame | None = None) -> DataFrame:
+    """block_id, chr, ld_decay_bp, lead_p, candidate_region_start and candidate_region_end of ``qtl_regions``, without what
+    else is found there: neither markers nor traits are gathered, and no rows are summed up per window.
+
+    Positions with hits are numbered on their chromosome. Numbers are halved again and again; at each level a number has the
+    lead from it to the end of a left half, or from the start of a right half to it. First and last number of a window are in
+    either half of one level, the lead is the less of their two.
+    """
+    b = _windows(blocks, snps, min_snps, decay).select("block_id", "chr", "search_start", "search_end", "ld_decay_bp")
+    at = materialize(_hits(gwas, p_threshold).where("chr is not null and pos is not null").groupBy("chr", "pos").agg(F.min("p").alias("p")), "places")
+    most = at.groupBy(F.col("chr").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    nodes = running_sum(at, "chr", "pos", ["pos"], F.lit(1), "_r").join(most.hint("merge"), F.col("chr") == F.col("_c"))
+    nodes = nodes.withColumn("_r", F.col("_r").cast("long") - 1).withColumn("_k", F.explode(F.expr("sequence(1, length(bin(_n - 1)))"))).withColumn("_half", F.expr("shiftright(_r, _k - 1)"))
+    inward = W.partitionBy("chr", "_k", "_half").orderBy(F.expr("if(_half % 2 = 1, _r, -_r)")).rowsBetween(W.unboundedPreceding, 0)
+    nodes = materialize(nodes.select("chr", "_k", "_r", F.min(F.struct("p", "pos")).over(inward).alias("lead")), "leads")
+    x = interval_ranks(at, b, "pos", "search_start", "search_end").select("block_id", "chr", "ld_decay_bp", "before", (F.col("through") - 1).alias("last"))
+    x = x.withColumn("level", F.expr("length(bin(before ^ last))"))
+    for i, end in enumerate(("before", "last")):
+        n = nodes.select(F.col("chr").alias(f"_c{i}"), F.col("_k").alias(f"_k{i}"), F.col("_r").alias(f"_r{i}"), F.col("lead").alias(f"_l{i}"))
+        x = x.join(n.hint("merge"), F.expr(f"chr = _c{i} and level = _k{i} and {end} = _r{i}")).drop(f"_c{i}", f"_k{i}", f"_r{i}", end)
+    x = x.select("block_id", "chr", "ld_decay_bp", F.least("_l0", "_l1").alias("lead"))
+    lo, hi = _candidate()
+    return x.select("block_id", "chr", "ld_decay_bp", F.col("lead.p").alias("lead_p"), lo.alias("candidate_region_start"), hi.alias("candidate_region_end"))
+
+
+def _hits(gwas: DataFrame, p_threshold: float | None) -> DataFrame:
+    return gwas.where(F.col("p").isNotNull() & ((F.col("p") <= p_threshold) if p_threshold is not None else F.lit(True)))
+
+
+def _candidate() -> tuple[Column, Column]:
+    """Bounds of the candidate region: the lead's position +/- decay."""
+    return F.greatest(F.col("lead.pos") - F.col("ld_decay_bp"), F.lit(1)), F.col("lead.pos") + F.col("ld_decay_bp")
+
+
+def _windows(blocks: DataFrame, snps: DataFrame, min_snps: int, decay: DataFrame | None) -> DataFrame:
+    """Distinct blocks of ``min_snps`` variants or more with n_snps_block, ld_decay_bp, search_start and search_end."""
     b = blocks.select("block_id", "chr", "start_bp", "end_bp")
     n = interval_ranks(snps, b).groupBy("block_id").agg(F.sum(F.col("through") - F.col("before")).alias("n_snps_block")).where(F.col("n_snps_block") >= min_snps)
-    b = b.join(n.hint("merge"), "block_id").distinct()
+    b = b.join(n.hint("merge"), "block_id")
     if decay is not None:
         own = decay.where("chr <> 'GENOME'").select(F.col("chr").alias("_c"), F.col("decay_dist_bp").alias("_d"))
         all_ = decay.where("chr = 'GENOME'").agg(F.max("decay_dist_bp").alias("_g"))
         b = b.join(own, F.col("chr") == F.col("_c"), "left").join(F.broadcast(all_)).withColumn("ld_decay_bp", F.coalesce("_d", "_g", F.lit(0)).cast("int")).drop("_c", "_d", "_g")
     else:
         b = b.withColumn("ld_decay_bp", F.lit(0))
-    b = b.withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp"))
+    b = b.distinct().withColumn("search_start", F.col("start_bp") - F.col("ld_decay_bp")).withColumn("search_end", F.col("end_bp") + F.col("ld_decay_bp"))
     # windows and places of hits are read several times; written once, no plan is so long that it fills the driver
-    b = materialize(b, "windows")
-    g = _over_hits(hits, b)
-    lo, hi = F.greatest(F.col("lead.pos") - F.col("ld_decay_bp"), F.lit(1)), F.col("lead.pos") + F.col("ld_decay_bp")
-    return g.select(
-        "block_id", "chr", "start_bp", "end_bp", "search_start", "search_end", "ld_decay_bp", "n_snps_block", "n_sig_markers", F.col("lead.snp").alias("lead_marker"), F.col("lead.p").alias("lead_p"),
-        lo.alias("candidate_region_start"), hi.alias("candidate_region_end"), ((hi - lo + 1) / 1000).alias("candidate_region_size_kb"), F.col("lead.beta").alias("lead_beta"),
-        F.col("_s").alias("sig_markers"), F.col("_b").alias("sig_betas"), F.when(F.size("_t") > 0, F.array_join("_t", ",")).alias("traits"), F.size("_t").alias("n_traits"), (F.size("_t") > 1).alias("pleiotropic"),
-    )
+    return materialize(b, "windows")
 
 
 def _over_hits(hits: DataFrame, b: DataFrame) -> DataFrame:

@@ -16,15 +16,16 @@ from allelica.plans.haplotype_queries import _DIV, _FEAT, _GAM, _haps, _phased
 
 
 def _decay(spark):
-    return spark.createDataFrame([("1", 60000.0), ("GENOME", 20000.0)], "chr string, decay_dist_bp double")
+    # a list of Python would start a Python worker per core
+    return spark.sql("values ('1', 60000D), ('GENOME', 20000D) as (chr, decay_dist_bp)")
 
 
 def _panel_regions(spark, d):
     return G.qtl_regions(X.gwas(spark, d), X.blocks(spark, d), X.snps(spark, d), 2e-7, 3)
 
 
-def _regions(spark, d, decay=True):
-    return G.qtl_regions(X.real_gwas(spark, d), X.real_blocks(spark, d), X.real_snps(spark, d), 1e-4, 3, _decay(spark) if decay else None)
+def _regions(spark, d, decay=True, of=G.qtl_regions):
+    return of(X.real_gwas(spark, d), X.real_blocks(spark, d), X.real_snps(spark, d), 1e-4, 3, _decay(spark) if decay else None)
 
 
 _REGION = ["block_id", "search_start", "search_end", "n_snps_block", "n_sig_markers", "lead_marker", "lead_p", "candidate_region_start", "candidate_region_end", "lead_beta", "sig_markers", "traits", "n_traits", "pleiotropic"]
@@ -43,7 +44,7 @@ def qtl_primary_hits(spark, d):
 
 
 def export_bed(spark, d):
-    return G.export_bed(_regions(spark, d), 500)
+    return G.export_bed(_regions(spark, d, of=G.lead_regions), 500)
 
 
 def _local(spark, d):

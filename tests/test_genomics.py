@@ -634,3 +634,30 @@ def test_regions_short_plan(spark, tmp_path):
 
     crowded(spark, tmp_path)
     assert exchanges(trait_queries.qtl_regions(spark, str(tmp_path))) < 20
+
+
+def test_export_bed_no_sums_of_windows(spark, tmp_path):
+    from allelica.plans import trait_queries
+
+    crowded(spark, tmp_path)
+    plan = trait_queries.export_bed(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    # a sum over the nodes of a window sorts rows as wide as a block, several a window
+    assert "SortAggregate" not in plan and "sig" not in plan
+    # the decay table needs no Python workers, which count as the driver's where all is one process
+    assert "ExistingRDD" not in trait_queries._decay(spark)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("threshold", [1e-4, None])
+def test_lead_regions_as_qtl_regions(spark, threshold):
+    rng = np.random.default_rng(5)
+    hits = [(f"m{i}", str(rng.integers(1, 4)), int(rng.integers(1, 400)), 0.1, float(rng.choice([0.0, 1e-9, 3e-6, 0.5])), "T") for i in range(300)]
+    hits += [("a", "4", 7, 0.1, 1e-6, "T"), ("b", "5", 7, None, 1e-6, None), ("c", "5", 9, 0.1, 1e-6, "T"), ("d", None, 9, 0.1, 1e-6, "T"), ("e", "1", None, 0.1, 1e-6, "T"), ("f", "1", 9, 0.1, None, "T")]
+    bounds = [(c, *sorted(rng.integers(1, 420, 2).tolist())) for c in "12345" for _ in range(60)]
+    g = spark.createDataFrame(hits, "snp string, chr string, pos int, beta double, p double, trait string")
+    b = spark.createDataFrame([(f"b{i}", c, s, e) for i, (c, s, e) in enumerate(bounds)] + [("b0", *bounds[0])], "block_id string, chr string, start_bp int, end_bp int")
+    v = spark.createDataFrame([(f"s{i}", c, i) for c in "12345" for i in range(1, 420, 3)], "snp string, chr string, pos int")
+    d = spark.createDataFrame([("1", 30.0), ("1", 30.0), ("2", 5.0), ("GENOME", 1.0)], "chr string, decay_dist_bp double")
+    for decay in (None, d):
+        got = gwas.lead_regions(g, b, v, threshold, 3, decay)
+        want = gwas.qtl_regions(g, b, v, threshold, 3, decay).select(*got.columns)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want) and len(rows(got)) > 150
